@@ -23,9 +23,11 @@ def common_years(w: Warehouse) -> DataFrame:
     return lookup.common_values(w.fact_house_price, w.fact_crime, "year")
 
 
-def drug_rate(w: Warehouse, years: DataFrame | None = None, denominator: str = "event_areas") -> DataFrame:
+def drug_rate(
+    w: Warehouse, years: DataFrame | None = None, denominator: str = "event_areas", crime_type: str = "Drugs"
+) -> DataFrame:
     """Drug offences per 100,000 people per district."""
-    rate = reports.crime_rate_by_district(w, "Drugs", years=years, denominator=denominator)
+    rate = reports.crime_rate_by_district(w, crime_type, years=years, denominator=denominator)
     return rate.withColumnsRenamed({"total_crimes": "total_drug_offences", "rate_per_100k": "drug_rate_per_100k"})
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from fenland.schemas import WAREHOUSE
+
 
-@dataclass(frozen=True)
 class Warehouse:
+    """The nine tables as attributes, each made by `load(name)` when it is first used."""
+
     dim_county: DataFrame
     dim_district: DataFrame
     dim_lsoa: DataFrame
@@ -19,5 +22,15 @@ class Warehouse:
     fact_crime: DataFrame
     fact_education: DataFrame
 
+    def __init__(self, load: Callable[[str], DataFrame]):
+        self._load = load
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in WAREHOUSE:
+            raise AttributeError(name)
+        found = self._load(name)
+        setattr(self, name, found)
+        return found
+
     def tables(self) -> dict[str, DataFrame]:
-        return {field.name: getattr(self, field.name) for field in fields(self)}
+        return {name: getattr(self, name) for name in WAREHOUSE}
