@@ -23,11 +23,11 @@ def price_trend(spark, sf_dir):
 @query(
     "price_average",
     TABLES_SQL
-    + """SELECT county_name, round(avg(price), 2) AS avg_price, count(*) AS n
+    + """SELECT county_name, round(avg(price), 4) AS avg_price, count(*) AS n
 FROM prices WHERE year <= 2000 GROUP BY county_name""",
 )
 def price_average(spark, sf_dir):
-    return rounded(reports.price_average(warehouse(spark, sf_dir), max_year=2000), 2, "avg_price")
+    return rounded(reports.price_average(warehouse(spark, sf_dir), max_year=2000), 4, "avg_price")
 
 
 @query(
