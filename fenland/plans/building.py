@@ -42,14 +42,17 @@ def build_warehouse(
     spark: SparkSession,
     clean: Callable[[str], DataFrame],
     *,
-    school_key: tuple[str, ...] = ("estab",),
+    school_code: str = "estab",
     postcode_order: tuple[str, ...] = ("postcode", "avg_speed", "max_speed"),
 ) -> Warehouse:
     """The nine tables from the six clean ones (`clean(name)` returns a clean table).
 
-    `school_key` is the key of dim_school: a school code used in both counties
-    keeps the first county, unless the key is ("county", "estab").
+    `school_code` says what identifies a school. `estab` alone is used in both
+    counties, and dim_school then keeps the first county; `lea_estab` puts the
+    authority code in front and keeps such schools apart.
     """
+    if school_code not in ("estab", "lea_estab"):
+        raise ValueError(f"unknown school code: {school_code}")
     counties = literal_tables.county_table(spark)
     districts = literal_tables.district_table(spark)
     crime = combined_crime(clean("norfolk_clean"), clean("suffolk_clean"))
@@ -60,16 +63,22 @@ def build_warehouse(
     def keyed(df: DataFrame) -> DataFrame:
         return df.withColumn("postcode_key", geography.postcode_key(F.col("postcode")))
 
+    def schools_and_scores() -> DataFrame:
+        rows = keyed(clean("education_clean"))
+        if school_code == "lea_estab":
+            rows = rows.withColumn("estab", F.concat("lea_code", "estab"))
+        return rows
+
     def dim_lsoa() -> DataFrame:
         names = crime.select("lsoa_code", "lsoa_name", "source_county")
         return with_county_id(dedup.first_rows(names, ["lsoa_code"], ["source_county", "lsoa_name"]), "source_county")
 
     def dim_school() -> DataFrame:
-        schools = keyed(clean("education_clean")).select(
+        schools = schools_and_scores().select(
             "estab", "school_name", "town", F.col("postcode_key").alias("postcode"), "county", "academic_year"
         )
         order = ["county", "academic_year", "school_name", "town", "postcode"]
-        return with_county_id(dedup.first_rows(schools, list(school_key), order), "county")
+        return with_county_id(dedup.first_rows(schools, ["estab"], order), "county")
 
     def fact_population() -> DataFrame:
         # dim_lsoa has exactly the area codes of the crime rows
@@ -101,7 +110,7 @@ def build_warehouse(
 
     def fact_education() -> DataFrame:
         content = ["county", "academic_year", "estab"]
-        return numbering.number_rows(clean("education_clean"), "education_pk", numbering.hash_bucket(*content), content)
+        return numbering.number_rows(schools_and_scores(), "education_pk", numbering.hash_bucket(*content), content)
 
     makers = {
         "dim_county": lambda: counties,
