@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fenland.operators.group_join import join_group_table, value_counts
 from fenland.operators.quantiles import group_quantiles, small_group_quantiles
 
 
@@ -59,24 +60,30 @@ def box_statistics(
     boxes = boxes.where("q1 IS NOT NULL").withColumns(
         {"low_fence": F.expr("q1 - 1.5 * (q3 - q1)"), "high_fence": F.expr("q3 + 1.5 * (q3 - q1)")}
     )
-    fences = F.broadcast(boxes) if few_groups or small_groups else boxes
-    near = f"`{value}` >= low_fence AND `{value}` <= high_fence"
+    near = "_v >= low_fence AND _v <= high_fence"
+    few = few_groups or small_groups
+    if few:
+        rows = df.select(*keys, F.col(value).alias("_v"), F.lit(1).cast("long").alias("_k"))
+    else:
+        rows = value_counts(df, keys, value)
     return (
-        df.join(fences, list(keys))
+        join_group_table(rows, boxes, keys, ["_v"], few_groups=few)
         .groupBy(*keys, "q1", "median", "q3", "n")
         .agg(
-            F.expr(f"min(CASE WHEN {near} THEN `{value}` END)").alias("lower_whisker"),
-            F.expr(f"max(CASE WHEN {near} THEN `{value}` END)").alias("upper_whisker"),
-            F.expr(f"count_if(NOT ({near}))").alias("outliers"),
+            F.expr(f"min(CASE WHEN {near} THEN _v END)").alias("lower_whisker"),
+            F.expr(f"max(CASE WHEN {near} THEN _v END)").alias("upper_whisker"),
+            F.expr(f"coalesce(sum(CASE WHEN NOT ({near}) THEN _k END), 0L)").alias("outliers"),
         )
         .select(*keys, "lower_whisker", "q1", "median", "q3", "upper_whisker", "outliers", "n")
     )
 
 
-def box_outliers(df: DataFrame, keys: Sequence[str], value: str, boxes: DataFrame, *, few_groups: bool = False) -> DataFrame:
+def box_outliers(
+    df: DataFrame, keys: Sequence[str], value: str, boxes: DataFrame, *, few_groups: bool = False
+) -> DataFrame:
     """The rows beyond the whiskers of `boxes`, the points a box plot draws one by one."""
     limits = boxes.select(*keys, "lower_whisker", "upper_whisker")
-    joined = df.join(F.broadcast(limits) if few_groups else limits, list(keys))
+    joined = join_group_table(df.select(*keys, value), limits, keys, [value], few_groups=few_groups)
     beyond = (F.col(value) < F.col("lower_whisker")) | (F.col(value) > F.col("upper_whisker"))
     return joined.where(beyond).select(*keys, value)
 

@@ -25,6 +25,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fenland.operators.group_join import join_group_table, value_counts
+
 # A sketch of accuracy A is off by at most n/A ranks; brackets allow twice that.
 # Groups of up to 10 A rows are bracketed by their minimum and maximum instead.
 ACCURACY = 1000
@@ -56,7 +58,7 @@ def group_quantiles(
     `extra` aggregates run in the first pass and see every row, also rows with a
     null value. `few_groups` states that the number of groups is bounded by a
     fixed domain (counties, postcode districts), so the bracket table may be
-    broadcast; otherwise Spark picks the join from the measured sizes.
+    broadcast; otherwise rows are counted per value first and the join is salted.
     """
     order = sorted(probs, key=probs.get)
     margin = 2.0 / accuracy
@@ -82,16 +84,18 @@ def group_quantiles(
     bounds = first.selectExpr(*_quoted(keys), *brackets)
 
     rows = df.selectExpr(*_quoted(keys), f"{v} AS _v").where("_v IS NOT NULL")
-    if keys:
-        rows = rows.join(F.broadcast(bounds) if few_groups else bounds, list(keys))
+    if not keys:
+        rows = rows.withColumn("_b", bounds.select(F.struct("*")).scalar()).selectExpr("_v", "1L AS _k", "_b.*")
+    elif few_groups:
+        rows = join_group_table(rows.withColumn("_k", F.lit(1)), bounds, keys, ["_v"], few_groups=True)
     else:
-        rows = rows.withColumn("_b", bounds.select(F.struct("*")).scalar()).select("_v", "_b.*")
+        rows = join_group_table(value_counts(rows, keys, "_v"), bounds, keys, ["_v"])
 
     cell, close = _cell(len(order))
     counted = (
-        rows.selectExpr(*_quoted(keys), f"{cell} AS _cell", f"IF({close}, _v, NULL) AS _v")
+        rows.selectExpr(*_quoted(keys), f"{cell} AS _cell", f"IF({close}, _v, NULL) AS _v", "_k")
         .groupBy(*keys, "_cell", "_v")
-        .agg(F.count("*").alias("_k"))
+        .agg(F.sum("_k").alias("_k"))
     )
     ranks = _wanted_ranks(counted, keys, [(name, probs[name]) for name in order])
     if keys:
@@ -144,7 +148,11 @@ def _wanted_ranks(counted: DataFrame, keys: Sequence[str], probs: Sequence[tuple
     targets = totals.where(
         " OR ".join(f"({rank} > _before AND {rank} <= _before + _size)" for rank in ranks)
     ).drop("_size")
-    near = counted.join(targets, [*keys, "_cell"]).selectExpr(
+    near = counted.join(targets, [*keys, "_cell"])
+    if keys:
+        # one small exchange by group serves both the running totals and the final aggregate
+        near = near.repartition(*keys)
+    near = near.selectExpr(
         *_quoted(keys), "_n", "_v", "_k", f"_before + sum(_k) OVER ({by_cell} ORDER BY _v) AS _end"
     )
     value = "coalesce(_v, CAST(raise_error('quantile rank outside its bracket') AS DOUBLE))"

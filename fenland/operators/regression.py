@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fenland.functions.student_t import critical_t, two_sided_p
+from fenland.operators.group_join import join_group_table
 from fenland.operators.quantiles import group_quantiles, small_group_quantiles
 
 BAND_POINTS = 80
 
 
-def fit_line(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
+def fit_line(
+    df: DataFrame, x: str, y: str, keys: Sequence[str] = (), extra: Mapping[str, Column] | None = None
+) -> DataFrame:
     """Least-squares line of y on x, one row per group; pairs with a null are left out.
 
     One aggregation pass, combined map-side. Slope columns are null when x does
-    not vary; error columns are null below three pairs.
+    not vary; error columns are null below three pairs. `extra` adds aggregates
+    to the same pass.
     """
+    extra = extra or {}
     yx = f"`{y}`, `{x}`"
     pair = f"`{x}` IS NOT NULL AND `{y}` IS NOT NULL"
     sums = df.groupBy(*keys).agg(
@@ -32,6 +37,7 @@ def fit_line(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFra
         F.expr(f"regr_avgx({yx})").alias("mean_x"),
         F.expr(f"min(IF({pair}, `{x}`, NULL))").alias("min_x"),
         F.expr(f"max(IF({pair}, `{x}`, NULL))").alias("max_x"),
+        *[aggregate.alias(name) for name, aggregate in extra.items()],
     )
     return (
         sums.withColumn("df", F.expr("CAST(n - 2 AS INT)"))
@@ -65,6 +71,7 @@ def fit_line(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFra
             "sxx",
             "min_x",
             "max_x",
+            *extra,
         )
     )
 
@@ -75,7 +82,7 @@ def residual_quantiles(
     """Minimum, quartiles and maximum of the residuals of a fit."""
     line = ("slope", "intercept")
     if keys:
-        joined = df.join(fit.select(*keys, *line), list(keys))
+        joined = join_group_table(df, fit.select(*keys, *line), keys, [x, y], few_groups=small_groups)
     else:
         joined = df.withColumn("_fit", fit.select(F.struct(*line)).scalar()).select(*df.columns, "_fit.*")
     residuals = joined.selectExpr(

@@ -191,11 +191,9 @@ def model_fit(w: Warehouse, name: str, **kwargs) -> DataFrame:
     """Fit of one model: all summary numbers, the number of different y values, display text."""
     model = MODELS[name]
     frame = model_frame(w, name, **kwargs)
-    fit = regression.fit_line(frame, model.x, model.y)
-    distinct_y = frame.agg(F.count_distinct(model.y)).scalar()
+    fit = regression.fit_line(frame, model.x, model.y, extra={"distinct_y": F.count_distinct(model.y)})
     return fit.withColumns(
         {
-            "distinct_y": distinct_y,
             "slope_text": F.format_string(f"%.{model.slope_digits}f", F.bround("slope", model.slope_digits)),
             "r_squared_text": F.format_string("%.4f", F.bround("r_squared", 4)),
             "p_text": labels.p_value_text(F.col("p_slope"), 4),

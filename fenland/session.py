@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
+    # no Python call-site capture per column expression; it costs more than the plans themselves
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
