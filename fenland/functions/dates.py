@@ -3,35 +3,46 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fenland.functions.text import trim_all
 
-# day/month/year order -> pattern after `/`, `.` and blanks became `-`
-_ORDERS = {"mdy": "M-d-yyyy", "ymd": "yyyy-M-d", "dmy": "d-M-yyyy"}
+_YEAR, _MONTH, _DAY = "[0-9]{4}", "(0?[1-9]|1[0-2])", "(0?[1-9]|[12][0-9]|3[01])"
+
+# Order -> shape and pattern after `/`, `.` and blanks became `-`. The shape is
+# tested first: a failed parse is far slower than a regular expression.
+_ORDERS = {
+    "mdy": (f"^{_MONTH}-{_DAY}-{_YEAR}$", "M-d-yyyy"),
+    "ymd": (f"^{_YEAR}-{_MONTH}-{_DAY}$", "yyyy-M-d"),
+    "dmy": (f"^{_DAY}-{_MONTH}-{_YEAR}$", "d-M-yyyy"),
+}
+
+
+def _shaped_date(c: Column, order: str) -> Column:
+    shape, pattern = _ORDERS[order]
+    return F.when(c.rlike(shape), F.try_to_date(c, pattern))
+
+
+def _dashed(c: Column) -> Column:
+    return F.regexp_replace(trim_all(c), r"[/. ]+", "-")
 
 
 def iso_date(c: Column) -> Column:
     """Date from `yyyy-MM-dd`, with or without a time part; null when it is neither."""
-    return F.try_to_date(F.substring(trim_all(c), 1, 10), "yyyy-MM-dd")
+    return _shaped_date(F.substring(trim_all(c), 1, 10), "ymd")
 
 
 def month_start(c: Column) -> Column:
-    """First day of a `yyyy-MM` month; null for anything else."""
-    return F.try_to_date(trim_all(c), "yyyy-MM")
+    """First day of a year-month; null for anything else."""
+    return _shaped_date(F.concat(_dashed(c), F.lit("-01")), "ymd")
 
 
 def mixed_date(c: Column, orders: Sequence[str]) -> Column:
     """Date from text in one of several day/month/year orders, the first that fits wins."""
-    text = F.regexp_replace(trim_all(c), r"[/. ]+", "-")
-    return reduce(
-        lambda found, order: F.coalesce(found, F.try_to_date(text, _ORDERS[order])),
-        orders[1:],
-        F.try_to_date(text, _ORDERS[orders[0]]),
-    )
+    text = _dashed(c)
+    return F.coalesce(*[_shaped_date(text, order) for order in orders])
 
 
 def year_month(c: Column) -> Column:

@@ -44,12 +44,14 @@ def build_warehouse(
     *,
     school_code: str = "estab",
     postcode_order: tuple[str, ...] = ("postcode", "avg_speed", "max_speed"),
+    buckets: int = numbering.BUCKETS,
 ) -> Warehouse:
     """The nine tables from the six clean ones (`clean(name)` returns a clean table).
 
     `school_code` says what identifies a school. `estab` alone is used in both
     counties, and dim_school then keeps the first county; `lea_estab` puts the
-    authority code in front and keeps such schools apart.
+    authority code in front and keeps such schools apart. `buckets` spreads the
+    numbering of the facts; a bucket is sorted by one task.
     """
     if school_code not in ("estab", "lea_estab"):
         raise ValueError(f"unknown school code: {school_code}")
@@ -95,7 +97,7 @@ def build_warehouse(
         numbered = numbering.number_rows(
             sales,
             "transaction_pk",
-            numbering.hash_bucket("date", "postcode", "town", "district", "price"),
+            numbering.hash_bucket("date", "postcode", "town", "district", "price", buckets=buckets),
             ["date", "postcode", "town", "district", "price"],
         )
         return numbered.withColumn("postcode", F.col("postcode_key"))
@@ -106,11 +108,11 @@ def build_warehouse(
 
     def fact_crime() -> DataFrame:
         content = ["crime_date", "lsoa_code", "lsoa_name", "crime_type", "outcome", "reported_by", "police_force", "source_county"]
-        return numbering.number_rows(crime, "crime_pk", numbering.hash_bucket(*content), content)
+        return numbering.number_rows(crime, "crime_pk", numbering.hash_bucket(*content, buckets=buckets), content)
 
     def fact_education() -> DataFrame:
         content = ["county", "academic_year", "estab"]
-        return numbering.number_rows(schools_and_scores(), "education_pk", numbering.hash_bucket(*content), content)
+        return numbering.number_rows(schools_and_scores(), "education_pk", numbering.hash_bucket(*content, buckets=buckets), content)
 
     makers = {
         "dim_county": lambda: counties,

@@ -34,3 +34,8 @@ class Warehouse:
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in WAREHOUSE}
+
+    def create_views(self) -> None:
+        """Temporary views under the table names, for SQL text."""
+        for name, df in self.tables().items():
+            df.createOrReplaceTempView(name)
