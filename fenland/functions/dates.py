@@ -11,8 +11,8 @@ from fenland.functions.text import trim_all
 
 _YEAR, _MONTH, _DAY = "[0-9]{4}", "(0?[1-9]|1[0-2])", "(0?[1-9]|[12][0-9]|3[01])"
 
-# Order -> shape and pattern after `/`, `.` and blanks became `-`. The shape is
-# tested first: a failed parse is far slower than a regular expression.
+# Order -> shape and pattern after `/`, `.` and blanks became `-`. Only text of
+# the right shape is parsed: a failed parse is far slower than a regular expression.
 _ORDERS = {
     "mdy": (f"^{_MONTH}-{_DAY}-{_YEAR}$", "M-d-yyyy"),
     "ymd": (f"^{_YEAR}-{_MONTH}-{_DAY}$", "yyyy-M-d"),
@@ -22,7 +22,7 @@ _ORDERS = {
 
 def _shaped_date(c: Column, order: str) -> Column:
     shape, pattern = _ORDERS[order]
-    return F.when(c.rlike(shape), F.try_to_date(c, pattern))
+    return F.try_to_date(F.regexp_substr(c, F.lit(shape)), pattern)
 
 
 def _dashed(c: Column) -> Column:
@@ -34,6 +34,11 @@ def iso_date(c: Column) -> Column:
     return _shaped_date(F.substring(trim_all(c), 1, 10), "ymd")
 
 
+def is_month(c: Column) -> Column:
+    """True when `month_start` finds a month; cheaper than parsing."""
+    return _dashed(c).rlike(f"^{_YEAR}-{_MONTH}$")
+
+
 def month_start(c: Column) -> Column:
     """First day of a year-month; null for anything else."""
     return _shaped_date(F.concat(_dashed(c), F.lit("-01")), "ymd")

@@ -16,8 +16,7 @@ def to_number(c: Column) -> Column:
     A bare `cast` raises in ANSI mode and `try_cast` takes `1d` for 1.0, hence
     the pattern.
     """
-    text = trim_all(c.cast("string"))
-    return F.when(text.rlike(_DECIMAL), text.try_cast("double"))
+    return F.regexp_substr(trim_all(c.cast("string")), F.lit(_DECIMAL)).try_cast("double")
 
 
 def round_even(c: Column, digits: int) -> Column:

@@ -6,14 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The code points with the Unicode White_Space property.
+BLANKS = "".join(
+    map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
+
+
 def trim_all(c: Column) -> Column:
     """Strip every Unicode blank from both ends (`trim` strips spaces only)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def squish(c: Column) -> Column:
     """`trim_all`, and each inner run of blanks becomes one space."""
-    return F.regexp_replace(trim_all(c), r"(?U)\s+", " ")
+    spaces = F.translate(c, BLANKS, " " * len(BLANKS))
+    return F.btrim(F.regexp_replace(spaces, " {2,}", " "))
 
 
 def strip_blanks(c: Column) -> Column:
@@ -24,10 +31,11 @@ def strip_blanks(c: Column) -> Column:
 def title_case(c: Column) -> Column:
     """Capitalise each word; a word ends at anything but a letter, digit or apostrophe.
 
-    `initcap` alone only looks at blanks and leaves `Wells-next-the-sea`.
+    `initcap` starts words at spaces only and leaves `Wells-next-the-sea`, so
+    every other separator gets a marked space behind it for the moment.
     """
-    pieces = F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}']+|[^\p{L}\p{N}']+)"), 1)
-    return F.array_join(F.transform(pieces, F.initcap), "")
+    marked = F.regexp_replace(c, r"([^\p{L}\p{N}' ])", "$1\u0001 ")
+    return F.replace(F.initcap(marked), F.lit("\u0001 "), F.lit(""))
 
 
 def drop_last_word(c: Column) -> Column:
@@ -36,8 +44,8 @@ def drop_last_word(c: Column) -> Column:
 
 
 def has_text(c: Column) -> Column:
-    """True when the value is present and not empty."""
-    return c.isNotNull() & (c != "")
+    """True when the value is present and not empty, null when it is missing."""
+    return c != ""
 
 
 def or_default(c: Column, default: str) -> Column:

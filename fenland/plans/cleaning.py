@@ -43,21 +43,21 @@ def clean_house_price(raw: DataFrame) -> DataFrame:
     The transaction id is left out before duplicates are removed, so sales that
     agree in every kept column count once.
     """
-    sold = dates.iso_date(F.col("date"))
-    counties = [name for _, name in COUNTIES]
+    # any letter case of a covered county; on the raw column, before the costly text work
+    counties = [name.lower() for _, name in COUNTIES]
     return (
-        raw.select(
-            sold.alias("date"),
+        raw.where(F.lower("county").isin(*counties))
+        .where(text.has_text(text.trim_all(F.col("postcode"))))
+        .select(
+            dates.iso_date(F.col("date")).alias("date"),
             text.trim_all(F.upper("postcode")).alias("postcode"),
             text.title_case(F.col("town")).alias("town"),
             text.title_case(F.col("district")).alias("district"),
             text.title_case(F.col("county")).alias("county"),
             to_number(F.col("price")).alias("price"),
-            F.year(sold).alias("year"),
         )
-        .where(F.col("county").isin(*counties))
-        .where(text.has_text(F.col("postcode")))
-        .where("price IS NOT NULL AND year IS NOT NULL AND district IS NOT NULL")
+        .withColumn("year", F.year("date"))
+        .where("price IS NOT NULL AND date IS NOT NULL AND district IS NOT NULL")
         .distinct()
     )
 
@@ -96,19 +96,22 @@ def read_crime(spark: SparkSession, folder: str, force: str) -> DataFrame:
 
 def clean_crime(raw: DataFrame) -> DataFrame:
     """Typed, trimmed, with place and type, without duplicates; events carry no id, so equal rows count once."""
-    month = dates.month_start(F.col("month"))
+    # the filters test the raw text: each is equal to testing the cleaned value, without computing it twice
+    usable = dates.is_month(F.col("month"))
+    for name in ("lsoa_code", "lsoa_name", "crime_type"):
+        usable = usable & (text.trim_all(F.col(name)) != "")
     return (
-        raw.select(
-            month.alias("month"),
+        raw.where(usable)
+        .select(
+            dates.month_start(F.col("month")).alias("month"),
             text.squish(F.col("reported_by")).alias("reported_by"),
             text.squish(F.col("police_force")).alias("police_force"),
             F.upper(text.trim_all(F.col("lsoa_code"))).alias("lsoa_code"),
             text.squish(F.col("lsoa_name")).alias("lsoa_name"),
             text.title_case(text.squish(F.col("crime_type"))).alias("crime_type"),
             text.or_default(F.col("outcome"), "Unknown").alias("outcome"),
-            F.year(month).alias("year"),
         )
-        .where("month IS NOT NULL AND lsoa_code <> '' AND lsoa_name <> '' AND crime_type <> ''")
+        .withColumn("year", F.year("month"))
         .distinct()
     )
 
