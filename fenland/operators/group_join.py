@@ -31,6 +31,4 @@ def join_group_table(
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Rows per group and distinct value (`_v`, `_k`); repeated values combine map-side."""
-    return (
-        df.select(*keys, F.col(value).alias("_v")).where("_v IS NOT NULL").groupBy(*keys, "_v").agg(F.count("*").alias("_k"))
-    )
+    return df.select(*keys, F.col(value).alias("_v")).groupBy(*keys, "_v").agg(F.count("*").alias("_k"))

@@ -81,9 +81,11 @@ def group_quantiles(
     for i in range(len(order)):
         brackets.append(f"IF({tiny}, _min, _edges[{2 * i}]) AS _low{i}")
         brackets.append(f"IF({tiny}, _max, _edges[{2 * i + 1}]) AS _high{i}")
-    bounds = first.selectExpr(*_quoted(keys), *brackets)
+    # the extra aggregates ride along as grouping columns, so the first pass is read once
+    carry = [name for name in keep if name not in keys] if keys else []
+    bounds = first.selectExpr(*_quoted([*keys, *carry]), *brackets)
 
-    rows = df.selectExpr(*_quoted(keys), f"{v} AS _v").where("_v IS NOT NULL")
+    rows = df.selectExpr(*_quoted(keys), f"{v} AS _v")
     if not keys:
         rows = rows.withColumn("_b", bounds.select(F.struct("*")).scalar()).selectExpr("_v", "1L AS _k", "_b.*")
     elif few_groups:
@@ -93,13 +95,13 @@ def group_quantiles(
 
     cell, close = _cell(len(order))
     counted = (
-        rows.selectExpr(*_quoted(keys), f"{cell} AS _cell", f"IF({close}, _v, NULL) AS _v", "_k")
-        .groupBy(*keys, "_cell", "_v")
+        rows.selectExpr(*_quoted([*keys, *carry]), f"{cell} AS _cell", f"IF({close}, _v, NULL) AS _v", "_k")
+        .groupBy(*keys, *carry, "_cell", "_v")
         .agg(F.sum("_k").alias("_k"))
     )
-    ranks = _wanted_ranks(counted, keys, [(name, probs[name]) for name in order])
-    if keys:
-        return first.select(*keep).join(ranks, list(keys), "left")
+    ranks = _wanted_ranks(counted, keys, carry, [(name, probs[name]) for name in order])
+    if keys or not extra:
+        return ranks
     picked = ranks.select(F.struct("*")).scalar()
     return first.withColumn("_r", picked).select(*keep, "_r.*")
 
@@ -111,9 +113,9 @@ def _quoted(names: Sequence[str]) -> list[str]:
 def _cell(count: int) -> tuple[str, str]:
     """Cell number that never falls as the value grows, and whether the row needs a close look.
 
-    Cells run gap, bracket cells, gap, bracket cells, ..., gap.
+    Cells run gap, bracket cells, gap, bracket cells, ..., gap; nulls are in cell -1.
     """
-    cells, close = [], []
+    cells, close = ["WHEN _v IS NULL THEN -1"], ["WHEN _v IS NULL THEN false"]
     for i in range(count):
         start = i * (GRID + 1)
         step = f"coalesce(try_divide(_v - _low{i}, _high{i} - _low{i}), 0D) * {GRID}"
@@ -124,7 +126,9 @@ def _cell(count: int) -> tuple[str, str]:
     return f"CASE {' '.join(cells)} ELSE {last} END", f"CASE {' '.join(close)} ELSE false END"
 
 
-def _wanted_ranks(counted: DataFrame, keys: Sequence[str], probs: Sequence[tuple[str, float]]) -> DataFrame:
+def _wanted_ranks(
+    counted: DataFrame, keys: Sequence[str], carry: Sequence[str], probs: Sequence[tuple[str, float]]
+) -> DataFrame:
     group = ", ".join(_quoted(keys))
     by_group = f"PARTITION BY {group}" if keys else ""
     by_cell = f"PARTITION BY {group}, _cell" if keys else "PARTITION BY _cell"
@@ -136,8 +140,8 @@ def _wanted_ranks(counted: DataFrame, keys: Sequence[str], probs: Sequence[tuple
             *_quoted(keys),
             "_cell",
             "_size",
-            f"sum(_size) OVER ({by_group}) AS _n",
-            f"sum(_size) OVER ({by_group} ORDER BY _cell) - _size AS _before",
+            f"coalesce(sum(IF(_cell >= 0, _size, NULL)) OVER ({by_group}), 0) AS _n",
+            f"sum(IF(_cell >= 0, _size, 0)) OVER ({by_group} ORDER BY _cell) - _size AS _before",
         )
     )
     ranks = [
@@ -145,24 +149,24 @@ def _wanted_ranks(counted: DataFrame, keys: Sequence[str], probs: Sequence[tuple
         for _, p in probs
         for rank in (f"floor((_n - 1) * {p}D) + 1", f"ceil((_n - 1) * {p}D) + 1")
     ]
-    targets = totals.where(
-        " OR ".join(f"({rank} > _before AND {rank} <= _before + _size)" for rank in ranks)
-    ).drop("_size")
+    # a group of nulls only keeps its null cell, which holds no rank
+    holds = " OR ".join(f"({rank} > _before AND {rank} <= _before + _size)" for rank in ranks)
+    targets = totals.where(f"(_cell >= 0 AND ({holds})) OR (_cell < 0 AND _n = 0)").drop("_size")
     near = counted.join(targets, [*keys, "_cell"])
     if keys:
         # one small exchange by group serves both the running totals and the final aggregate
         near = near.repartition(*keys)
     near = near.selectExpr(
-        *_quoted(keys), "_n", "_v", "_k", f"_before + sum(_k) OVER ({by_cell} ORDER BY _v) AS _end"
+        *_quoted([*keys, *carry]), "_n", "_v", "_k", f"_before + sum(_k) OVER ({by_cell} ORDER BY _v) AS _end"
     )
     value = "coalesce(_v, CAST(raise_error('quantile rank outside its bracket') AS DOUBLE))"
     at = [
-        F.expr(f"max(CASE WHEN {rank} <= _end AND {rank} > _end - _k THEN {value} END)").alias(f"_at{i}")
+        F.expr(f"max(CASE WHEN _n > 0 AND {rank} <= _end AND {rank} > _end - _k THEN {value} END)").alias(f"_at{i}")
         for i, rank in enumerate(ranks)
     ]
-    picked = near.groupBy(*keys).agg(F.max("_n").alias("_n"), *at)
+    picked = near.groupBy(*keys, *carry).agg(F.max("_n").alias("_n"), *at)
     return picked.selectExpr(
-        *_quoted(keys),
+        *_quoted([*keys, *carry]),
         *[
             f"_at{2 * i} + (_at{2 * i + 1} - _at{2 * i}) * ((_n - 1) * {p}D - floor((_n - 1) * {p}D)) AS `{name}`"
             for i, (name, p) in enumerate(probs)
