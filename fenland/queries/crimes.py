@@ -154,16 +154,14 @@ def rate_by_year(spark, sf_dir):
     return rounded(reports.crime_rate_by_year(warehouse(spark, sf_dir), "R"), 6, "rate_per_100k")
 
 
-_AREA_SQL = """SELECT l.lsoa_code, l.lsoa_name, cn.county_name, COUNT(*) AS robbery_count
-FROM fact_crime c
-JOIN dim_lsoa l ON c.lsoa_code = l.lsoa_code
-JOIN dim_county cn ON l.county_id = cn.county_id
-WHERE c.crime_type = {kind} AND c.in_boundary = {flag}
-GROUP BY l.lsoa_code, l.lsoa_name, cn.county_name"""
+_VIEW_SQL = """SELECT county_name, year, count(*) AS events, count(DISTINCT lsoa_code) AS areas
+FROM fact_crime JOIN dim_lsoa USING (lsoa_code) JOIN dim_county USING (county_id)
+WHERE in_boundary = {flag} AND crime_type = {kind}
+GROUP BY county_name, year"""
 
 
-@query("sql_on_views", TABLES_SQL + _AREA_SQL.format(kind="'N'", flag="true"))
+@query("sql_on_views", TABLES_SQL + _VIEW_SQL.format(kind="'N'", flag="true"))
 def sql_on_views(spark, sf_dir):
     """SQL text over the warehouse's views, parameters by name."""
     warehouse(spark, sf_dir).create_views()
-    return spark.sql(_AREA_SQL.format(kind=":kind", flag=":flag"), args={"kind": "N", "flag": True})
+    return spark.sql(_VIEW_SQL.format(kind=":kind", flag=":flag"), args={"kind": "N", "flag": True})

@@ -151,19 +151,17 @@ fact_education AS (
   FROM events),
 town_lookup(district, town) AS (VALUES {", ".join(f"('{d}', '{t}')" for d, t in TOWN_ROWS)}),
 prices AS (
-  SELECT hp.*, d.district_name, c.county_name FROM fact_house_price hp
-  JOIN dim_district d USING (district_id) JOIN dim_county c ON d.county_id = c.county_id),
-speeds AS (SELECT b.*, c.county_name FROM fact_broadband b JOIN dim_county c USING (county_id)),
+  SELECT f.*, d.district_name, c.county_name FROM fact_house_price f
+  JOIN dim_district d USING (district_id) JOIN dim_county c USING (county_id)),
+speeds AS (SELECT * FROM fact_broadband JOIN dim_county USING (county_id)),
 crimes AS (
-  SELECT f.*, l.lsoa_name, l.county_id, c.county_name FROM fact_crime f
-  JOIN dim_lsoa l ON f.lsoa_code = l.lsoa_code JOIN dim_county c ON l.county_id = c.county_id),
+  SELECT * FROM fact_crime JOIN dim_lsoa USING (lsoa_code) JOIN dim_county USING (county_id)),
 county_people AS (
-  SELECT c.county_name, sum(p.population) AS total_population FROM fact_population p
-  JOIN dim_lsoa l ON p.lsoa_code = l.lsoa_code JOIN dim_county c ON l.county_id = c.county_id GROUP BY c.county_name),
+  SELECT county_name, sum(population) AS total_population
+  FROM fact_population JOIN dim_lsoa USING (lsoa_code) JOIN dim_county USING (county_id) GROUP BY county_name),
 scores AS (
-  SELECT e.*, s.town, s.postcode, c.county_name FROM fact_education e
-  JOIN dim_school s ON e.estab = s.estab JOIN dim_county c ON s.county_id = c.county_id
-  WHERE e.att8_score IS NOT NULL)
+  SELECT * FROM fact_education JOIN dim_school USING (estab) JOIN dim_county USING (county_id)
+  WHERE att8_score IS NOT NULL)
 """
 
 
