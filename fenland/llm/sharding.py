@@ -27,11 +27,14 @@ LEAST_BUCKETS, ROWS_PER_BUCKET = 1024, 100_000
 MOST_STEPS = 64
 
 
-def _mix(value: Column, key: int) -> Column:
-    """Round function in plain integer arithmetic, so any SQL engine can repeat it."""
-    x = (value + F.lit(key)) % PRIME
-    x = (x * x + F.lit(key)) % PRIME
-    return (x * x) % PRIME
+def _mix(value: Column, key: Column) -> Column:
+    """Round function in plain integer arithmetic, so any SQL engine can repeat it.
+
+    The fold names each intermediate value once; written out as products the
+    expression would double with every square.
+    """
+    start = (value + key) % PRIME
+    return F.aggregate(F.array(key, F.lit(0).cast("long")), start, lambda x, k: (x * x + k) % PRIME)
 
 
 def _over(value: Column, by: int) -> Column:
@@ -44,52 +47,55 @@ def radix(n: int) -> tuple[int, int]:
     return a, max(1, -(-n // a))
 
 
+def _rounds(keys: tuple[int, ...]) -> list[Column]:
+    return [F.struct(F.lit(key).cast("long").alias("key"), F.lit(i % 2 == 1).alias("odd")) for i, key in enumerate(keys)]
+
+
 def _once(x: Column, n: int, keys: tuple[int, ...]) -> Column:
     a, b = radix(n)
-    left = x % a
-    right = _over(x - left, a)
-    for i, key in enumerate(keys):
-        if i % 2 == 0:
-            left = (left + _mix(right, key)) % a
-        else:
-            right = (right + _mix(left, key)) % b
-    return left + right * a
+    return F.aggregate(
+        F.array(*_rounds(keys)),
+        F.struct((x % a).alias("left"), _over(x, a).alias("right")),
+        lambda s, k: F.struct(
+            F.when(k["odd"], s["left"]).otherwise((s["left"] + _mix(s["right"], k["key"])) % a).alias("left"),
+            F.when(k["odd"], (s["right"] + _mix(s["left"], k["key"])) % b).otherwise(s["right"]).alias("right"),
+        ),
+        lambda s: s["left"] + s["right"] * a,
+    )
 
 
 def _once_back(x: Column, n: int, keys: tuple[int, ...]) -> Column:
     a, b = radix(n)
-    left = x % a
-    right = _over(x - left, a)
-    for i, key in reversed(list(enumerate(keys))):
-        if i % 2 == 0:
-            left = F.pmod(left - _mix(right, key), F.lit(a))
-        else:
-            right = F.pmod(right - _mix(left, key), F.lit(b))
-    return left + right * a
+    minus = lambda left, right, by: F.pmod(left - right, F.lit(by).cast("long"))
+    return F.aggregate(
+        F.array(*reversed(_rounds(keys))),
+        F.struct((x % a).alias("left"), _over(x, a).alias("right")),
+        lambda s, k: F.struct(
+            F.when(k["odd"], s["left"]).otherwise(minus(s["left"], _mix(s["right"], k["key"]), a)).alias("left"),
+            F.when(k["odd"], minus(s["right"], _mix(s["left"], k["key"]), b)).otherwise(s["right"]).alias("right"),
+        ),
+        lambda s: s["left"] + s["right"] * a,
+    )
 
 
 def _walk(x: Column, n: int, step) -> Column:
+    """`step` once, then again for as long as the value is outside [0, n)."""
     a, b = radix(n)
-    outside = a * b - n
-    first = step(x)
-    if not outside:
-        return first
-    end = F.aggregate(
-        F.sequence(F.lit(1), F.lit(min(outside, MOST_STEPS))), first, lambda y, _: F.when(y < n, y).otherwise(step(y))
-    )
-    # the higher-order walk only runs for the few values that left the domain
-    last = F.when(first < n, first).otherwise(end)
-    return F.when(last < n, last).otherwise(F.raise_error(F.lit("walk left the domain")).cast("long"))
+    steps = F.sequence(F.lit(0), F.lit(min(a * b - n, MOST_STEPS)))
+    unmoved = -x.cast("long") - 1  # negative: has taken no step yet
+    move = lambda y, _: F.when((y >= 0) & (y < n), y).otherwise(step(F.when(y < 0, -y - 1).otherwise(y)))
+    inside = lambda y: F.when(y < n, y).otherwise(F.raise_error(F.lit("walk left the domain")).cast("long"))
+    return F.aggregate(steps, unmoved, move, inside)
 
 
 def permuted(row: Column, n: int, keys: tuple[int, ...] = KEYS) -> Column:
     """Place of row number `row` (0 .. n-1) in the shuffled order."""
-    return _walk(row.cast("long"), n, lambda x: _once(x, n, keys))
+    return _walk(row, n, lambda x: _once(x, n, keys))
 
 
 def row_at(shard: Column, slot: Column, n: int, shards: int, keys: tuple[int, ...] = KEYS) -> Column:
     """Row number that stands in a slot of a shard: the inverse of the shuffle."""
-    return _walk((slot * shards + shard).cast("long"), n, lambda x: _once_back(x, n, keys))
+    return _walk(slot * shards + shard, n, lambda x: _once_back(x, n, keys))
 
 
 def number_rows(df: DataFrame, columns: list[str], n: int, name: str = "row_number") -> DataFrame:
@@ -102,7 +108,7 @@ def number_rows(df: DataFrame, columns: list[str], n: int, name: str = "row_numb
     buckets = max(LEAST_BUCKETS, n // ROWS_PER_BUCKET)
     keyed = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
     spread = sum((F.pmod(F.coalesce(F.col(c), F.lit(0)), F.lit(PRIME)) for c in columns), F.lit(0).cast("long"))
-    keyed = keyed.withColumn("_bucket", _mix(spread, KEYS[0]) % F.lit(buckets))
+    keyed = keyed.withColumn("_bucket", _mix(spread, F.lit(KEYS[0]).cast("long")) % F.lit(buckets))
     keyed = cut(keyed)
     sizes = keyed.groupBy("_bucket").agg(F.sum("_n").alias("_size"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
