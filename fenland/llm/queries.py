@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fenland.llm import sharding
+from fenland.llm import piece_tokens, sharding, token_counts
 from fenland.llm.common import read
 from fenland.llm.sql_twins import OP6_SQL
 
@@ -28,3 +29,15 @@ def query(name: str, sql: str | None = None):
 def op6_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard (0 to 39) and slot under the law `rows`."""
     return sharding.assign_shards(read(spark, sf_dir, "documents"), shards=40)
+
+
+@query("op7_piece_round_trip")
+def op7_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's piece ids and of the text they decode to."""
+    return piece_tokens.digest_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op8_prefix_token_counts")
+def op8_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count of every document, and how much of it 512 tokens hold."""
+    return token_counts.count_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
