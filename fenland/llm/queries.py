@@ -7,9 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fenland.llm import piece_tokens, sharding, token_counts
+from fenland.llm import piece_tokens, secrets, sharding, token_counts
 from fenland.llm.common import read
-from fenland.llm.sql_twins import OP6_SQL
+from fenland.llm.sql_twins import OP3_SQL, OP6_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op3_secret_scan", OP3_SQL)
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    return secrets.secret_digests(read(spark, sf_dir, "documents"))
+
+
 @query("op6_feistel_sharding", OP6_SQL)
 def op6_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard (0 to 39) and slot under the law `rows`."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fenland.llm import sharding
+from fenland.llm import secrets, sharding
 
 
 def _mix(value: str, key: int) -> str:
@@ -61,3 +61,57 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, (y % 40)::INTEGER AS shard, (y /
   NULL::INTEGER AS grown_shard, row_number
 FROM numbered JOIN walked ON walked.x = row_number AND walked.y < walked.n
 """
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _located(kind: str, pattern: str, group: int, least: int) -> str:
+    p = _quoted(pattern)
+    return f"""
+      SELECT key, t, {secrets.ORDER[kind]} AS rank, '{kind}' AS kind, value,
+        (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda m: length(m))), 0))::BIGINT AS s,
+        length(found[i]) AS long
+      FROM (SELECT key, t, gaps, found, unnest(range(1, len(found) + 1)) AS i, unnest(regexp_extract_all(t, {p}, {group})) AS value
+        FROM (SELECT key, t, string_split_regex(t, {p}) AS gaps, regexp_extract_all(t, {p}, 0) AS found
+          FROM texts WHERE regexp_matches(t, {p})))
+      WHERE length(value) >= {least}"""
+
+
+_HEX = "regexp_full_match(value, '[0-9a-f]+|[0-9A-F]+')"
+
+# the windows of a candidate are measured one by one here, without running counts
+OP3_SQL = f"""
+WITH texts AS MATERIALIZED (SELECT row_number() OVER () AS key, doc_id, coalesce(text, '') AS t FROM documents),
+base AS MATERIALIZED (
+  SELECT key, rank, kind, s, s + long AS e FROM (
+    {" UNION ALL ".join(_located(kind, *rule) for kind, rule in secrets.KINDS.items())})),
+candidates AS (
+  SELECT key, s, value, long FROM ({_located("entropy", secrets.CANDIDATE, 0, 0)}) c
+  WHERE regexp_matches(value, '[0-9]')
+    AND ((({_HEX}) AND regexp_matches(value, '[A-Fa-f]')) OR (regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')))
+    AND NOT regexp_matches(value, {_quoted(secrets.ALLOWED)})
+    AND NOT EXISTS (SELECT 1 FROM base WHERE base.key = c.key AND base.s < c.s + c.long AND c.s < base.e)),
+windows AS (
+  SELECT key, s, value, w, substr(value, w + 1, {secrets.WINDOW}) AS part
+  FROM (SELECT *, unnest(range(0, long - {secrets.WINDOW} + 1)) AS w FROM candidates)),
+measured AS (
+  SELECT key, s, w, any_value(value) AS value, -sum(n / {secrets.WINDOW}.0 * log2(n / {secrets.WINDOW}.0)) AS bits
+  FROM (SELECT key, s, w, value, c, count(*) AS n FROM (SELECT *, unnest(string_split(part, '')) AS c FROM windows) GROUP BY ALL)
+  GROUP BY key, s, w),
+scanned AS (
+  SELECT key, {secrets.ORDER["entropy"]} AS rank, 'entropy' AS kind, s + min(w) AS s, s + max(w) + {secrets.WINDOW} AS e
+  FROM measured WHERE bits >= (CASE WHEN {_HEX} THEN {secrets.LIMITS["hex"]} ELSE {secrets.LIMITS["mixed"]} END) - 1e-9 / {secrets.WINDOW}
+  GROUP BY key, measured.s),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM scanned),
+per_text AS (
+  SELECT key, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind = 'entropy') AS n_entropy,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (kind <> 'entropy') AS base_spans,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans
+  FROM every GROUP BY key)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_entropy, 0) AS n_entropy
+FROM texts LEFT JOIN per_text USING (key)
+"""
