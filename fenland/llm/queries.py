@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fenland.llm import piece_tokens, secrets, sharding, token_counts
+from fenland.llm import decontamination, piece_tokens, secrets, sharding, token_counts
 from fenland.llm.common import read
 from fenland.llm.sql_twins import OP3_SQL, OP6_SQL
 
@@ -47,3 +47,9 @@ def op7_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count of every document, and how much of it 512 tokens hold."""
     return token_counts.count_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
+@query("op10_edit_decontamination")
+def op10_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that each document holds within the error budget."""
+    return decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
