@@ -7,9 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fenland.llm import decontamination, piece_tokens, secrets, sharding, token_counts
+from fenland.llm import decontamination, piece_tokens, secrets, sharding, token_counts, vector_dedup
 from fenland.llm.common import read
-from fenland.llm.sql_twins import OP3_SQL, OP6_SQL
+from fenland.llm.sql_twins import OP3_SQL, OP5_SQL, OP6_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +31,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(read(spark, sf_dir, "documents"))
 
 
+@query("op5_embedding_near_dedup", OP5_SQL)
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of the vectors with cosine 0.95 or more."""
+    return vector_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 @query("op6_feistel_sharding", OP6_SQL)
 def op6_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard (0 to 39) and slot under the law `rows`."""
