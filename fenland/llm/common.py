@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,3 +76,37 @@ def components(edges: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def spanning_links(links: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> list[tuple[int, int]]:
+    """Links (node, smallest node) that join what the matrix joins; rows and columns are node numbers."""
+    of_rows, of_columns = rows.astype(np.int64), columns.astype(np.int64)
+    used_rows, used_columns = links.any(axis=1), links.any(axis=0)
+    links = links[used_rows][:, used_columns]
+    of_rows, of_columns = of_rows[used_rows].copy(), of_columns[used_columns].copy()
+    names_r, names_c = of_rows.copy(), of_columns.copy()
+    far = np.iinfo(np.int64).max
+    while True:
+        new_columns = np.minimum(of_columns, np.where(links, of_rows[:, None], far).min(axis=0))
+        new_rows = np.minimum(of_rows, np.where(links, new_columns[None, :], far).min(axis=1))
+        if (new_rows == of_rows).all() and (new_columns == of_columns).all():
+            break
+        of_rows, of_columns = new_rows, new_columns
+    return [*zip(names_r.tolist(), of_rows.tolist(), strict=True), *zip(names_c.tolist(), of_columns.tolist(), strict=True)]
+
+
+def roots_of(links: list[tuple[int, int]], n: int) -> np.ndarray:
+    """The smallest node that each of n nodes is joined to."""
+    up = list(range(n))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    return np.array([root(x) for x in range(n)], dtype=np.int64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fenland.llm import decontamination, piece_tokens, secrets, sharding, token_counts, vector_dedup
+from fenland.llm import decontamination, jaccard_join, piece_tokens, quality, secrets, sharding, token_counts, vector_dedup
 from fenland.llm.common import read
 from fenland.llm.sql_twins import OP3_SQL, OP5_SQL, OP6_SQL
 
@@ -25,12 +25,25 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_quality_score")
+def op1_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels of three quarters of the ids."""
+    return quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.7)
+
+
 @query("op3_secret_scan", OP3_SQL)
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every document."""
     return secrets.secret_digests(read(spark, sf_dir, "documents"))
 
 
+@query("op4_ngram_jaccard_join")
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of the documents whose word five-grams have Jaccard 0.8 or more."""
+    found = jaccard_join.near_copies(read(spark, sf_dir, "documents"), threshold=0.8, words=5)
+    return found.drop("text_key")
+
+
 @query("op5_embedding_near_dedup", OP5_SQL)
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of the vectors with cosine 0.95 or more."""

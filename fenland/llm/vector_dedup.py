@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fenland.llm.common import components, cut
+from fenland.llm.common import components, cut, roots_of, spanning_links
 
 BLOCK = 8192  # vectors of one block
 TILE = 1024  # rows and columns of one product
@@ -65,39 +65,6 @@ def _links(a, b, threshold: float) -> np.ndarray | None:
     return out if out.any() else None
 
 
-def _forest(links: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> list[tuple[int, int]]:
-    """Links (node, smallest node) that join what the matrix joins; rows and columns are node numbers."""
-    of_rows, of_columns = rows.astype(np.int64), columns.astype(np.int64)
-    used_rows, used_columns = links.any(axis=1), links.any(axis=0)
-    links = links[used_rows][:, used_columns]
-    of_rows, of_columns = of_rows[used_rows].copy(), of_columns[used_columns].copy()
-    names_r, names_c = of_rows.copy(), of_columns.copy()
-    far = np.iinfo(np.int64).max
-    while True:
-        new_columns = np.minimum(of_columns, np.where(links, of_rows[:, None], far).min(axis=0))
-        new_rows = np.minimum(of_rows, np.where(links, new_columns[None, :], far).min(axis=1))
-        if (new_rows == of_rows).all() and (new_columns == of_columns).all():
-            break
-        of_rows, of_columns = new_rows, new_columns
-    return [*zip(names_r.tolist(), of_rows.tolist(), strict=True), *zip(names_c.tolist(), of_columns.tolist(), strict=True)]
-
-
-def _roots(links: list[tuple[int, int]], n: int) -> np.ndarray:
-    up = list(range(n))
-
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for a, b in links:
-        a, b = root(a), root(b)
-        if a != b:
-            up[max(a, b)] = min(a, b)
-    return np.array([root(x) for x in range(n)], dtype=np.int64)
-
-
 def _compare(pdf: pd.DataFrame, threshold: float, dtype: str) -> pd.DataFrame:
     pdf = pdf.sort_values(["side", "key"], ignore_index=True)
     raw = np.frombuffer(b"".join(pdf["vector"]), dtype=dtype).reshape(len(pdf), -1).astype(np.float64)
@@ -125,8 +92,8 @@ def _compare(pdf: pd.DataFrame, threshold: float, dtype: str) -> pd.DataFrame:
             else:
                 links[left] += found @ copies[right]
                 links[right] += copies[left] @ found
-            forest += _forest(found, np.arange(left.start, left.stop), np.arange(right.start, right.stop))
-    roots = _roots(forest, len(pdf))
+            forest += spanning_links(found, np.arange(left.start, left.stop), np.arange(right.start, right.stop))
+    roots = roots_of(forest, len(pdf))
     keys = pdf["key"].to_numpy(np.int64)
     used = links > 0
     return pd.DataFrame({"key": keys[used], "links": links[used], "root": keys[roots[used]]})
