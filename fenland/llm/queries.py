@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fenland.llm import decontamination, jaccard_join, piece_tokens, quality, secrets, sharding, token_counts, vector_dedup
+from fenland.llm import decontamination, html_extract, jaccard_join, piece_tokens, quality, secrets, sharding, token_counts, vector_dedup
 from fenland.llm.common import read
 from fenland.llm.sql_twins import OP3_SQL, OP5_SQL, OP6_SQL
 
@@ -31,6 +31,12 @@ def op1_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.7)
 
 
+@query("op2_html_main_text")
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
 @query("op3_secret_scan", OP3_SQL)
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every document."""
