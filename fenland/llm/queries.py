@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fenland.llm import decontamination, html_extract, jaccard_join, piece_tokens, quality, secrets, sharding, token_counts, vector_dedup
+from fenland.llm import decontamination, html_extract, jaccard_join, lm_score, piece_tokens, quality, secrets, sharding, token_counts, vector_dedup
 from fenland.llm.common import read
 from fenland.llm.sql_twins import OP3_SQL, OP5_SQL, OP6_SQL
 
@@ -74,6 +74,12 @@ def op8_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+@query("op9_maxent_lm_score")
+def op9_maxent_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document, with the unigram score as base."""
+    return lm_score.score_documents(read(spark, sf_dir, "documents"))
+
+
 @query("op10_edit_decontamination")
 def op10_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that each document holds within the error budget."""
