@@ -156,24 +156,26 @@ class PieceTable:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        """The library's text of the ids: bytes joined, marks turned to spaces, the first space dropped."""
-        parts, raw = [], bytearray()
+        """The library's text of the ids: bytes joined, marks turned to spaces, a space before the first piece dropped."""
+        parts, raw, first = [], bytearray(), True
         for i in ids:
             piece, _, kind = self.pieces[i]
             if kind == "byte":
                 raw.append(int(piece[3:5], 16))
+                first = False
                 continue
             if raw:
                 parts.append(_as_text(raw))
                 raw = bytearray()
             if kind == "normal":
-                parts.append(piece)
+                parts.append((piece[1:] if first and piece[0] == SPACE else piece).replace(SPACE, " "))
+                first = False
             elif i == self.unknown:
                 parts.append(" ⁇ ")
+                first = False
         if raw:
             parts.append(_as_text(raw))
-        text = "".join(parts).replace(SPACE, " ")
-        return text[1:] if text.startswith(" ") else text
+        return "".join(parts)
 
 
 def _as_text(raw: bytearray) -> str:
