@@ -1,76 +1,65 @@
-"""Student t tail and critical value as native expressions (degrees of freedom are whole numbers).
+"""Student t tail and critical value as native expressions, one formula for all degrees of freedom.
 
-Two-sided tail, with x = nu / (nu + t^2) and cos^2(theta) = x:
+With w = t^2 / nu, x = 1 / (1 + w) and a = nu / 2 the two-sided tail is the incomplete beta
+function I_x(a, 1/2):
 
-* x >= 0.9: the finite trigonometric series of the distribution function;
-* x < 0.9: the tail itself, I_x(nu/2, 1/2), as a series of positive terms, so
-  very small p-values keep their relative accuracy;
-* nu above `EXACT_LIMIT`: a normal deviate for t, then the normal tail.
+* x below (a + 1) / (a + 5/2): its continued fraction, so that very small tails keep
+  their relative accuracy;
+* else 1 - I_(1-x)(1/2, a), a series of positive terms that falls faster than 2^-n.
+
+Which one runs depends on x only through the point where the fraction starts to
+converge fast; both hold for every nu. log B(a, 1/2) comes from the asymptotic series of a
+ratio of gamma functions at a + 16 and sixteen exact steps back.
 """
 
 from __future__ import annotations
 
-EXACT_LIMIT = 10000
 _PI = "3.141592653589793D"
+_FRACTION_STEPS = 200
+_SERIES_TERMS = 100
+_SHIFT = 16
 
 
 def two_sided_p(t: str, nu: str) -> str:
     """SQL text of P(|T| > |t|) for the SQL texts of t and nu."""
     t, nu = f"CAST({t} AS DOUBLE)", f"CAST({nu} AS DOUBLE)"
-    x = f"({nu} / ({nu} + ({t}) * ({t})))"
-    exact = f"CASE WHEN {x} >= 0.9D THEN {_central_p(t, nu)} ELSE {_tail_p(x, nu)} END"
+    # the fold names w once
+    tail = f"aggregate(array({t} * {t} / {nu}), 0D, (none, w) -> {_tail('w', nu)})"
     return (
-        f"CASE WHEN {t} IS NULL OR {nu} < 1 THEN NULL "
-        f"WHEN {nu} <= {EXACT_LIMIT} THEN greatest(0D, least(1D, {exact})) "
-        f"ELSE {_normal_p(t, nu)} END"
+        f"CASE WHEN {t} IS NULL OR {nu} < 1 THEN NULL WHEN {t} = 0 THEN 1D "
+        f"WHEN isnan({t}) THEN {t} WHEN abs({t}) = double('infinity') THEN 0D ELSE greatest(0D, least(1D, {tail})) END"
     )
 
 
 def critical_t(nu: str, confidence: float = 0.95) -> str:
-    """SQL text of the t whose two-sided tail is 1 - confidence, by bisection."""
+    """SQL text of the t whose two-sided tail is 1 - confidence, by bisection.
+
+    The value for one degree of freedom, tan(pi * confidence / 2), is above all others.
+    """
     tail = two_sided_p("(s[0] + s[1]) / 2", nu)
     step = f"IF({tail} > {1 - confidence!r}D, array((s[0] + s[1]) / 2, s[1]), array(s[0], (s[0] + s[1]) / 2))"
-    search = f"aggregate(sequence(1, 60), array(0D, 1000D), (s, b) -> {step}, s -> (s[0] + s[1]) / 2)"
+    top = f"2 * tan({_PI} * {confidence!r}D / 2)"
+    search = f"aggregate(sequence(1, 80), array(0D, {top}), (s, b) -> {step}, s -> (s[0] + s[1]) / 2)"
     return f"CASE WHEN {nu} >= 1 THEN {search} END"
 
 
-def _sum(count: str, first: str, factor: str) -> str:
-    """Sum of `count` terms; `factor` is the ratio of term i + 1 to term i, in the number i."""
-    return (
-        f"aggregate(sequence(1, CAST({count} AS INT)), array({first}, 0D), "
-        f"(z, i) -> array(z[0] * {factor}, z[1] + z[0]), z -> z[1])"
-    )
-
-
-def _central_p(t: str, nu: str) -> str:
-    theta = f"atan(abs({t}) / sqrt({nu}))"
-    square = f"pow(cos({theta}), 2)"
-    odd_sum = _sum(f"({nu} - 1) / 2", f"cos({theta})", f"{square} * (2 * i) / (2 * i + 1)")
-    even_sum = _sum(f"{nu} / 2", "1D", f"{square} * (2 * i - 1) / (2 * i)")
-    return (
-        f"CASE WHEN {nu} = 1 THEN 1 - 2 * {theta} / {_PI} "
-        f"WHEN {nu} % 2 = 1 THEN 1 - 2 / {_PI} * ({theta} + sin({theta}) * {odd_sum}) "
-        f"ELSE 1 - sin({theta}) * {even_sum} END"
-    )
-
-
-def _tail_p(x: str, nu: str) -> str:
+def _tail(w: str, nu: str) -> str:
     a = f"({nu} / 2)"
-    terms = f"ceil(40D / -ln({x})) + 1"
-    series = _sum(terms, "1D", f"{x} * ({a} + 0.5D + i - 1) / ({a} + i)")
-    # log B(a, 1/2): from B(1/2, 1/2) = pi or B(1, 1/2) = 2 by B(a + 1, 1/2) = B(a, 1/2) * a / (a + 1/2)
-    steps = f"CAST(ceil({nu} / 2) - 1 AS INT)"
-    base = f"IF({nu} % 2 = 1, 0.5D, 1D)"
-    log_beta = (
-        f"(ln(IF({nu} % 2 = 1, {_PI}, 2D)) + IF({steps} > 0, aggregate(sequence(0, greatest({steps} - 1, 0)), 0D, "
-        f"(l, j) -> l + ln(({base} + j) / ({base} + j + 0.5D))), 0D))"
+    x, y = f"(1 / (1 + {w}))", f"({w} / (1 + {w}))"
+    front = f"exp(0.5D * ln({y}) - {a} * log1p({w}) - {_log_beta(a)})"
+    even = f"(k div 2) * (0.5D - k div 2) * {x} / (({a} + k - 1) * ({a} + k))"
+    odd = f"-({a} + k div 2) * ({a} + k div 2 + 0.5D) * {x} / (({a} + k - 1) * ({a} + k))"
+    fraction = f"aggregate(sequence({_FRACTION_STEPS}, 1, -1), 1D, (f, k) -> 1 + IF(k % 2 = 0, {even}, {odd}) / f)"
+    series = (
+        f"aggregate(sequence(0, {_SERIES_TERMS - 1}), array(1D, 0D), "
+        f"(z, n) -> array(z[0] * {y} * ({a} + 0.5D + n) / (1.5D + n), z[1] + z[0]), z -> z[1])"
     )
-    return f"exp({a} * ln({x}) + 0.5D * ln(1 - {x}) - ln({a}) - {log_beta}) * {series}"
+    return f"IF({x} < ({a} + 1) / ({a} + 2.5D), {front} / {a} / {fraction}, 1 - 2 * {front} * {series})"
 
 
-def _normal_p(t: str, nu: str) -> str:
-    z = f"((8 * {nu} + 1) / (8 * {nu} + 3) * sqrt({nu} * log1p({t} * {t} / {nu})))"
-    density = f"(exp(-0.5D * {z} * {z}) / sqrt(2 * {_PI}))"
-    inner = _sum("60", z, f"{z} * {z} / (2 * i + 1)")
-    fraction = f"aggregate(sequence(100, 1, -1), {z}, (f, i) -> {z} + i / f)"
-    return f"CASE WHEN {z} < 2 THEN 1 - 2 * {density} * {inner} ELSE 2 * {density} / {fraction} END"
+def _log_beta(a: str) -> str:
+    z = f"({a} + {_SHIFT})"
+    # fixed values: coefficients of the series of ln(gamma(z + 1/2) / gamma(z)) - ln(z) / 2 in odd powers of 1 / z
+    series = f"(-1 / 8D + (1 / 192D + (-1 / 640D + (17 / 14336D - 31 / 18432D / ({z} * {z})) / ({z} * {z})) / ({z} * {z})) / ({z} * {z})) / {z}"
+    back = f"aggregate(sequence(0, {_SHIFT - 1}), 0D, (l, j) -> l + log1p(0.5D / ({a} + j)))"
+    return f"(0.5D * ln({_PI}) - 0.5D * ln({z}) - {series} + {back})"

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 import random
 import statistics
 
@@ -298,11 +300,25 @@ def test_t_tail_and_critical_value(spark, nu, t):
     assert crit == pytest.approx(t, rel=1e-9)
 
 
-def test_t_tail_is_continuous_where_the_formula_changes(spark):
+def test_t_tail_and_critical_value_at_the_ends(spark):
+    assert spark.range(1).selectExpr(critical_t("1", 0.9999)).first()[0] == pytest.approx(6366.19767131205, rel=1e-9)
+    assert spark.range(1).selectExpr(critical_t("1000000", 0.95)).first()[0] == pytest.approx(1.95996636, rel=1e-7)
+    # one and two degrees of freedom have closed forms, a million is a normal tail up to 1e-6
+    for t in (0.3, 1.0, 1.5, 3.0, 200.0):
+        tails = spark.createDataFrame([(t, nu) for nu in (1, 2, 10**6)], "t double, nu int").selectExpr(two_sided_p("t", "nu")).collect()
+        assert tails[0][0] == pytest.approx(2 / math.pi * math.atan(1 / t), rel=1e-11)
+        assert tails[1][0] == pytest.approx(2 / (2 + t * t + t * math.sqrt(2 + t * t)), rel=1e-11)
+        assert tails[2][0] == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-4)
+
+
+def test_t_tail_has_no_steps(spark):
     df = spark.createDataFrame([(2.5, nu) for nu in (9999, 10000, 10001, 10002)], "t double, nu int")
     ps = [r[0] for r in df.selectExpr(two_sided_p("t", "nu")).collect()]
-    assert max(ps) - min(ps) < 1e-7
-    # x = nu / (nu + t^2) crosses 0.9 at t = sqrt(nu / 9)
-    around = spark.createDataFrame([((20 / 9) ** 0.5 - 1e-9, 20), ((20 / 9) ** 0.5 + 1e-9, 20)], "t double, nu int")
-    a, b = [r[0] for r in around.selectExpr(two_sided_p("t", "nu")).collect()]
-    assert a == pytest.approx(b, abs=1e-8)
+    assert all(1.5e-9 < a - b < 1.6e-9 for a, b in zip(ps, ps[1:], strict=False))
+    # the fraction takes over from the series at x = (a + 1) / (a + 5/2)
+    for nu in (1, 20, 5000):
+        a = nu / 2
+        t = math.sqrt(nu * ((a + 2.5) / (a + 1) - 1))
+        around = spark.createDataFrame([(t * (1 - 1e-12), nu), (t * (1 + 1e-12), nu)], "t double, nu int")
+        low, high = [r[0] for r in around.selectExpr(two_sided_p("t", "nu")).collect()]
+        assert low == pytest.approx(high, rel=1e-10)
