@@ -19,8 +19,8 @@ def hash_bucket(*columns: str, buckets: int = BUCKETS) -> Column:
 def number_rows(df: DataFrame, name: str, bucket: Column, order: Sequence[str]) -> DataFrame:
     """Dense numbers from 1 in the order (bucket, *order).
 
-    One count per bucket gives each bucket's offset (at most as many rows as
-    there are buckets, so they may be broadcast); inside a bucket a window
+    One count per bucket gives each bucket's offset (Spark picks the join by the
+    measured number of buckets, which is the caller's); inside a bucket a window
     numbers the rows. The bucket depends on the row's content only, so a task
     that runs again after a lost executor gives the same numbers.
     """
@@ -34,6 +34,6 @@ def number_rows(df: DataFrame, name: str, bucket: Column, order: Sequence[str])
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
     return (
         placed.withColumn("_inside", inside)
-        .join(F.broadcast(offsets), "_bucket")
+        .join(offsets, "_bucket")
         .select((F.col("_offset") + F.col("_inside")).cast("long").alias(name), *df.columns)
     )

@@ -13,8 +13,9 @@ it is not. Here the work is split:
 3. running totals over the cells (a fixed number per group) name the few cells
    that hold a wanted rank; only their values are ordered.
 
-The result is exact: the sketch only decides which rows are looked at closely,
-and a rank outside its bracket stops the job. Quantiles are interpolated
+The result is exact: the sketch only decides which rows are looked at closely.
+Its error bound puts every wanted rank inside the bracket; should a sketch break that
+bound, the job ends with an error and not with a wrong value. Quantiles are interpolated
 linearly between the two nearest ranks, `h = (n - 1) p`.
 """
 
@@ -27,9 +28,12 @@ from pyspark.sql import functions as F
 
 from fenland.operators.group_join import join_group_table, value_counts
 
-# A sketch of accuracy A is off by at most n/A ranks; brackets allow twice that.
-# Groups of up to 10 A rows are bracketed by their minimum and maximum instead.
+# A sketch of accuracy A is off by at most n/A ranks, and the interpolated rank (n - 1) p lies
+# within two ranks of n p. So a bracket edge at p -+ d is safe once d n >= n/A + 2: each
+# group takes the nearest rung d of a ladder that is, whatever its size. The last rung
+# is the whole group, from minimum to maximum.
 ACCURACY = 1000
+RUNGS = 9  # 2/A, 4/A, 8/A, ... of the rows
 GRID = 1024
 
 
@@ -61,12 +65,8 @@ def group_quantiles(
     broadcast; otherwise rows are counted per value first and the join is salted.
     """
     order = sorted(probs, key=probs.get)
-    margin = 2.0 / accuracy
-    edges = [
-        edge
-        for name in order
-        for edge in (max(probs[name] - margin, 0.0), min(probs[name] + margin, 1.0))
-    ]
+    rungs = [2.0**k / accuracy for k in range(1, RUNGS + 1)]
+    edges = [edge for name in order for d in rungs for edge in (max(probs[name] - d, 0.0), min(probs[name] + d, 1.0))]
     v = f"CAST(`{value}` AS DOUBLE)"
     first = df.groupBy(*keys).agg(
         F.expr(f"count({v})").alias("_n"),
@@ -76,12 +76,14 @@ def group_quantiles(
         *extra,
     )
     keep = [name for name in first.columns if name not in ("_n", "_min", "_max", "_edges")]
-    tiny = f"_n <= {10 * accuracy}"
+    # the first rung whose share of the rows covers the sketch's error and two ranks; past the ladder the whole group
+    rung = f"greatest(0, CAST(ceil(log2(1D + 2D * {accuracy} / greatest(_n, 1))) AS INT) - 1)"
     brackets = []
     for i in range(len(order)):
-        brackets.append(f"IF({tiny}, _min, _edges[{2 * i}]) AS _low{i}")
-        brackets.append(f"IF({tiny}, _max, _edges[{2 * i + 1}]) AS _high{i}")
-    # the extra aggregates ride along as grouping columns, so the first pass is read once
+        for end, (side, whole) in enumerate((("low", "_min"), ("high", "_max"))):
+            place = f"{2 * RUNGS * i} + 2 * ({rung}) + {end}"
+            brackets.append(f"IF({rung} >= {RUNGS}, {whole}, _edges[{place}]) AS _{side}{i}")
+    # the extra aggregates ride along with the brackets, so the first pass is read once
     carry = [name for name in keep if name not in keys] if keys else []
     bounds = first.selectExpr(*_quoted([*keys, *carry]), *brackets)
 
@@ -96,8 +98,8 @@ def group_quantiles(
     cell, close = _cell(len(order))
     counted = (
         rows.selectExpr(*_quoted([*keys, *carry]), f"{cell} AS _cell", f"IF({close}, _v, NULL) AS _v", "_k")
-        .groupBy(*keys, *carry, "_cell", "_v")
-        .agg(F.sum("_k").alias("_k"))
+        .groupBy(*keys, "_cell", "_v")
+        .agg(F.sum("_k").alias("_k"), *_any(carry))
     )
     ranks = _wanted_ranks(counted, keys, carry, [(name, probs[name]) for name in order])
     if keys or not extra:
@@ -106,6 +108,15 @@ def group_quantiles(
     return first.withColumn("_r", picked).select(*keep, "_r.*")
 
 
+def _any(carry: Sequence[str]) -> list[Column]:
+    """One value per group of columns that are equal in it.
+
+    They are not grouping keys: a floating mean computed again after a lost
+    executor may differ in its last bit, which would split the group.
+    """
+    return [F.max(name).alias(name) for name in carry]
+
+
 def _quoted(names: Sequence[str]) -> list[str]:
     return [f"`{name}`" for name in names]
 
@@ -164,7 +175,7 @@ def _wanted_ranks(
         F.expr(f"max(CASE WHEN _n > 0 AND {rank} <= _end AND {rank} > _end - _k THEN {value} END)").alias(f"_at{i}")
         for i, rank in enumerate(ranks)
     ]
-    picked = near.groupBy(*keys, *carry).agg(F.max("_n").alias("_n"), *at)
+    picked = near.groupBy(*keys).agg(F.max("_n").alias("_n"), *_any(carry), *at)
     return picked.selectExpr(
         *_quoted([*keys, *carry]),
         *[

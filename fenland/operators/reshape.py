@@ -23,12 +23,17 @@ def to_wide(df: DataFrame, ids: Sequence[str], name: str, value: str, labels: Se
 def complete(df: DataFrame, group: str, domain: str) -> DataFrame:
     """Add the missing (group, domain value) combinations with nulls elsewhere.
 
-    The domain is a calendar (years present): its distinct values are one small
-    sorted array, read as a scalar sub-query and exploded per group.
+    The domain is a calendar (years present). Rows are gathered once per group; the
+    calendar is taken from that same exchange and laid over each group's rows.
     """
-    values = df.agg(F.array_sort(F.collect_set(domain))).scalar()
-    pairs = df.select(group).distinct().withColumn(domain, F.explode(values))
-    return pairs.join(df, [group, domain], "left").select(*df.columns)
+    others = [c for c in df.columns if c != group]
+    grouped = df.groupBy(group).agg(F.collect_list(F.struct(*others)).alias("_rows"))
+    values = grouped.select(F.explode(f"_rows.{domain}").alias("_value")).distinct()
+    values = values.agg(F.array_sort(F.collect_set("_value"))).scalar()
+    pairs = grouped.withColumn("_value", F.explode(values))
+    met = F.filter("_rows", lambda r: r[domain] == F.col("_value"))
+    out = pairs.select(group, "_value", F.explode_outer(met).alias("_row"))
+    return out.select(*[F.col(group) if c == group else F.col("_value").alias(c) if c == domain else F.col(f"_row.{c}") for c in df.columns])
 
 
 def frequency(df: DataFrame, *columns: str, name: str = "n") -> DataFrame:
@@ -45,10 +50,12 @@ def cross_tab(df: DataFrame, row: str, column: str, labels: Sequence[str]) -> Da
 def with_bounds_rows(df: DataFrame, key: str, columns: Sequence[str], headroom: float = 1.1) -> DataFrame:
     """The frame with two rows on top: axis maximum (`ceil(max * headroom)`) and zero."""
     top = F.ceil(F.greatest(*[F.max(c) for c in columns]) * headroom).cast("double")
-    limit = df.agg(top.alias("_top"))
 
-    def row(label: str, value: Column) -> DataFrame:
-        return limit.select(F.lit(label).alias(key), *[value.alias(c) for c in columns])
+    def row(label: str, value: Column) -> Column:
+        return F.struct(F.lit(label).alias(key), *[value.alias(c) for c in columns])
 
-    body = df.select(key, *[F.col(c).cast("double").alias(c) for c in columns])
-    return row("axis_max", F.col("_top")).union(row("axis_min", F.lit(0.0))).union(body)
+    # one row per county and two more: the frame is read once, as an array
+    body = F.collect_list(F.struct(F.col(key).cast("string").alias(key), *[F.col(c).cast("double").alias(c) for c in columns]))
+    rows = df.agg(top.alias("_top"), body.alias("_body"))
+    ends = F.array(row("axis_max", F.col("_top")), row("axis_min", F.lit(0.0)))
+    return rows.select(F.explode(F.concat(ends, F.col("_body"))).alias("_row")).select("_row.*")

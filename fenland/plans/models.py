@@ -43,7 +43,7 @@ def town_parts(df: DataFrame, keys: list[str], value: str, towns: DataFrame, mod
     """Sums per postcode district (and `keys`) with the town name, null where the lookup has none."""
     district = geography.postcode_district(F.col("postcode"), mode)
     parts = reports.sums(df.withColumn("district", district), [*keys, "district"], value)
-    return parts.join(F.broadcast(towns), "district", "left")
+    return parts.join(towns, "district", "left")
 
 
 def town_means(parts: DataFrame, mean: str, count: str) -> DataFrame:
@@ -87,12 +87,13 @@ def score_parts(w: Warehouse, towns: DataFrame | None = None, mode: str = "greed
         .withColumn("district", district)
         .groupBy("district")
         .agg(*[F.sum(c).alias(c) for c in ("part_sum", "part_count", "part_rows")])
-        .join(F.broadcast(_towns(w, towns)), "district", "left")
+        .join(_towns(w, towns), "district", "left")
     )
 
 
 def _towns(w: Warehouse, towns: DataFrame | None) -> DataFrame:
-    return towns if towns is not None else literal_tables.town_lookup(w.dim_county.sparkSession)
+    """The caller's table as it is; the fixed lookup (131 rows) with a broadcast hint."""
+    return towns if towns is not None else F.broadcast(literal_tables.town_lookup(w.dim_county.sparkSession))
 
 
 # ---- model frames --------------------------------------------------------

@@ -87,15 +87,20 @@ def population_by_county(w: Warehouse) -> DataFrame:
 # ---- house prices --------------------------------------------------------
 
 
+def in_year(df: DataFrame, year: int, date: str) -> DataFrame:
+    """Rows of one year, by the year column (partitions) and as a date range (row groups)."""
+    return df.where((F.col("year") == year) & dates.in_span(F.col(date), f"{year}-01-01", f"{year + 1}-01-01"))
+
+
 def price_distribution(w: Warehouse, year: int = 2025) -> DataFrame:
     """Price statistics per county for one year."""
-    prices = with_district(w.fact_house_price.where(F.col("year") == year), w)
+    prices = with_district(in_year(w.fact_house_price, year, "date"), w)
     return aggregates.group_statistics(prices, ["county_name"], "price", "price", few_groups=True)
 
 
 def price_boxes(w: Warehouse, year: int = 2025, p: float = 0.99) -> DataFrame:
     """Box statistics per county for one year, the top of the prices cut off."""
-    kept = aggregates.trim_top(w.fact_house_price.where(F.col("year") == year), "price", p)
+    kept = aggregates.trim_top(in_year(w.fact_house_price, year, "date"), "price", p)
     return aggregates.box_statistics(with_district(kept, w), ["county_name"], "price", few_groups=True)
 
 
@@ -128,8 +133,9 @@ def price_trend(w: Warehouse, max_year: int | None = None) -> DataFrame:
 def speed_by_area(w: Warehouse, county: str, min_rows: int = 20, mode: str = "greedy") -> DataFrame:
     """Download-speed boxes per postcode district of a county, slowest median first."""
     areas = _area_speeds(w, county, mode)
-    # postcode districts: two letters and two digits at most, a fixed domain
-    boxes = aggregates.box_statistics(areas, ["town_code"], "avg_speed", min_rows=min_rows, few_groups=True)
+    # two letters and two digits at most are a fixed domain; outward codes are free text
+    few = mode == "greedy"
+    boxes = aggregates.box_statistics(areas, ["town_code"], "avg_speed", min_rows=min_rows, few_groups=few)
     return boxes.orderBy("median", "town_code")
 
 
@@ -158,8 +164,9 @@ def speed_summary(w: Warehouse) -> DataFrame:
 
 def crime_months(w: Warehouse, crime_type: str, year: int) -> DataFrame:
     """Events per month and county of one type in one year."""
+    span = dates.in_span(F.col("crime_date"), f"{year}-01-01", f"{year + 1}-01-01")
     counts = crime_counts(
-        w, crime_type, {"year_month": dates.year_month(F.col("crime_date"))}, where=F.col("year") == year
+        w, crime_type, {"year_month": dates.year_month(F.col("crime_date"))}, where=(F.col("year") == year) & span
     )
     return counts.groupBy("year_month", "county_id", "county_name").agg(F.sum("crime_count").alias("crime_count"))
 
@@ -271,6 +278,11 @@ def attainment_boxes(w: Warehouse) -> DataFrame:
     return aggregates.box_statistics(_county_scores(w), ["county_name"], "att8_score", few_groups=True)
 
 
+def attainment_outliers(w: Warehouse) -> DataFrame:
+    """The scores beyond the whiskers of their county's box."""
+    return aggregates.box_outliers(_county_scores(w), ["county_name"], "att8_score", attainment_boxes(w), few_groups=True)
+
+
 def _county_scores(w: Warehouse) -> DataFrame:
     scores = w.fact_education.where("att8_score IS NOT NULL").select("estab", "att8_score")
     rows = with_county(scores.join(w.dim_school.select("estab", "county_id"), "estab"), w)

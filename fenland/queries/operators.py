@@ -193,8 +193,9 @@ WHERE l_returnflag = 'A' AND year(l_shipdate) = 1997 GROUP BY ALL""",
 def named_parameters(spark, sf_dir):
     return spark.sql(
         """SELECT date_format(l_shipdate, 'yyyy-MM') AS year_month, l_linestatus, count(*) AS crime_count
-FROM {lines} WHERE l_returnflag = :kind AND year(l_shipdate) = :year GROUP BY year_month, l_linestatus""",
-        args={"kind": "A", "year": 1997},
+FROM {lines} WHERE l_returnflag = :kind AND l_shipdate >= CAST(:first AS DATE) AND l_shipdate < CAST(:until AS DATE)
+GROUP BY year_month, l_linestatus""",
+        args={"kind": "A", "first": "1997-01-01", "until": "1998-01-01"},
         lines=table(spark, sf_dir, "lineitem"),
     )
 

@@ -52,7 +52,7 @@ FROM one_year WHERE price > 0 AND price < (SELECT p99 FROM cut) GROUP BY county_
 )
 def price_trim_p99(spark, sf_dir):
     w = warehouse(spark, sf_dir)
-    kept = aggregates.trim_top(w.fact_house_price.where("year = 2000"), "price", 0.99)
+    kept = aggregates.trim_top(reports.in_year(w.fact_house_price, 2000, "date"), "price", 0.99)
     return (
         reports.with_district(kept, w)
         .groupBy("county_name")

@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare, connect
+from fenland.queries.registry import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).is_dir(), reason="no benchmark tables")
@@ -18,9 +19,9 @@ def duck():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, duck, name):
-    assert compare(spark, duck, name, entry.queries()[name], entry.oracle_sql()[name], SF_DIR) == []
+    assert compare(spark, duck, name, QUERIES[name], ORACLES[name], SF_DIR) == []
 
 
 def test_entry(spark):
