@@ -26,7 +26,25 @@ def _shaped_date(c: Column, order: str) -> Column:
 
 
 def _dashed(c: Column) -> Column:
-    return F.regexp_replace(trim_all(c), r"[/. ]+", "-")
+    return F.regexp_replace(trim_all(c), r"[/., ]+", "-")
+
+
+# fixed values: month names by their first three letters
+_MONTH_NAMES = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+
+
+def _numbered_month(c: Column) -> Column:
+    """Month names, short or long, as numbers; text without letters as it is."""
+    names = F.array(*[F.struct(F.lit(f"(?i)(?<![a-z]){m}[a-z]*").alias("name"), F.lit(str(k)).alias("number")) for k, m in enumerate(_MONTH_NAMES, 1)])
+    numbered = F.aggregate(names, c, lambda text, m: F.regexp_replace(text, m["name"], m["number"]))
+    return F.when(c.rlike("(?i)[a-z]"), numbered).otherwise(c)
+
+
+def _full_year(text: Column, order: str) -> Column:
+    """A two-digit year with four digits: 69 to 99 are 19xx, 00 to 68 are 20xx."""
+    before, after = ("^", "(?=-[^-]+-[^-]+$)") if order == "ymd" else ("(?<=^[^-]{1,2}-[^-]{1,2}-)", "$")
+    old = F.regexp_replace(text, f"{before}(69|[7-9][0-9]){after}", "19$1")
+    return F.regexp_replace(old, f"{before}([0-9]{{2}}){after}", "20$1")
 
 
 def iso_date(c: Column) -> Column:
@@ -36,18 +54,33 @@ def iso_date(c: Column) -> Column:
 
 def is_month(c: Column) -> Column:
     """True when `month_start` finds a month; cheaper than parsing."""
-    return _dashed(c).rlike(f"^{_YEAR}-{_MONTH}$")
+    return _dashed(c).rlike(f"^{_YEAR}-{_MONTH}$|^{_YEAR}(0[1-9]|1[0-2])$")
 
 
 def month_start(c: Column) -> Column:
-    """First day of a year-month; null for anything else."""
-    return _shaped_date(F.concat(_dashed(c), F.lit("-01")), "ymd")
+    """First day of a year-month, `2024-05` or `202405`; null for anything else."""
+    text = F.regexp_replace(_dashed(c), "^([0-9]{4})([0-9]{2})$", "$1-$2")
+    return _shaped_date(F.concat(text, F.lit("-01")), "ymd")
 
 
 def mixed_date(c: Column, orders: Sequence[str]) -> Column:
     """Date from text in one of several day/month/year orders, the first that fits wins."""
     text = _dashed(c)
-    return F.coalesce(*[_shaped_date(text, order) for order in orders])
+    plain = [_shaped_date(text, order) for order in orders]
+    # names and short years are rare, so they are tried last; the array names the text once
+    named, led = text.rlike("(?i)[a-z]"), text.rlike("(?i)^[a-z]")
+
+    def first_of(t: Column, tried: Sequence[str]) -> Column:
+        return F.coalesce(F.lit(None).cast("date"), *[_shaped_date(_full_year(t, order), order) for order in tried])
+
+    def spelled(t: Column) -> Column:
+        # where the name stands tells the month's place, so only orders with that place fit
+        leading, inside = [o for o in orders if o == "mdy"], [o for o in orders if o != "mdy"]
+        return F.when(led, first_of(t, leading)).when(named, first_of(t, inside)).otherwise(first_of(t, orders))
+
+    rest = F.transform(F.array(_numbered_month(text)), spelled)[0]
+    return F.coalesce(*plain, F.when(text.rlike("^[0-9A-Za-z]+-[0-9A-Za-z]+-[0-9]+$"), rest))
+
 
 
 def year_month(c: Column) -> Column:

@@ -296,15 +296,17 @@ def dirty_numbers(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", score.alias("score"))
 
 
-_DATE_TEXT = """CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%-m/%-d/%Y') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d')
-  WHEN 2 THEN '28' || strftime(o_orderdate, '/%-m/%Y') ELSE 'junk' END"""
+_DATE_TEXT = """CASE WHEN o_orderkey % 9 = 5 THEN strftime(o_orderdate, '%d %B %Y') WHEN o_orderkey % 9 = 7 THEN strftime(o_orderdate, '%b-%d-%y')
+  ELSE CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%-m/%-d/%Y') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d')
+  WHEN 2 THEN '28' || strftime(o_orderdate, '/%-m/%Y') ELSE 'junk' END END"""
 
 
 def _mixed_dates(spark, sf_dir):
     raw = F.expr(
-        """CASE o_orderkey % 4 WHEN 0 THEN date_format(o_orderdate, 'M/d/yyyy')
+        """CASE WHEN o_orderkey % 9 = 5 THEN date_format(o_orderdate, 'dd MMMM yyyy') WHEN o_orderkey % 9 = 7 THEN date_format(o_orderdate, 'MMM-dd-yy')
+           ELSE CASE o_orderkey % 4 WHEN 0 THEN date_format(o_orderdate, 'M/d/yyyy')
            WHEN 1 THEN date_format(o_orderdate, 'yyyy-MM-dd')
-           WHEN 2 THEN concat('28', date_format(o_orderdate, '/M/yyyy')) ELSE 'junk' END"""
+           WHEN 2 THEN concat('28', date_format(o_orderdate, '/M/yyyy')) ELSE 'junk' END END"""
     )
     rows = table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw"))
     return rows.withColumn("parsed", dates.mixed_date(F.col("raw"), ["mdy", "ymd", "dmy"]))
@@ -313,14 +315,14 @@ def _mixed_dates(spark, sf_dir):
 @query(
     "mixed_dates",
     f"""SELECT o_orderkey, {_DATE_TEXT} AS raw,
-  CASE o_orderkey % 4 WHEN 2 THEN make_date(year(o_orderdate), month(o_orderdate), 28)
-    WHEN 3 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS parsed FROM orders""",
+  CASE WHEN o_orderkey % 9 IN (5, 7) THEN CAST(o_orderdate AS DATE) ELSE CASE o_orderkey % 4 WHEN 2 THEN make_date(year(o_orderdate), month(o_orderdate), 28)
+    WHEN 3 THEN NULL ELSE CAST(o_orderdate AS DATE) END END AS parsed FROM orders""",
 )
 def mixed_dates(spark, sf_dir):
     return _mixed_dates(spark, sf_dir)
 
 
-@query("unparsed_dates", "SELECT count(CASE WHEN o_orderkey % 4 = 3 THEN 1 END) AS unparsed, count(*) AS total FROM orders")
+@query("unparsed_dates", "SELECT count(CASE WHEN o_orderkey % 4 = 3 AND o_orderkey % 9 NOT IN (5, 7) THEN 1 END) AS unparsed, count(*) AS total FROM orders")
 def unparsed_dates(spark, sf_dir):
     return profile.unparsed_count(_mixed_dates(spark, sf_dir), "parsed")
 

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import csv
-from collections import defaultdict
 from collections.abc import Iterable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
@@ -19,10 +17,14 @@ from fenland.schemas import text_schema
 FILE_ORDER = ["_file", "_block", "_row"]
 
 
-def reader(spark: SparkSession, header: bool) -> DataFrameReader:
-    """Fields are trimmed; empty fields and `NA` are null; quotes are doubled inside quotes."""
+def reader(spark: SparkSession, header: bool, multi_line: bool = False) -> DataFrameReader:
+    """Fields are trimmed; empty fields and `NA` are null; quotes are doubled inside quotes.
+
+    `multi_line` keeps line breaks inside quotes; a file is then read by one task.
+    """
     return (
         spark.read.option("header", header)
+        .option("multiLine", multi_line)
         .option("nullValue", "NA")
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
@@ -55,13 +57,20 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
 
 
 def header_groups(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files by header, so that each group is one scan."""
-    with ThreadPoolExecutor(max_workers=16) as pool:
-        headers = list(pool.map(lambda path: tuple(header_of(spark, path)), paths))
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for path, header in zip(paths, headers):
-        groups[header].append(path)
-    return dict(groups)
+    """Files by header, so that each group is one scan.
+
+    One distributed job finds the first line of every file, whatever their number; only one row per
+    distinct header comes back, with its files.
+    """
+    lines = spark.read.text(list(paths)).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
+    )
+    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "row").alias("line"))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for row in first.groupBy("line").agg(F.array_sort(F.collect_list("file")).alias("files")).collect():
+        header = tuple(name.strip() for name in next(csv.reader([row.line.removeprefix("\ufeff")])))
+        groups.setdefault(header, []).extend(row.files)
+    return groups
 
 
 def read_plain(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, glob: str | None = None) -> DataFrame:
@@ -73,20 +82,21 @@ def read_plain(spark: SparkSession, paths: str | Sequence[str], schema: T.Struct
 
 
 def read_by_name(
-    spark: SparkSession, paths: Sequence[str], columns: Mapping[str, str], *, same_header: bool = False
+    spark: SparkSession, paths: Sequence[str], columns: Mapping[str, str], *, same_header: bool = False, multi_line: bool = False
 ) -> DataFrame:
     """Files with headers, columns by name; all text, renamed, with row positions.
 
     A column that a file lacks is null. Files are scanned in groups of equal
     header. With `same_header` only the first file's header is looked at and
-    Spark checks the others against it while it reads.
+    Spark checks the others against it while it reads. `multi_line` is for files
+    with line breaks inside quotes.
     """
     if not paths:
         raise ValueError("no input file")
     groups = {tuple(header_of(spark, paths[0])): list(paths)} if same_header else header_groups(spark, paths)
     frames = []
     for header, members in groups.items():
-        scan = reader(spark, header=True).option("enforceSchema", False).schema(text_schema(*header)).csv(members)
+        scan = reader(spark, header=True, multi_line=multi_line).option("enforceSchema", False).schema(text_schema(*header)).csv(members)
         picked = [_named(raw, raw in header).alias(name) for raw, name in columns.items()]
         frames.append(scan.select(*picked, *file_position()))
     return union_by_name(*frames)

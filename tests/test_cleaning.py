@@ -107,6 +107,30 @@ def test_scan_by_name_over_different_headers(spark, tmp_path):
     assert [tuple(r) for r in rows.collect()] == [("1", "a"), ("2", None), ("3", "b"), ('4,"q"', None)]
 
 
+def test_many_files_take_as_many_jobs_as_few(spark, tmp_path):
+    def jobs(folder, files):
+        folder.mkdir()
+        for k in range(files):
+            (folder / f"{k:03}.csv").write_text("x,y\n1,2\n" if k % 2 else "y,x\n2,1\n")
+        paths = csv_files.list_files(spark, str(folder), "*.csv")
+        group = f"headers {files}"
+        spark.sparkContext.setJobGroup(group, group)
+        rows = csv_files.read_by_name(spark, paths, {"x": "x", "y": "y"})
+        count = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert {tuple(r) for r in rows.select("x", "y").collect()} == {("1", "2")} and rows.count() == files
+        return count
+
+    assert jobs(tmp_path / "few", 80) == jobs(tmp_path / "many", 160)  # from 32 files on Spark lists them in a job
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,y\n"a\nb",1\nc,2\n')
+    paths = csv_files.list_files(spark, str(tmp_path), "*.csv")
+    rows = csv_files.read_by_name(spark, paths, {"x": "x", "y": "y"}, multi_line=True)
+    assert [tuple(r) for r in rows.orderBy(*csv_files.FILE_ORDER).select("x", "y").collect()] == [("a\nb", "1"), ("c", "2")]
+
+
 def test_a_file_that_breaks_the_promised_header_fails(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x,y\n1,2\n")
     (tmp_path / "b.csv").write_text("y,x\n1,2\n")

@@ -63,6 +63,12 @@ def test_mixed_dates_take_the_first_order_that_fits(spark, orders, ambiguous):
     assert got == [ambiguous, dt.date(2024, 5, 1), dt.date(2024, 5, 13), None, dt.date(2024, 1, 13)]
 
 
+def test_mixed_dates_with_month_names_and_short_years(spark):
+    got = values(spark, lambda c: dates.mixed_date(c, ["dmy", "ymd", "mdy"]), "1 May 2024", "May 1, 2024", "01-Sep-98", "2/3/24", "24-05-01", "1 Smarch 2024", "5-2024")
+    assert got == [dt.date(2024, 5, 1), dt.date(2024, 5, 1), dt.date(1998, 9, 1), dt.date(2024, 3, 2), dt.date(2001, 5, 24), None, None]
+    assert values(spark, dates.month_start, "202405", "202413", "2024/5") == [dt.date(2024, 5, 1), None, dt.date(2024, 5, 1)]
+
+
 def test_postcode_district_modes(spark):
     keys = ["NR11AA", "NR29AB", "NR291AB", "IP121AA", "12345", "N1"]
     assert values(spark, geography.postcode_district, *keys) == ["NR11", "NR29", "NR29", "IP12", None, "N1"]
