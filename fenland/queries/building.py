@@ -10,7 +10,7 @@ from fenland.plans import building, cleaning
 from fenland.plans.tables import Warehouse
 from fenland.queries import raw_rows
 from fenland.queries.registry import query
-from fenland.queries.standin import table
+from fenland.queries.standin import TABLES_SQL, table, warehouse
 
 CLEANERS = {
     "house_price_clean": lambda s, d: cleaning.clean_house_price(raw_rows.raw_prices(s, d)),
@@ -111,22 +111,31 @@ def built_fact_broadband(spark, sf_dir):
     return built(spark, sf_dir).fact_broadband
 
 
+def _with_key_counts(fact, key):
+    """Largest key and number of different keys instead of the keys: which row gets which is free."""
+    counts = fact.agg(F.max(key).alias("last_key"), F.count_distinct(key).alias("keys"))
+    picked = counts.select(F.struct("*")).scalar()
+    return fact.withColumn("_k", picked).select("*", "_k.*").drop("_k", key)
+
+
 @query(
     "built_fact_crime",
     BUILT_SQL
-    + f"""SELECT month AS crime_date, year, lsoa_code, crime_type, outcome, police_force, coalesce({_INSIDE}, false) AS in_boundary
-FROM crime""",
+    + f"""SELECT month AS crime_date, year, lsoa_code, crime_type, outcome, police_force, coalesce({_INSIDE}, false) AS in_boundary,
+  (SELECT count(*) FROM crime) AS last_key, (SELECT count(*) FROM crime) AS keys FROM crime""",
 )
 def built_fact_crime(spark, sf_dir):
-    return built(spark, sf_dir).fact_crime.drop("crime_pk")
+    return _with_key_counts(built(spark, sf_dir).fact_crime, "crime_pk")
 
 
 @query(
     "built_fact_education",
-    BUILT_SQL + "SELECT estab, academic_year, total_pupils, att8_score FROM education_clean",
+    BUILT_SQL
+    + """SELECT estab, academic_year, total_pupils, att8_score,
+  (SELECT count(*) FROM education_clean) AS last_key, (SELECT count(*) FROM education_clean) AS keys FROM education_clean""",
 )
 def built_fact_education(spark, sf_dir):
-    return built(spark, sf_dir).fact_education.drop("education_pk")
+    return _with_key_counts(built(spark, sf_dir).fact_education, "education_pk")
 
 
 @query(
@@ -139,6 +148,26 @@ def built_orphans(spark, sf_dir):
     return building.orphan_report(built(spark, sf_dir))
 
 
+@query(
+    "seeded_orphans",
+    TABLES_SQL
+    + """SELECT 'fact_house_price' AS fact, count(*) AS orphans FROM fact_house_price WHERE district_id % 7 = 0
+UNION ALL SELECT 'fact_crime', count(*) FROM fact_crime WHERE lsoa_code % 7 = 0
+UNION ALL SELECT 'fact_population', count(*) FROM fact_population WHERE lsoa_code % 7 = 0
+UNION ALL SELECT 'fact_education', count(*) FROM fact_education WHERE estab % 7 = 0 OR estab NOT IN (SELECT estab FROM dim_school)""",
+)
+def seeded_orphans(spark, sf_dir):
+    """The check over dimensions from which every seventh key is missing."""
+    whole = warehouse(spark, sf_dir)
+    keys = {"dim_district": "district_id", "dim_lsoa": "lsoa_code", "dim_school": "estab"}
+
+    def without_sevenths(name):
+        table = getattr(whole, name)
+        return table.where(f"{keys[name]} % 7 <> 0") if name in keys else table
+
+    return building.orphan_report(Warehouse(without_sevenths))
+
+
 @query(
     "district_mismatch",
     BUILT_SQL

@@ -120,6 +120,21 @@ def rate_by_district(spark, sf_dir):
     return rounded(rounded(shares, 6, "rate_per_100k", "pct"), 4, "total_population")
 
 
+@query(
+    "district_labels",
+    TABLES_SQL
+    + _DISTRICT
+    + """, shares AS (SELECT district_name, county_name, rate, rate / sum(rate) OVER () * 100 AS pct FROM district_rates)
+SELECT county_name, district_name,
+  district_name || ' (' || regexp_replace(format('{:.1f}', round_even(rate, 1)), '\\.?0+$', '') || ')' AS label,
+  regexp_replace(format('{:.1f}', round_even(pct, 1)), '\\.?0+$', '') || '%' AS pct_label
+FROM shares""",
+)
+def district_labels(spark, sf_dir):
+    shares = reports.crime_share_by_district(warehouse(spark, sf_dir), "R")
+    return shares.select("county_name", "district_name", "label", "pct_label")
+
+
 @query(
     "rate_by_district_all_areas",
     TABLES_SQL

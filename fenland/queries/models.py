@@ -141,6 +141,41 @@ def lm_band(spark, sf_dir):
     return rounded(band, 4, "x", "fitted", "lower", "upper")
 
 
+def _text_sql(name: str) -> str:
+    """Fit of a model with its numbers as display text; p-values here are 0.001 or more."""
+    return (
+        TABLES_SQL
+        + _FRAMES
+        + f""", f AS (
+  SELECT CAST(regr_count(y, x) AS BIGINT) AS n, regr_slope(y, x) AS slope, regr_r2(y, x) AS r2,
+         regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy FROM {name}),
+g AS (SELECT *, n - 2 AS nu, sqrt((syy - sxy * sxy / sxx) / (n - 2)) AS sigma FROM f),
+h AS (SELECT *, slope / (sigma / sqrt(sxx)) AS t FROM g),
+k AS (SELECT *, atan(abs(t) / sqrt(nu)) AS theta, pow(cos(atan(abs(t) / sqrt(nu))), 2) AS c2 FROM h),
+v AS (SELECT *, {_P_VALUE} AS p FROM k)
+SELECT """
+    )
+
+
+@query(
+    "model_text",
+    _text_sql("lm_03")
+    + "format('{:.2f}', round_even(slope, 2)) AS slope_text, format('{:.4f}', round_even(r2, 4)) AS r_squared_text, "
+    "format('{:.4g}', p) AS p_text FROM v",
+)
+def model_text(spark, sf_dir):
+    fit = models.model_fit(warehouse(spark, sf_dir), "lm_03", towns=town_lookup(spark))
+    return fit.select("slope_text", "r_squared_text", "p_text")
+
+
+@query(
+    "model_caption",
+    _text_sql("lm_03") + "format('Town-level average (n = {} towns) | R² = {:.3f}, p = {:.3g}', n, r2, p) AS caption FROM v",
+)
+def model_caption(spark, sf_dir):
+    return models.model_caption(warehouse(spark, sf_dir), "lm_03", towns=town_lookup(spark))
+
+
 @query(
     "lm_residuals",
     TABLES_SQL
