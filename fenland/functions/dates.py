@@ -26,7 +26,7 @@ def _shaped_date(c: Column, order: str) -> Column:
 
 
 def _dashed(c: Column) -> Column:
-    return F.regexp_replace(trim_all(c), r"[/., ]+", "-")
+    return F.when(c.rlike("^[0-9-]*$"), c).otherwise(F.regexp_replace(trim_all(c), r"[/., ]+", "-"))
 
 
 # fixed values: month names by their first three letters

@@ -12,15 +12,22 @@ BLANKS = "".join(
 )
 
 
+# Most values are clean already. One pass over a value tells, and then the rewriting
+# chain, several times dearer, is left out; results are the same either way.
+_TRIMMED = "^[!-~]([ -~]*[!-~])?$"
+_SQUISHED = "^[!-~]+( [!-~]+)*$"
+_ONE_CASE = "^[A-Za-z0-9' ]*$"
+
+
 def trim_all(c: Column) -> Column:
     """Strip every Unicode blank from both ends (`trim` strips spaces only)."""
-    return F.btrim(c, F.lit(BLANKS))
+    return F.when(c.rlike(_TRIMMED), c).otherwise(F.btrim(c, F.lit(BLANKS)))
 
 
 def squish(c: Column) -> Column:
     """`trim_all`, and each inner run of blanks becomes one space."""
     spaces = F.translate(c, BLANKS, " " * len(BLANKS))
-    return F.btrim(F.regexp_replace(spaces, " {2,}", " "))
+    return F.when(c.rlike(_SQUISHED), c).otherwise(F.btrim(F.regexp_replace(spaces, " {2,}", " ")))
 
 
 def strip_blanks(c: Column) -> Column:
@@ -35,7 +42,8 @@ def title_case(c: Column) -> Column:
     every other separator gets a marked space behind it for the moment.
     """
     marked = F.regexp_replace(c, r"([^\p{L}\p{N}' ])", "$1\u0001 ")
-    return F.replace(F.initcap(marked), F.lit("\u0001 "), F.lit(""))
+    split = F.replace(F.initcap(marked), F.lit("\u0001 "), F.lit(""))
+    return F.when(c.rlike(_ONE_CASE), F.initcap(c)).otherwise(split)
 
 
 def drop_last_word(c: Column) -> Column:

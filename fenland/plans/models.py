@@ -219,6 +219,7 @@ def model_band(w: Warehouse, name: str, **kwargs) -> DataFrame:
 def model_caption(w: Warehouse, name: str, **kwargs) -> DataFrame:
     """`n = ...` with R squared and p, the text under a scatter plot; lm_01 names its year range."""
     fit = model_fit(w, name, **kwargs)
+    # fixed values: the texts in front
     if name == "lm_01":
         years = common_years(w).agg(F.concat_ws("-", F.min("year").cast("string"), F.max("year").cast("string")))
         prefix = F.concat(F.lit("District-level average, "), years.scalar())

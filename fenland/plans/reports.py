@@ -155,6 +155,7 @@ def speed_summary(w: Warehouse) -> DataFrame:
     means = with_county(
         w.fact_broadband.groupBy("county_id").agg(F.avg("avg_speed").alias("avg"), F.avg("max_speed").alias("max")), w
     )
+    # fixed values: display names
     names = {"avg": "Average Speed", "max": "Maximum Speed"}
     return reshape.to_long(means, ["county_name"], names, "speed_type", "speed_value")
 

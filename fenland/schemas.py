@@ -22,13 +22,14 @@ def text_schema(*names: str) -> T.StructType:
     return schema(**{name: "string" for name in names})
 
 
-# Raw sources: every column is text, the clean step types it.
+# The columns of the raw sources, as their files spell and order them.
+# Every column is text, the clean step types it.
 PRICE_RAW = text_schema(
     "transaction_id", "price", "date", "postcode", "property_type", "old_new", "duration", "paon",
     "saon", "street", "locality", "town", "district", "county", "category", "record_status",
 )
 
-# Raw column -> clean column.
+# Raw column -> clean column.
 SPEED_COLUMNS = {
     "postcode": "postcode",
     "Average download speed (Mbit/s)": "avg_speed",
