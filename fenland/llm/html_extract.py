@@ -333,10 +333,18 @@ def labelled_pages(sample: list[str], laid_out: int = LAID_OUT_PAGES, seed: int
 
 
 def fit(pages: DataFrame, html_column: str = "html", sample: int = SAMPLE_PAGES) -> Model:
-    """Model from at most `sample` pages, those with the smallest hash of their html."""
+    """Model from at most `sample` different pages, those with the smallest hashes of their html.
+
+    The hashes are chosen first and equal pages combine before the shuffle, so neither the
+    number of tasks nor a page that is repeated for a third of the table brings more rows to the driver.
+    """
     rows = pages.select(F.col(html_column).cast("string").alias("html")).where("html IS NOT NULL AND length(html) < 200000")
-    rows = rows.orderBy(F.xxhash64("html"), "html").limit(sample)
-    return train(labelled_pages([r.html for r in rows.collect()]))
+    rows = rows.withColumn("hash", F.xxhash64("html"))
+    hashes = [r.hash for r in rows.select("hash").distinct().orderBy("hash").limit(sample).collect()]
+    if not hashes:
+        return train(labelled_pages([]))
+    chosen = rows.where(F.col("hash") <= hashes[-1]).groupBy("hash").agg(F.min("html").alias("html"))
+    return train(labelled_pages([r.html for r in chosen.orderBy("hash").collect()]))
 
 
 def main_text(page: str | None, model: Model, known: dict | None = None) -> str:
