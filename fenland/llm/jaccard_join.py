@@ -47,7 +47,7 @@ class WordHash(dict):
     """Word to 64-bit hash, remembered up to a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word.encode())
         return value
@@ -257,8 +257,10 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Rows without words or without id stay. Of repeated rows (same id and text) one stays.
     """
     marked = cut(near_copies(docs, **options).where("n_links > 0").groupBy("doc_id", "text_key", "kept").count())
-    kept, key = F.col("_kept_id") == F.col("doc_id"), F.unhex(F.md5(F.col("text"))) == F.col("_kept_key")
     names = marked.withColumnsRenamed({"doc_id": "_kept_id", "text_key": "_kept_key"})
-    apart = docs.join(names.where("NOT kept OR count > 1"), kept & key, "left_anti")
-    once = docs.join(names.where("kept AND count > 1"), kept & key, "left_semi").dropDuplicates(["doc_id", "text"])
+    # no key is null, so both joins read the documents through one and the same exchange
+    own_id, own_key = F.coalesce("doc_id", F.lit(-(2**63))), F.coalesce(F.unhex(F.md5("text")), F.lit(b""))
+    same = (own_id == F.col("_kept_id")) & (own_key == F.col("_kept_key"))
+    apart = docs.join(names.where("NOT kept OR count > 1"), same, "left_anti")
+    once = docs.join(names.where("kept AND count > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"])
     return apart.unionByName(once)
