@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"  # fixed value: the library's mark for a space
-MOST_WORDS = 600_000  # words remembered in one task
+MOST_WORDS = 300_000  # words remembered in one task
+MOST_PAIRS = 500_000  # neighbours remembered in one task
 LONGEST_REMEMBERED = 64  # characters; longer words are encoded each time
 
 
@@ -91,7 +92,7 @@ class PieceTable:
 
     def _compatible(self, left: int, right: int) -> bool:
         a, b = self._text(left), self._text(right)
-        if len(self.fits) > 2_000_000:
+        if len(self.fits) > MOST_PAIRS:
             self.fits.clear()
         known = self.fits[left << 21 | right] = self.merged(a + b) == [a, b]
         return known
