@@ -1,8 +1,8 @@
 """Log-probability of texts under a hashed maximum-entropy model with class-factored softmax.
 
 A token is predicted in three steps: its class, its bucket in the class, the token in
-its bucket. The first two are softmaxes over hashed features of the three tokens
-before (n-grams and skips); the third is the token's share of its bucket in the
+its bucket. The first two are softmaxes over hashed features of the two tokens
+before (n-grams and a skip); the third is the token's share of its bucket in the
 training counts, smoothed like the base score, so the product is a distribution over
 all known tokens and one unknown token per bucket. Frequent tokens have buckets of their
 own, the others are grouped by their last two bytes.
@@ -33,14 +33,15 @@ CLASSES, SUBS = 8, 16
 BUCKETS = CLASSES * SUBS
 OWN = 64  # buckets of single tokens, the end token's included
 ROWS = 1 << 14  # hashed features
-HOT = 50_000
+HOT = 120_000
 HOT_BYTES = 64  # longer tokens are never broadcast
 ROUNDS = 2
 BATCH = 16_384  # tokens of one gradient step
+CHUNK_TOKENS = 8 * BATCH  # tokens numbered at a time
 RATE = 0.3
 MOST_WORDS = 600_000  # tokens remembered in one task
 END = b""
-START = 3  # tokens before a text
+START = 2  # tokens before a text
 CHUNK = 4096  # weights in one row while updates are added up
 
 
@@ -61,15 +62,22 @@ class Words(dict):
 
     def renew(self) -> None:
         self.clear()
-        self.bucket, self.code, self.known = [0], [0], [0.0]  # number 0: before the text
+        self.met = []  # (bucket, hash, known) of the numbers that are not in the arrays yet
+        # number 0: before the text
+        self.bucket, self.code, self.known = np.zeros(1, np.int64), np.zeros(1, np.uint32), np.zeros(1)
 
     def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self.bucket)
-        self.bucket.append(bucket_of(word, self.own))
-        self.code.append(xxhash.xxh32_intdigest(word) | 1)
-        self.known.append(self.hot.get(word, np.nan))
+        number = self[word] = len(self) + 1
+        self.met.append((bucket_of(word, self.own), xxhash.xxh32_intdigest(word) | 1, self.hot.get(word, np.nan)))
         return number
 
+    def settle(self) -> None:
+        """Take the new numbers into the arrays."""
+        if self.met:
+            new = zip(*self.met, strict=True)
+            self.bucket, self.code, self.known = (np.r_[old, np.array(x, old.dtype)] for old, x in zip((self.bucket, self.code, self.known), new, strict=True))
+            self.met = []
+
 
 def bucket_of(word: bytes, own: dict[bytes, int]) -> int:
     bucket = own.get(word)
@@ -83,22 +91,31 @@ class Model:
     total: int = 0  # N
     distinct: int = 0  # V
     inside: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS))  # log10(N_b + 0.5 (V_b + 1))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros((ROWS, CLASSES + SUBS), np.float32))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(ROWS * (CLASSES + SUBS), np.float32))
+
+    def parts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The weights of the classes and those of the buckets in a class, row by row."""
+        return parts_of(self.weights)
+
 
+def parts_of(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    cut_at = ROWS * CLASSES
+    return flat[:cut_at].reshape(ROWS, CLASSES), flat[cut_at:].reshape(ROWS, SUBS)
 
-def _features(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Rows of the weights for the places `at`: constant, last token, last two, and the two skips."""
-    one, two, three = codes[at - 1], codes[at - 2], codes[at - 3]
-    out = np.empty((len(at), 5), np.int64)
-    out[:, 0] = 0
-    for k, value in enumerate((one * np.uint32(2654435761), one * np.uint32(2246822519) + two * np.uint32(3266489917), two * np.uint32(668265263), three * np.uint32(374761393)), 1):
+
+def _features(codes: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Rows of the weights for the places `at`: last token, last two, and the token before the last. Row 0 is the constant."""
+    one, two = codes[at - 1], codes[at - 2]
+    out = []
+    for value in (one * np.uint32(2654435761), one * np.uint32(2246822519) + two * np.uint32(3266489917), two * np.uint32(668265263)):
         value = value ^ (value >> np.uint32(15))
-        out[:, k] = 1 + (value * np.uint32(2246822519) >> np.uint32(8)) % np.uint32(ROWS - 1)
+        out.append(1 + (value * np.uint32(2246822519) >> np.uint32(8)) % np.uint32(ROWS - 1))
     return out
 
 
 def _sub_rows(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    return (rows * 7919 + (classes[:, None] + 1) * 104_729) % ROWS
+    """The row of a feature together with a class; the class alone has a row of its own as well."""
+    return (rows * np.uint32(7919) + (classes + 1).astype(np.uint32) * np.uint32(104_729)) % np.uint32(ROWS)
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -108,30 +125,44 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return logits
 
 
-def _chances(weights: np.ndarray, rows: np.ndarray, buckets: np.ndarray):
+def _chances(weights: tuple[np.ndarray, np.ndarray], rows: list[np.ndarray], buckets: np.ndarray):
+    """Classes, subs, rows of the lower softmax, chance of every class, chance of every sub in the true class."""
     classes, subs = buckets // SUBS, buckets % SUBS
-    below = _sub_rows(rows, classes)
-    upper = np.zeros((len(rows), CLASSES), np.float32)
-    lower = np.zeros((len(rows), SUBS), np.float32)
-    for k in range(rows.shape[1]):
-        upper += weights[rows[:, k], :CLASSES]
-        lower += weights[below[:, k], CLASSES:]
+    above, under = weights
+    below = [_sub_rows(r, classes) for r in (np.zeros(len(buckets), np.uint32), *rows)]
+    upper = np.repeat(above[:1], len(buckets), axis=0)
+    for r in rows:
+        upper += above.take(r, axis=0)
+    lower = under.take(below[0], axis=0)
+    for r in below[1:]:
+        lower += under.take(r, axis=0)
     return classes, subs, below, _softmax(upper), _softmax(lower)
 
 
-def _step(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, buckets: np.ndarray) -> None:
-    """One gradient step on a batch of places, each weight at its own rate (Adagrad)."""
-    n = np.arange(len(rows))
+def _move(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, gaps: np.ndarray) -> None:
+    """One step of the rows' weights against their summed gradients, each weight at its own rate (Adagrad)."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # ROWS is at most 2 ** 16: a radix sort
+    sorted_rows = rows[order]
+    starts = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
+    sums, used = np.add.reduceat(gaps[order], starts, axis=0), sorted_rows[starts]
+    squares[used] += sums * sums
+    weights[used] -= np.float32(RATE) * sums / np.sqrt(squares[used] + np.float32(1))
+
+
+def _step(weights: tuple[np.ndarray, np.ndarray], squares: tuple[np.ndarray, np.ndarray], rows: list[np.ndarray], buckets: np.ndarray) -> None:
+    """One gradient step on a batch of places."""
+    n = np.arange(len(buckets))
     classes, subs, below, upper, lower = _chances(weights, rows, buckets)
     upper[n, classes] -= 1
     lower[n, subs] -= 1
-    for part, at, gaps in ((slice(0, CLASSES), rows, upper), (slice(CLASSES, None), below, lower)):
-        width = gaps.shape[1]
-        places = (at[:, :, None] * width + np.arange(width)).reshape(-1)
-        sums = np.bincount(places, weights=np.repeat(gaps[:, None, :], at.shape[1], axis=1).reshape(-1), minlength=ROWS * width)
-        sums = sums.reshape(ROWS, width)
-        squares[:, part] += sums**2
-        weights[:, part] -= RATE * sums / np.sqrt(squares[:, part] + 1.0)
+    _move(weights[0], squares[0], np.zeros(1, np.uint32), upper.sum(axis=0, keepdims=True))
+    for r in rows:
+        _move(weights[0], squares[0], r, upper)
+    for r in below:
+        _move(weights[1], squares[1], r, lower)
+
+
+_BEFORE = np.zeros(START, np.int64)
 
 
 def _numbered(texts: Iterator, words: Words, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
@@ -139,14 +170,16 @@ def _numbered(texts: Iterator, words: Words, most: int) -> Iterator[tuple[np.nda
     parts, sizes, held = [], [], 0
     for text in texts:
         own = tokens(text)
-        parts.append(np.zeros(START, np.int64))
+        parts.append(_BEFORE)
         parts.append(np.fromiter(map(words.__getitem__, own), np.int64, len(own)))
         sizes.append(len(own))
         held += len(own)
         if held >= most:
+            words.settle()
             yield _joined(parts, sizes)
             parts, sizes, held = [], [], 0
     if sizes:
+        words.settle()
         yield _joined(parts, sizes)
 
 
@@ -204,16 +237,17 @@ def _round(texts: DataFrame, model: Model) -> np.ndarray:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         start = shared.value.weights
-        weights, squares, seen = start.copy(), np.zeros(start.shape), 0
+        weights, squares, seen = start.copy(), np.zeros_like(start), 0
+        own, own_squares = parts_of(weights), parts_of(squares)
         words = Words(shared.value.own, {})
         for pdf in batches:
             if len(words) > MOST_WORDS:
                 words.renew()
-            for numbers, at, _ in _numbered(pdf["text"], words, BATCH):
-                buckets, codes = np.array(words.bucket, np.int64)[numbers], np.array(words.code, np.uint32)[numbers]
+            for numbers, at, _ in _numbered(pdf["text"], words, CHUNK_TOKENS):
+                buckets, codes = words.bucket[numbers], words.code[numbers]
                 for k in range(0, len(at), BATCH):
                     part = at[k : k + BATCH]
-                    _step(weights, squares, _features(codes, part), buckets[part])
+                    _step(own, own_squares, _features(codes, part), buckets[part])
                 seen += len(at)
         if seen:
             change = ((weights - start) * np.float32(seen)).reshape(-1, CHUNK)
@@ -230,13 +264,32 @@ def _round(texts: DataFrame, model: Model) -> np.ndarray:
     return out.reshape(model.weights.shape)
 
 
+def _frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """The tokens above a count that at most HOT tokens reach, by falling count.
+
+    The count comes from a histogram in sixteenths of powers of two, so no task sends
+    more than its share of the tokens that are kept.
+    """
+    step = F.floor(F.log2(F.col("n")) * 16).cast("int")
+    short = counts.where(F.octet_length("word") <= HOT_BYTES).withColumn("step", step)
+    held, least = 0, None
+    for r in short.groupBy("step").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect():  # 1,024 rows at most
+        held += r.words
+        if held > HOT:
+            break
+        least = r.step
+    if least is None:
+        return []
+    rows = short.where(F.col("step") >= least).select("word", "n").collect()
+    return sorted(((bytes(r.word), r.n) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
 def train(texts: DataFrame, counts: DataFrame) -> Model:
     """Model from the training rows (doc_id, text) and their token counts."""
     model = Model()
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     model.total, model.distinct = int(sums.n), int(sums.v)
-    hot = counts.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("n"), "word").limit(HOT).collect()
-    model.hot = {bytes(r.word): float(np.log10(r.n + 0.5)) for r in hot}
+    model.hot = {w: float(np.log10(n + 0.5)) for w, n in _frequent(counts)}
     for word in [w for w in model.hot if w != END][: OWN - 1]:
         model.own[word] = len(model.own)
     size, distinct = _bucket_sizes(counts, model.own)
@@ -274,21 +327,21 @@ def score_texts(docs: DataFrame, model: Model, counts: DataFrame, id_column: str
 
     def context(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
-        words = Words(own.own, own.hot)
+        words, weights = Words(own.own, own.hot), own.parts()
         for pdf in batches:
             if len(words) > MOST_WORDS:
                 words.renew()
             out = []
-            for numbers, at, sizes in _numbered(pdf["text"], words, BATCH):
-                buckets, codes = np.array(words.bucket, np.int64)[numbers], np.array(words.code, np.uint32)[numbers]
+            for numbers, at, sizes in _numbered(pdf["text"], words, CHUNK_TOKENS):
+                buckets, codes = words.bucket[numbers], words.code[numbers]
                 chance = np.empty(len(at))
                 for k in range(0, len(at), BATCH):
                     part = at[k : k + BATCH]
-                    classes, subs, _, upper, lower = _chances(own.weights, _features(codes, part), buckets[part])
+                    classes, subs, _, upper, lower = _chances(weights, _features(codes, part), buckets[part])
                     n = np.arange(len(part))
                     chance[k : k + BATCH] = np.log10(upper[n, classes].astype(np.float64)) + np.log10(lower[n, subs].astype(np.float64))
                 chance -= own.inside[buckets[at]]
-                known = np.array(words.known)[numbers[at]]
+                known = words.known[numbers[at]]
                 hot = ~np.isnan(known)
                 starts = np.cumsum([0, *sizes[:-1]])
                 sums = [np.add.reduceat(x, starts) for x in (chance, np.where(hot, known, 0.0), hot.astype(np.int64))]
