@@ -1,8 +1,8 @@
 """Log-probability of texts under a hashed maximum-entropy model with class-factored softmax.
 
 A token is predicted in three steps: its class, its bucket in the class, the token in
-its bucket. The first two are softmaxes over hashed features of the two tokens
-before (n-grams and a skip); the third is the token's share of its bucket in the
+its bucket. The first two are softmaxes over hashed features of the three tokens
+before (n-grams and skips); the third is the token's share of its bucket in the
 training counts, smoothed like the base score, so the product is a distribution over
 all known tokens and one unknown token per bucket. Frequent tokens have buckets of their
 own, the others are grouped by their last two bytes.
@@ -41,7 +41,7 @@ CHUNK_TOKENS = 8 * BATCH  # tokens numbered at a time
 RATE = 0.3
 MOST_WORDS = 600_000  # tokens remembered in one task
 END = b""
-START = 2  # tokens before a text
+START = 3  # tokens before a text
 CHUNK = 4096  # weights in one row while updates are added up
 
 
@@ -104,10 +104,10 @@ def parts_of(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _features(codes: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """Rows of the weights for the places `at`: last token, last two, and the token before the last. Row 0 is the constant."""
-    one, two = codes[at - 1], codes[at - 2]
+    """Rows of the weights for the places `at`: last token, last two, and the two skips. Row 0 is the constant."""
+    one, two, three = codes[at - 1], codes[at - 2], codes[at - 3]
     out = []
-    for value in (one * np.uint32(2654435761), one * np.uint32(2246822519) + two * np.uint32(3266489917), two * np.uint32(668265263)):
+    for value in (one * np.uint32(2654435761), one * np.uint32(2246822519) + two * np.uint32(3266489917), two * np.uint32(668265263), three * np.uint32(374761393)):
         value = value ^ (value >> np.uint32(15))
         out.append(1 + (value * np.uint32(2246822519) >> np.uint32(8)) % np.uint32(ROWS - 1))
     return out

@@ -186,6 +186,19 @@ def test_gradient_steps_fit_the_data():
     assert (upper[n, classes] * lower[n, subs]).min() > 0.9
 
 
+def test_the_token_three_back_counts():
+    rng = np.random.default_rng(7)
+    codes = rng.choice(np.array([3, 5, 9], np.uint32), 4000)
+    at = np.arange(3, 4000)
+    buckets = (codes[at - 3] * 7 % lm_score.BUCKETS).astype(np.int64)
+    weights, squares = (lm_score.parts_of(np.zeros(lm_score.ROWS * (lm_score.CLASSES + lm_score.SUBS), np.float32)) for _ in range(2))
+    for _ in range(60):
+        lm_score._step(weights, squares, lm_score._features(codes, at), buckets)
+    classes, subs, _, upper, lower = lm_score._chances(weights, lm_score._features(codes, at), buckets)
+    n = np.arange(len(at))
+    assert (upper[n, classes] * lower[n, subs]).min() > 0.9
+
+
 def test_scores_of_odd_rows(odd_docs, odd_rows):
     total, want = brute_force_base([(i, t) for i, t, *_ in odd_rows])
     got = lm_score.score_documents(odd_docs).collect()
