@@ -99,6 +99,14 @@ def test_blocks_are_decoded_and_joined():
         html_extract.leaf_blocks(odd)
 
 
+def test_raw_tags_end_where_they_end():
+    read = lambda page: [b.text for b in html_extract.leaf_blocks(page)]
+    assert read("<article><p>one <svg class='i'/> two</p><p>three</p></article>") == ["one two", "three"]
+    assert read("<p>one<svg aria-label='a>b' class=i /><p>two<svg/><p>three") == ["one", "two", "three"]
+    assert read("<p>one</p><svg-icon name='x'></svg-icon><title-bar>two</title-bar><p>three</p>") == ["one", "two", "three"]
+    assert read('<p>one <svg aria-label="x/>y"><text>no</text></svg>two<script>no</script></p><title>no</title>') == ["one two"]
+
+
 def test_main_text_of_unseen_pages(extractor):
     import re
 
