@@ -26,13 +26,14 @@ ORDER = {kind: k for k, kind in enumerate((*KINDS, ENTROPY))}
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
-# bits per character in a window of 20, by class: digits and a-f in one case, or more
-LIMITS = {"hex": 3.0, "mixed": 3.8}
+# bits per character in a window of 20, by class: digits and a-f in one case; digits with letters of
+# both cases, of lower case, of upper case (base32 keys); letters alone, where joined words reach 4.1
+LIMITS = {"hex": 3.0, "mixed": 3.8, "lower": 3.8, "upper": 3.6, "letters": 4.2}
+IDENTIFIER = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 # allow-list: identifiers and fillers that look random but are not secret
 ALLOWED = (
     r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|"
-    r"0123456789|abcdefghij|qwertyuiop|"
-    r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+    r"0123456789|abcdefghij|qwertyuiop|" + IDENTIFIER
 )
 
 def _located(text: Column, pattern: str, group: int) -> Column:
@@ -82,20 +83,18 @@ def _weight(n: Column) -> Column:
     return F.element_at(table, (n + 1).cast("int"))
 
 
-def _hot(value: Column) -> Column:
+def _hot(codes: Column, limit: Column) -> Column:
     """struct(first, last): starts of the first and the last window that reach the limit, -1 if none.
 
     The state carries the counts of the window and the sum of n log2 n over them. A
     move puts one character in or takes one out and corrects the sum for this count
     alone; the window's entropy is log2(20) - sum / 20.
     """
-    limit = F.when(value.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit(LIMITS["hex"])).otherwise(F.lit(LIMITS["mixed"]))
     most = (F.lit(math.log2(WINDOW)) - limit) * WINDOW  # the sum at the limit
-    codes = F.transform(F.split(value, "", -1), lambda c: F.call_function("locate", c, F.lit(ALPHABET)))
     move = lambda code, by, at: F.struct(code.alias("code"), F.lit(by).alias("by"), at.alias("at"))
     moves = F.flatten(
         F.transform(
-            F.sequence(F.lit(1), F.length(value)),
+            F.sequence(F.lit(1), F.size(codes)),
             lambda at: F.array(
                 move(F.when(at > WINDOW, F.element_at(codes, F.greatest(at - WINDOW, F.lit(1)))).otherwise(F.lit(0)), -1, at),
                 move(F.element_at(codes, at), 1, at),
@@ -121,19 +120,49 @@ def _hot(value: Column) -> Column:
     return F.aggregate(moves, zero, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
 
 
-def _suspect(value: Column) -> Column:
-    """Worth a scan: digits and letters of one case a-f, or digits and both cases; not on the allow-list."""
-    hexadecimal = value.rlike("^([0-9a-f]+|[0-9A-F]+)$") & value.rlike("[A-Fa-f]")
-    return value.rlike("[0-9]") & (hexadecimal | (value.rlike("[a-z]") & value.rlike("[A-Z]"))) & ~value.rlike(ALLOWED)
+def _limit(value: Column) -> Column:
+    """Limit of the value's class; null without letters."""
+    digit, lower, upper = (value.rlike(p) for p in ("[0-9]", "[a-z]", "[A-Z]"))
+    return (
+        F.when(digit & value.rlike("^([0-9a-f]+|[0-9A-F]+)$") & (lower | upper), LIMITS["hex"])
+        .when(digit & lower & upper, LIMITS["mixed"])
+        .when(digit & lower, LIMITS["lower"])
+        .when(digit & upper, LIMITS["upper"])
+        .when(lower | upper, LIMITS["letters"])
+    )
+
+
+def _left(run: Column, base: Column) -> Column:
+    """array<struct(start, value)>: what the base spans, in order of their starts, leave of a run in pieces of a window at least."""
+    met = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    last = F.struct(run["end"].alias("start"), F.lit(0).alias("rank"), run["end"].alias("end"))
+
+    def step(s: Column, b: Column) -> Column:
+        piece = F.struct(s["at"].alias("start"), F.substring(run["value"], (s["at"] - run["start"] + 1).cast("int"), (b["start"] - s["at"]).cast("int")).alias("value"))
+        return F.struct(
+            F.greatest(s["at"], b["end"]).alias("at"),
+            F.when(b["start"] - s["at"] >= WINDOW, F.array_append(s["pieces"], piece)).otherwise(s["pieces"]).alias("pieces"),
+        )
+
+    zero = F.struct(run["start"].alias("at"), F.array().cast("array<struct<start:bigint,value:string>>").alias("pieces"))
+    return F.aggregate(F.array_append(met, last), zero, step, lambda s: s["pieces"])
 
 
 def _scanned(text: Column, base: Column) -> Column:
-    """Spans of the entropy scan that touch no base span."""
-    runs = F.filter(_located(text, CANDIDATE, 0), lambda m: _suspect(m["value"]))
-    free = F.filter(runs, lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    hot = F.transform(free, lambda m: F.struct(m["start"].alias("start"), _hot(m["value"]).alias("hot")))
+    """Spans of the entropy scan beside the base spans; the allow-list is asked about each span alone."""
+    runs = F.filter(_located(text, CANDIDATE, 0), lambda m: ~m["value"].rlike("(?i)" + IDENTIFIER))
+    codes = lambda value: F.transform(F.split(value, "", -1), lambda c: F.call_function("locate", c, F.lit(ALPHABET)))
+    # fields of their own, so that no step of the scan works them out again
+    read = F.transform(
+        F.flatten(F.transform(runs, lambda m: _left(m, base))),
+        lambda p: F.struct(p["start"].alias("start"), p["value"].alias("value"), _limit(p["value"]).alias("limit"), codes(p["value"]).alias("codes")),
+    )
+    # entropy is at most the logarithm of the number of different characters
+    free = F.filter(read, lambda p: F.log2(F.size(F.array_distinct(p["codes"]))) >= p["limit"] - 1e-9)
+    hot = F.transform(free, lambda p: F.struct(p["start"].alias("start"), p["value"].alias("value"), _hot(p["codes"], p["limit"]).alias("hot")))
+    stretch = lambda h: F.substring(h["value"], h["hot"]["first"] + 1, h["hot"]["last"] + WINDOW - h["hot"]["first"])
     spans = F.transform(
-        F.filter(hot, lambda h: h["hot"]["first"] >= 0),
+        F.filter(hot, lambda h: (h["hot"]["first"] >= 0) & ~stretch(h).rlike(ALLOWED)),
         lambda h: F.struct(
             (h["start"] + h["hot"]["first"]).alias("start"),
             F.lit(ORDER[ENTROPY]).alias("rank"),
