@@ -7,9 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fenland.llm import decontamination, html_extract, jaccard_join, lm_score, piece_tokens, quality, secrets, sharding, token_counts, vector_dedup
+from fenland.llm import (
+    decontamination,
+    html_extract,
+    jaccard_join,
+    lm_score,
+    periodic_runs,
+    personal_data,
+    piece_tokens,
+    quality,
+    secrets,
+    sharding,
+    token_counts,
+    vector_dedup,
+)
 from fenland.llm.common import read
-from fenland.llm.sql_twins import OP3_SQL, OP5_SQL, OP6_SQL
+from fenland.llm.sql_twins import OP3_SQL, OP5_SQL, OP6_SQL, OP13_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +97,15 @@ def op9_maxent_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that each document holds within the error budget."""
     return decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated stretches of every document; every tenth id repeats a stretch of its words up to its end first."""
+    return periodic_runs.run_digests(read(spark, sf_dir, "documents"), edit=periodic_runs.with_repeats)
+
+
+@query("op13_personal_data", OP13_SQL)
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    return personal_data.personal_digests(read(spark, sf_dir, "documents"))

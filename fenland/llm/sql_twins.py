@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fenland.llm import secrets, sharding
+from fenland.llm import personal_data, secrets, sharding
 
 
 def _mix(value: str, key: int) -> str:
@@ -135,3 +135,68 @@ parts AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
 FROM parts
 """
+
+
+def _spans(kind: str, pattern: str) -> str:
+    p = _quoted(pattern)
+    return f"""
+      SELECT key, t, '{kind}' AS kind, value,
+        (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda m: length(m))), 0))::BIGINT AS s
+      FROM (SELECT key, t, gaps, found, unnest(range(1, len(found) + 1)) AS i, unnest(found) AS value
+        FROM (SELECT key, t, string_split_regex(t, {p}) AS gaps, regexp_extract_all(t, {p}, 0) AS found
+          FROM texts WHERE regexp_matches(t, {p})))"""
+
+
+_PII_SHAPES = {"email": personal_data.EMAIL, "ip": personal_data.IP, "card": personal_data.CARD, "phone": personal_data.PHONE, **personal_data.SHAPES}
+_CODES = "regexp_replace(value, '[ -]', '', 'g')"
+_FIGURES = "regexp_replace(value, '[^0-9]', '', 'g')"
+_DIGIT = "list_transform(string_split(code, ''), lambda c: try_cast(c AS BIGINT))"
+
+
+def _case(values: dict[str, int]) -> str:
+    return "CASE kind " + " ".join(f"WHEN '{kind}' THEN {value}" for kind, value in values.items()) + " END"
+
+
+def _hinted(words: dict[str, str]) -> str:
+    return "CASE kind " + " ".join(f"WHEN '{kind}' THEN regexp_matches(before, '(?i){found}')" for kind, found in words.items()) + " END"
+
+
+# checks per kind on `code`, the value without blanks and hyphens; phones keep their digits alone
+_PII_CHECKS = f"""CASE kind
+  WHEN 'email' THEN true
+  WHEN 'ip' THEN len(list_filter(string_split(value, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(ltrim(p, '0') AS BIGINT), 0) > 255)) = 0
+  WHEN 'card' THEN length(code) BETWEEN 12 AND 19 AND list_sum(list_transform(string_split(reverse(code), ''),
+    lambda c, i: CASE WHEN i % 2 = 1 THEN try_cast(c AS BIGINT) WHEN try_cast(c AS BIGINT) < 5 THEN 2 * try_cast(c AS BIGINT) ELSE 2 * try_cast(c AS BIGINT) - 9 END)) % 10 = 0
+  WHEN 'phone' THEN length({_FIGURES}) BETWEEN 9 AND 15
+  WHEN 'iban' THEN list_reduce(list_prepend(0::BIGINT, list_transform(string_split(code[5:] || code[:4], ''),
+    lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END::BIGINT)), lambda r, d: (r * (CASE WHEN d > 9 THEN 100 ELSE 10 END) + d) % 97) = 1
+  WHEN 'nir' THEN try_cast(code[14:] AS BIGINT) = 97 - try_cast(code[:13] AS BIGINT) % 97
+  WHEN 'dni' THEN '{personal_data.DNI_LETTERS}'[try_cast(code[:8] AS BIGINT) % 23 + 1] = code[-1]
+  WHEN 'steuer_id' THEN code[1] <> '0' AND (11 - list_reduce(list_prepend(10::BIGINT, {_DIGIT}[:10]),
+    lambda m, d: (CASE WHEN (m + d) % 10 = 0 THEN 10 ELSE (m + d) % 10 END) * 2 % 11)) % 10 = try_cast(code[11] AS BIGINT)
+  WHEN 'ssn' THEN code[:3] NOT IN ('000', '666') AND code[:3] < '900' AND code[4:5] <> '00' AND code[6:] <> '0000'
+END"""
+
+OP13_SQL = f"""
+WITH texts AS MATERIALIZED (SELECT row_number() OVER () AS key, doc_id, coalesce(text, '') AS t FROM documents),
+found AS MATERIALIZED ({" UNION ALL ".join(_spans(kind, shape) for kind, shape in _PII_SHAPES.items())}),
+confirmed AS (
+  SELECT key, kind, s, s + length(value) AS e, {_case(personal_data.ORDER)} AS rank,
+    substr(t, greatest(s - {personal_data.NEAR}, 0) + 1, least(s, {personal_data.NEAR})) AS before
+  FROM (SELECT *, {_CODES} AS code FROM found) WHERE {_PII_CHECKS}),
+scored AS (
+  SELECT *, least(greatest({_case({k: v + personal_data.CONFIRMED * (k in personal_data.CHECKED) for k, v in personal_data.PRIOR.items()})}
+      + CASE WHEN {_hinted(personal_data.HINTS)} THEN {personal_data.CONTEXT} ELSE 0 END
+      - CASE WHEN regexp_matches(before, '(?i){personal_data.CONTRARY}') THEN {personal_data.CONTEXT} ELSE 0 END, 0), 100) AS score
+  FROM confirmed),
+every AS (SELECT * FROM scored WHERE rank < {len(personal_data.BASE)} OR score >= {personal_data.LEAST}),
+per_text AS (
+  SELECT key, {", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in personal_data.BASE)},
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < {len(personal_data.BASE)}) AS base_spans,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans,
+    count(*) FILTER (rank >= {len(personal_data.BASE)}) AS n_added, max(score)::INTEGER AS risk
+  FROM every GROUP BY key)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in personal_data.BASE)},
+  sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_added, 0) AS n_added, coalesce(risk, 0) AS risk
+FROM texts LEFT JOIN per_text USING (key)
+"""
