@@ -12,6 +12,7 @@ from fenland.llm import (
     html_extract,
     jaccard_join,
     lm_score,
+    manifest,
     periodic_runs,
     personal_data,
     piece_tokens,
@@ -22,7 +23,7 @@ from fenland.llm import (
     vector_dedup,
 )
 from fenland.llm.common import read
-from fenland.llm.sql_twins import OP3_SQL, OP5_SQL, OP6_SQL, OP13_SQL
+from fenland.llm.sql_twins import OP3_SQL, OP5_SQL, OP6_SQL, OP11_SQL, OP13_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,6 +100,12 @@ def op10_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@query("op11_merkle_manifest", OP11_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, roots and proof, and the root that its tampered leaf leads to."""
+    return manifest.tamper_report(read(spark, sf_dir, "documents"))
+
+
 @query("op12_periodic_runs")
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated stretches of every document; every tenth id repeats a stretch of its words up to its end first."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fenland.llm import personal_data, secrets, sharding
+from fenland.llm import manifest, personal_data, secrets, sharding
 
 
 def _mix(value: str, key: int) -> str:
@@ -200,3 +200,73 @@ SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in perso
   sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_added, 0) AS n_added, coalesce(risk, 0) AS risk
 FROM texts LEFT JOIN per_text USING (key)
 """
+
+
+_LEVELS = 5  # sources of up to 16 ** 5 rows, as many sources
+
+
+def _levels(start: str, name: str) -> str:
+    """Nodes and runs of every level over `start` (tree, idx, d, cnt)."""
+    out = [f"{name}0 AS MATERIALIZED (SELECT tree, idx, d, cnt FROM {start})"]
+    for k in range(_LEVELS):
+        out.append(
+            f"{name}_run{k} AS MATERIALIZED (SELECT tree, idx // 16 AS idx, string_agg(d, '' ORDER BY idx) AS run, any_value(cnt) AS cnt FROM {name}{k} WHERE cnt > 1 GROUP BY tree, idx // 16)"
+        )
+        out.append(
+            f"{name}{k + 1} AS MATERIALIZED (SELECT tree, idx, sha256(run) AS d, (cnt + 15) // 16 AS cnt FROM {name}_run{k} UNION ALL SELECT tree, idx, d, cnt FROM {name}{k} WHERE cnt = 1)"
+        )
+    return ",\n".join(out)
+
+
+def _followed(source: str, name: str, levels: str) -> str:
+    """`source` with proof and fold carried over the runs of all levels; idx is the place among the lowest nodes."""
+    out, before = [], source
+    for k in range(_LEVELS):
+        place = f"((idx // {16**k}) % 16)::BIGINT"
+        left, right = f"run[:64 * {place}]", f"run[64 * {place} + 65:]"
+        out.append(
+            f"""{name}{k} AS (SELECT s.* EXCLUDE (proof, fold), proof || coalesce({left} || {right}, '') AS proof,
+  CASE WHEN run IS NULL THEN fold ELSE sha256({left} || fold || {right}) END AS fold
+  FROM (SELECT b.*, r.run FROM {before} b LEFT JOIN {levels}_run{k} r ON r.tree = b.tree AND r.idx = b.idx // {16 ** (k + 1)}) s)"""
+        )
+        before = f"{name}{k}"
+    return ",\n".join(x.replace("EXCLUDE (proof, fold)", "EXCLUDE (proof, fold, run)") for x in out)
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::VARCHAR)) || ':' || {value}::VARCHAR, '-')"
+
+
+_HEAD = " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars")))
+
+OP11_SQL = f"""
+WITH RECURSIVE
+bits AS (
+  SELECT list(c ORDER BY i) AS crc_table FROM (
+    SELECT i, list_reduce(list_prepend(i::UBIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+      lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c
+    FROM range(256) t(i))),
+chosen AS (
+  SELECT *, doc_id IS NOT NULL AND xor(list_reduce(list_prepend(4294967295::UBIGINT,
+      list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda h: ('0x' || h)::UBIGINT)),
+      lambda c, v: xor(c >> 8, crc_table[((xor(c, v) & 255) + 1)::BIGINT])), 4294967295::UBIGINT) % 5 = 0 AS tampered
+  FROM documents, bits),
+hashed AS MATERIALIZED (
+  SELECT CASE WHEN source IS NULL THEN '' ELSE '+' || source END AS tree, doc_id, sha256({_HEAD} || {_field("text")}) AS d,
+    CASE WHEN tampered THEN sha256({_HEAD} || {_field(f"translate(text, '{manifest.UPPER}', '{manifest.LOWER}')")}) END AS other
+  FROM chosen),
+leaves AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, d) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS cnt FROM hashed),
+{_levels("leaves", "n")},
+subroots AS MATERIALIZED (
+  SELECT '' AS tree, tree AS own, d, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS cnt FROM n{_LEVELS}),
+{_levels("subroots", "t")},
+paths AS (SELECT doc_id, tree, idx, d AS leaf, '' AS proof, coalesce(other, d) AS fold FROM leaves),
+{_followed("paths", "p", "n")},
+tops AS (SELECT doc_id, leaf, subroots.d AS subroot, '' AS tree, subroots.idx AS idx, proof, fold
+  FROM p{_LEVELS - 1} p JOIN subroots ON subroots.own = p.tree),
+{_followed("tops", "q", "t")}
+SELECT doc_id, leaf, subroot, (SELECT d FROM t{_LEVELS}) AS root, sha256(proof) AS proof_sha256, fold AS folded_root,
+  fold = (SELECT d FROM t{_LEVELS}) AS verified
+FROM q{_LEVELS - 1}
+"""
