@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Collection, Iterable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fenland.operators import inference
 from fenland.operators.lookup import union_by_name
 from fenland.schemas import text_schema
+from fenland.sources import headers
 
 # Row position in a file: order by these three for "first row of the first file".
 FILE_ORDER = ["_file", "_block", "_row"]
@@ -59,18 +62,30 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
 def header_groups(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
     """Files by header, so that each group is one scan.
 
-    One distributed job finds the first line of every file, whatever their number; only one row per
-    distinct header comes back, with its files.
+    One distributed job reads the first kilobytes of every file, whatever their number and size; only one
+    row per distinct header comes back, with its files. Where a file system is known to Spark's own readers alone,
+    the lines are scanned instead.
     """
+    if all(headers.can_open(path) for path in {p.split("://")[0]: p for p in paths}.values()):
+        found = headers.file_headers(spark, paths)
+    else:
+        found = _scanned_headers(spark, paths)
+    grouped = found.groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files"))
+    return {tuple(row.header): row.files for row in grouped.collect()}
+
+
+def _scanned_headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """file, header by a scan over all lines."""
     lines = spark.read.text(list(paths)).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
     )
     first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "row").alias("line"))
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for row in first.groupBy("line").agg(F.array_sort(F.collect_list("file")).alias("files")).collect():
-        header = tuple(name.strip() for name in next(csv.reader([row.line.removeprefix("\ufeff")])))
-        groups.setdefault(header, []).extend(row.files)
-    return groups
+
+    @F.pandas_udf("array<string>")
+    def fields(batch: pd.Series) -> pd.Series:
+        return pd.Series([[name.strip() for name in next(csv.reader([line.removeprefix("\ufeff")]), [])] for line in batch], dtype=object)
+
+    return first.select("file", fields("line").alias("header"))
 
 
 def read_plain(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, glob: str | None = None) -> DataFrame:
@@ -94,12 +109,24 @@ def read_by_name(
     if not paths:
         raise ValueError("no input file")
     groups = {tuple(header_of(spark, paths[0])): list(paths)} if same_header else header_groups(spark, paths)
-    frames = []
-    for header, members in groups.items():
-        scan = reader(spark, header=True, multi_line=multi_line).option("enforceSchema", False).schema(text_schema(*header)).csv(members)
-        picked = [_named(raw, raw in header).alias(name) for raw, name in columns.items()]
-        frames.append(scan.select(*picked, *file_position()))
-    return union_by_name(*frames)
+    return union_by_name(*[_scan(spark, header, members, columns, multi_line) for header, members in groups.items()])
+
+
+def read_inferred(spark: SparkSession, paths: Sequence[str], *, keep_text: Collection[str] = (), multi_line: bool = False) -> DataFrame:
+    """Files whose columns nobody declared: every column of any file, with the type that all its values have.
+
+    Types are learned from all rows of all files in one pass; columns in `keep_text` (codes) stay text. Row positions stay.
+    """
+    groups = header_groups(spark, paths)
+    names = list(dict.fromkeys(name for header in groups for name in header))
+    frames = [_scan(spark, header, members, {name: name for name in names}, multi_line) for header, members in groups.items()]
+    return inference.infer(union_by_name(*frames), keep_text, FILE_ORDER)
+
+
+def _scan(spark: SparkSession, header: Sequence[str], members: Sequence[str], columns: Mapping[str, str], multi_line: bool) -> DataFrame:
+    scan = reader(spark, header=True, multi_line=multi_line).option("enforceSchema", False).schema(text_schema(*header)).csv(list(members))
+    picked = [_named(raw, raw in header).alias(name) for raw, name in columns.items()]
+    return scan.select(*picked, *file_position())
 
 
 def _named(raw: str, present: bool) -> Column:
