@@ -4,25 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fenland.functions.text import trim_all
 
 _YEAR, _MONTH, _DAY = "[0-9]{4}", "(0?[1-9]|1[0-2])", "(0?[1-9]|[12][0-9]|3[01])"
 
-# Order -> shape and pattern after `/`, `.` and blanks became `-`. Only text of
-# the right shape is parsed: a failed parse is far slower than a regular expression.
+# Order -> shape after `/`, `.` and blanks became `-`, and how its parts make `year-month-day`.
 _ORDERS = {
-    "mdy": (f"^{_MONTH}-{_DAY}-{_YEAR}$", "M-d-yyyy"),
-    "ymd": (f"^{_YEAR}-{_MONTH}-{_DAY}$", "yyyy-M-d"),
-    "dmy": (f"^{_DAY}-{_MONTH}-{_YEAR}$", "d-M-yyyy"),
+    "mdy": (f"^{_MONTH}-{_DAY}-{_YEAR}$", "$3-$1-$2"),
+    "ymd": (f"^{_YEAR}-{_MONTH}-{_DAY}$", "$1-$2-$3"),
+    "dmy": (f"^{_DAY}-{_MONTH}-{_YEAR}$", "$3-$2-$1"),
 }
 
 
 def _shaped_date(c: Column, order: str) -> Column:
-    shape, pattern = _ORDERS[order]
-    return F.try_to_date(F.regexp_substr(c, F.lit(shape)), pattern)
+    """Date from text of one order; null for another shape and for days that do not exist."""
+    shape, places = _ORDERS[order]
+    arranged = c if order == "ymd" else F.regexp_replace(c, "^([0-9]+)-([0-9]+)-([0-9]+)$", places)
+    return F.when(c.rlike(shape), arranged.try_cast("date"))
 
 
 def _dashed(c: Column) -> Column:
@@ -34,17 +35,20 @@ _MONTH_NAMES = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 
 
 def _numbered_month(c: Column) -> Column:
-    """Month names, short or long, as numbers; text without letters as it is."""
-    names = F.array(*[F.struct(F.lit(f"(?i)(?<![a-z]){m}[a-z]*").alias("name"), F.lit(str(k)).alias("number")) for k, m in enumerate(_MONTH_NAMES, 1)])
-    numbered = F.aggregate(names, c, lambda text, m: F.regexp_replace(text, m["name"], m["number"]))
-    return F.when(c.rlike("(?i)[a-z]"), numbered).otherwise(c)
+    """The month name, short or long, as a number; null where the letters begin no month's name."""
+    numbers = F.create_map(*[F.lit(x) for k, name in enumerate(_MONTH_NAMES, 1) for x in (name, str(k))])
+    name = F.lower(F.substring(F.regexp_substr(c, F.lit("[A-Za-z]+")), 1, 3))
+    return F.regexp_replace(c, F.lit("[A-Za-z]+"), F.try_element_at(numbers, name))
 
 
 def _full_year(text: Column, order: str) -> Column:
     """A two-digit year with four digits: 69 to 99 are 19xx, 00 to 68 are 20xx."""
-    before, after = ("^", "(?=-[^-]+-[^-]+$)") if order == "ymd" else ("(?<=^[^-]{1,2}-[^-]{1,2}-)", "$")
-    old = F.regexp_replace(text, f"{before}(69|[7-9][0-9]){after}", "19$1")
-    return F.regexp_replace(old, f"{before}([0-9]{{2}}){after}", "20$1")
+    first = order == "ymd"
+    short = text.rlike("^[0-9]{2}-" if first else "-[0-9]{2}$")
+    digits = F.substring(text, 1, 2) if first else F.substring(text, -2, 2)
+    before = F.lit("") if first else F.substring(text, F.lit(1), F.length(text) - 2)
+    after = F.substring(text, F.lit(3), F.length(text)) if first else F.lit("")
+    return F.when(short, F.concat(before, F.when(digits >= "69", "19").otherwise("20"), digits, after)).otherwise(text)
 
 
 def iso_date(c: Column) -> Column:
@@ -68,7 +72,7 @@ def mixed_date(c: Column, orders: Sequence[str]) -> Column:
     text = _dashed(c)
     plain = [_shaped_date(text, order) for order in orders]
     # names and short years are rare, so they are tried last; the array names the text once
-    named, led = text.rlike("(?i)[a-z]"), text.rlike("(?i)^[a-z]")
+    named, led = text.rlike("[A-Za-z]"), text.rlike("^[A-Za-z]")
 
     def first_of(t: Column, tried: Sequence[str]) -> Column:
         return F.coalesce(F.lit(None).cast("date"), *[_shaped_date(_full_year(t, order), order) for order in tried])
@@ -78,10 +82,25 @@ def mixed_date(c: Column, orders: Sequence[str]) -> Column:
         leading, inside = [o for o in orders if o == "mdy"], [o for o in orders if o != "mdy"]
         return F.when(led, first_of(t, leading)).when(named, first_of(t, inside)).otherwise(first_of(t, orders))
 
-    rest = F.transform(F.array(_numbered_month(text)), spelled)[0]
+    numbered = F.when(named, _numbered_month(text)).otherwise(text)
+    rest = F.transform(F.array(numbered), spelled)[0]
     return F.coalesce(*plain, F.when(text.rlike("^[0-9A-Za-z]+-[0-9A-Za-z]+-[0-9]+$"), rest))
 
 
+def order_counts(df: DataFrame, column: str, orders: Sequence[str]) -> DataFrame:
+    """One row: per order the number of values that are a date in it. One pass over all rows, combined map-side."""
+    fits = [F.count_if(mixed_date(F.col(column), [order]).isNotNull()).alias(order) for order in orders]
+    return df.agg(*fits)
+
+
+def trained_orders(df: DataFrame, column: str, orders: Sequence[str]) -> list[str]:
+    """The orders, the one that fits most values first; equally good ones stay as declared.
+
+    `05/06/2024` alone may be a day in May or in June; a column that also holds `25/06/2024` says which.
+    """
+    counts = order_counts(df, column, orders).first()
+    return sorted(orders, key=lambda order: (-counts[order], orders.index(order)))
+
 
 def year_month(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM")

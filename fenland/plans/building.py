@@ -14,7 +14,7 @@ from fenland.operators import dedup, lookup, numbering, profile
 from fenland.plans.tables import Warehouse
 from fenland.schemas import WAREHOUSE
 
-# Day/month/year orders tried for a crime month that is still text.
+# Day/month/year orders tried for a crime month that is still text; the values of the column rank them.
 MONTH_ORDERS = {"Norfolk": ["mdy", "ymd", "dmy"], "Suffolk": ["ymd", "mdy", "dmy"]}
 
 
@@ -22,7 +22,7 @@ def dated_crime(clean: DataFrame, county: str) -> DataFrame:
     """Crime rows of one force with `crime_date` (null where the month text does not parse)."""
     month = F.col("month")
     if isinstance(clean.schema["month"].dataType, T.StringType):
-        month = dates.mixed_date(month, MONTH_ORDERS[county])
+        month = dates.mixed_date(month, dates.trained_orders(clean, "month", MONTH_ORDERS[county]))
     return clean.withColumns({"crime_date": month.cast("date"), "source_county": F.lit(county)})
 
 

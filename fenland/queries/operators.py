@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fenland.functions import dates, geography, labels, numbers, text
-from fenland.operators import dedup, lookup, numbering, profile, reshape
+from fenland.operators import dedup, inference, lookup, numbering, profile, reshape
 from fenland.queries.registry import query
 from fenland.queries.standin import TABLES_SQL, postcode_text, rounded, table, warehouse
 
@@ -327,6 +327,79 @@ def unparsed_dates(spark, sf_dir):
     return profile.unparsed_count(_mixed_dates(spark, sf_dir), "parsed")
 
 
+@query(
+    "trained_dates",
+    """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day_first, CAST(o_orderdate AS DATE) AS month_first,
+  strftime(o_orderdate, '%Y-%m-%d') AS iso_day FROM orders""",
+)
+def trained_dates(spark, sf_dir):
+    """One day written day first in one column and month first in another; the values tell which is which."""
+    rows = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "date_format(o_orderdate, 'd/M/yyyy') AS day_first", "date_format(o_orderdate, 'M/d/yyyy') AS month_first"
+    )
+    orders = ["mdy", "ymd", "dmy"]
+    read = {name: dates.mixed_date(F.col(name), dates.trained_orders(rows, name, orders)) for name in ("day_first", "month_first")}
+    return rows.withColumns(read).withColumn("iso_day", dates.iso_text(F.col("day_first")))
+
+
+@query(
+    "order_counts",
+    """SELECT count(CASE WHEN k = 0 OR (k = 2 AND d <= 12) THEN 1 END) AS mdy, count(CASE WHEN k = 1 THEN 1 END) AS ymd,
+  count(CASE WHEN k = 2 OR (k = 0 AND d <= 12) THEN 1 END) AS dmy
+FROM (SELECT o_orderkey % 4 AS k, day(o_orderdate) AS d FROM orders)""",
+)
+def order_counts(spark, sf_dir):
+    """Values of a mixed column that are a date in each order."""
+    rows = table(spark, sf_dir, "orders").selectExpr(
+        """CASE o_orderkey % 4 WHEN 0 THEN date_format(o_orderdate, 'M/d/yyyy') WHEN 1 THEN date_format(o_orderdate, 'yyyy-MM-dd')
+           WHEN 2 THEN date_format(o_orderdate, 'dd.MM.yyyy') ELSE 'junk' END AS raw"""
+    )
+    return dates.order_counts(rows, "raw", ["mdy", "ymd", "dmy"])
+
+
+# ---- types ---------------------------------------------------------------
+
+_TYPED_COLUMNS = {
+    "order_key": "CAST(l_orderkey AS STRING)",
+    "quantity": "CAST(l_quantity AS STRING)",
+    "ship_day": "date_format(l_shipdate, 'yyyy-MM-dd')",
+    "ship_moment": "IF(l_linenumber = 1, date_format(l_shipdate, 'yyyy-MM-dd'), date_format(l_shipdate, 'yyyy-MM-dd HH:mm'))",
+    "no_day": "IF(l_orderkey % 1000 = 7, '2023-02-30', date_format(l_shipdate, 'yyyy-MM-dd'))",
+    "code": "lpad(CAST(l_linenumber AS STRING), 3, '0')",
+    "suppressed": "IF(l_orderkey % 1000 = 7, 'NE', CAST(l_quantity AS STRING))",
+    "flag": "IF(l_linestatus = 'O', 'TRUE', 'false')",
+    "flag_or_number": "IF(l_linestatus = 'O', 'TRUE', '1')",
+    "sparse": "IF(l_orderkey % 3 = 0, CAST(l_linenumber AS STRING), NULL)",
+    "nothing": "CAST(NULL AS STRING)",
+}
+
+
+def _typed_sql(name: str, expr: str) -> str:
+    expr = expr.replace("AS STRING", "AS VARCHAR").replace("IF(", "if(")
+    for spark_form, duck_form in (("'yyyy-MM-dd HH:mm'", "'%Y-%m-%d %H:%M'"), ("'yyyy-MM-dd'", "'%Y-%m-%d'")):
+        expr = expr.replace(spark_form, duck_form)
+    return f"SELECT '{name}' AS column_name, {expr.replace('date_format(', 'strftime(')} AS v FROM lineitem"
+
+
+@query(
+    "inferred_types",
+    f"""WITH long AS ({" UNION ALL ".join(_typed_sql(name, expr) for name, expr in _TYPED_COLUMNS.items())}),
+looks AS (
+  SELECT column_name, v, regexp_matches(v, '^[+-]?0[0-9]') AS code, try_cast(v AS BIGINT) IS NOT NULL AND NOT contains(v, '.') AS whole,
+    try_cast(v AS DOUBLE) IS NOT NULL AS number, length(v) = 10 AND try_cast(v AS DATE) IS NOT NULL AS day,
+    length(v) = 16 AND try_cast(v AS TIMESTAMP) IS NOT NULL AS moment, lower(v) IN ('true', 'false', 't', 'f') AS flag
+  FROM long)
+SELECT column_name, CASE WHEN count(v) = 0 THEN 'string' WHEN bool_and(flag) FILTER (v IS NOT NULL) THEN 'boolean' WHEN bool_and(whole AND NOT code) FILTER (v IS NOT NULL) THEN 'long'
+  WHEN bool_and(number AND NOT code) FILTER (v IS NOT NULL) THEN 'double' WHEN bool_and(day) FILTER (v IS NOT NULL) THEN 'date' WHEN bool_and(day OR moment) FILTER (v IS NOT NULL) THEN 'timestamp'
+  ELSE 'string' END AS type, count(v) AS present, count(*) - count(v) AS missing
+FROM looks GROUP BY column_name""",
+)
+def inferred_types(spark, sf_dir):
+    """Types of text columns made from every line, with clashes in one value of a thousand."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr(*[f"{expr} AS {name}" for name, expr in _TYPED_COLUMNS.items()])
+    return inference.column_types(rows)
+
+
 @query(
     "month_buckets",
     """SELECT strftime(o_orderdate, '%Y-%m') AS month_text, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,

@@ -6,7 +6,9 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from fenland.functions import dates
 from fenland.plans.tables import Warehouse
 from fenland.schemas import CLEAN, WAREHOUSE
 
@@ -42,7 +44,8 @@ def write_table(df: DataFrame, path: str, partition: str | None = None, sort: li
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Overwrite a folder of CSV files with headers; dates as yyyy-MM-dd, nulls as NA."""
-    df.write.mode("overwrite").option("header", True).option("nullValue", "NA").option("escape", '"').csv(path)
+    days = {f.name: dates.iso_text(F.col(f"`{f.name}`")) for f in df.schema if isinstance(f.dataType, T.DateType)}
+    df.withColumns(days).write.mode("overwrite").option("header", True).option("nullValue", "NA").option("escape", '"').csv(path)
 
 
 def read_clean(spark: SparkSession, base: str, name: str) -> DataFrame:

@@ -69,6 +69,22 @@ def test_mixed_dates_with_month_names_and_short_years(spark):
     assert values(spark, dates.month_start, "202405", "202413", "2024/5") == [dt.date(2024, 5, 1), None, dt.date(2024, 5, 1)]
 
 
+@pytest.mark.parametrize(
+    ("texts", "ranked"),
+    [
+        (["05/06/2024", "25/06/2024", "junk", None], ["dmy", "mdy", "ymd"]),
+        (["05/06/2024", "06/25/2024"], ["mdy", "dmy", "ymd"]),
+        (["05/06/2024"], ["mdy", "dmy", "ymd"]),  # a tie stays as declared
+        (["2024-06-05", "1 May 2024", "30 Feb 2024"], ["ymd", "dmy", "mdy"]),
+        ([None], ["mdy", "ymd", "dmy"]),
+    ],
+)
+def test_orders_learned_from_the_values(spark, texts, ranked):
+    rows = spark.createDataFrame([(t,) for t in texts], "raw string")
+    assert dates.trained_orders(rows, "raw", ["mdy", "ymd", "dmy"]) == ranked
+    assert dates.trained_orders(rows.limit(0), "raw", ["ymd", "mdy"]) == ["ymd", "mdy"]
+
+
 def test_postcode_district_modes(spark):
     keys = ["NR11AA", "NR29AB", "NR291AB", "IP121AA", "12345", "N1"]
     assert values(spark, geography.postcode_district, *keys) == ["NR11", "NR29", "NR29", "IP12", None, "N1"]
