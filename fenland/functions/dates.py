@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,22 +69,28 @@ def month_start(c: Column) -> Column:
 
 def mixed_date(c: Column, orders: Sequence[str]) -> Column:
     """Date from text in one of several day/month/year orders, the first that fits wins."""
-    text = _dashed(c)
-    plain = [_shaped_date(text, order) for order in orders]
-    # names and short years are rare, so they are tried last; the array names the text once
-    named, led = text.rlike("[A-Za-z]"), text.rlike("^[A-Za-z]")
 
     def first_of(t: Column, tried: Sequence[str]) -> Column:
         return F.coalesce(F.lit(None).cast("date"), *[_shaped_date(_full_year(t, order), order) for order in tried])
 
-    def spelled(t: Column) -> Column:
-        # where the name stands tells the month's place, so only orders with that place fit
+    def rare(t: Column) -> Column:
+        # names and short years; where a name stands tells the month's place, so only orders with that place fit
         leading, inside = [o for o in orders if o == "mdy"], [o for o in orders if o != "mdy"]
-        return F.when(led, first_of(t, leading)).when(named, first_of(t, inside)).otherwise(first_of(t, orders))
+        named = F.when(t.rlike("^[A-Za-z]"), _once(_numbered_month(t), lambda n: first_of(n, leading)))
+        named = named.otherwise(_once(_numbered_month(t), lambda n: first_of(n, inside)))
+        return F.when(t.rlike("[A-Za-z]"), named).otherwise(first_of(t, orders))
 
-    numbered = F.when(named, _numbered_month(text)).otherwise(text)
-    rest = F.transform(F.array(numbered), spelled)[0]
-    return F.coalesce(*plain, F.when(text.rlike("^[0-9A-Za-z]+-[0-9A-Za-z]+-[0-9]+$"), rest))
+    def read(t: Column) -> Column:
+        whole = F.coalesce(F.lit(None).cast("date"), *[_shaped_date(t, order) for order in orders])
+        # the shape is tested before the orders are: most values take one branch and one parse
+        return F.when(t.rlike("^[0-9]{4}-|-[0-9]{4}$") & ~t.rlike("[A-Za-z]"), whole).when(t.rlike("^[0-9A-Za-z]+-[0-9A-Za-z]+-[0-9]+$"), rare(t))
+
+    return _once(_dashed(c), read)
+
+
+def _once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(c)` with `c` worked out once, however often it is named."""
+    return F.transform(F.array(c), use)[0]
 
 
 def order_counts(df: DataFrame, column: str, orders: Sequence[str]) -> DataFrame:

@@ -41,14 +41,27 @@ SPARK_TYPES = {
 
 
 def value_bit(c: Column) -> Column:
-    """Bit of the narrowest type of one value; 0 for null, text for days and times that do not exist."""
-    bit = F.when(c.isNull(), 0)
-    for name, (number, pattern) in _KINDS.items():
-        fits = c.rlike(pattern)
-        if name in ("date", "timestamp"):
-            fits = fits & c.try_cast(SPARK_TYPES[name]).isNotNull()
-        bit = bit.when(fits, number)
-    return bit.otherwise(TEXT_BIT)
+    """Bit of the narrowest type of one value; 0 for null, text for days and times that do not exist.
+
+    Cheap tests on the first character and the length come first, so a word meets no pattern at all.
+    """
+
+    def fits(name: str) -> Column:
+        return c.rlike(_KINDS[name][1])
+
+    def real(name: str) -> Column:
+        return fits(name) & c.try_cast(SPARK_TYPES[name]).isNotNull()
+
+    size, first = F.length(c), F.ascii(c)  # signs, point and digits are 43 to 57
+    return (
+        F.when(c.isNull(), 0)
+        .when(~first.between(43, 57), F.when((size <= 5) & fits("boolean"), _BIT["boolean"]).otherwise(TEXT_BIT))
+        .when((size == 10) & real("date"), _BIT["date"])
+        .when((size >= 16) & real("timestamp"), _BIT["timestamp"])
+        .when(fits("long"), _BIT["long"])
+        .when(fits("double"), _BIT["double"])
+        .otherwise(TEXT_BIT)
+    )
 
 
 def joined_type(bits: Column) -> Column:
