@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -38,6 +38,30 @@ def orphan_count(fact: DataFrame, dim: DataFrame, key: str, dim_key: str | None
     )
 
 
+def orphan_counts(checks: Mapping[str, tuple[DataFrame, DataFrame, str]], name: str) -> DataFrame:
+    """(name, orphans) of several checks label -> (fact, dimension, key): fact rows without a dimension row.
+
+    All facts' keys are counted in one exchange and meet the keys of all dimensions in one join, each
+    dimension read once however many facts refer to it; a null key has no dimension row, and
+    a frequent key is one row. A fact without rows has 0.
+    """
+    dims: dict[tuple[int, str], DataFrame] = {}
+    counts, bases = [], []
+    for label, (fact, dim, key) in checks.items():
+        place = next((k for k, (other, column) in enumerate(dims.values()) if other is dim and column == key), len(dims))
+        dims.setdefault((place, key), (dim, key))
+        row = [F.lit(label).alias(name), F.lit(place).alias("_dim"), F.col(key).cast("string").alias("_key"), F.lit(1).cast("long").alias("_n")]
+        counts.append(fact.select(*row))
+        bases.append(label)
+    keys = [dim.select(F.lit(place).alias("_dim"), F.col(key).cast("string").alias("_key")) for (place, _), (dim, key) in dims.items()]
+    known = union_by_name(*keys).where("_key IS NOT NULL").distinct().withColumn("_known", F.lit(True))
+    met = union_by_name(*counts).groupBy(name, "_dim", "_key").agg(F.sum("_n").alias("_n")).join(known, ["_dim", "_key"], "left")
+    lost = F.coalesce(F.sum(F.when(F.col("_known").isNull(), F.col("_n"))), F.lit(0)).cast("long")
+    found = met.groupBy(name).agg(lost.alias("_lost"))
+    labels = known.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, bases))).alias(name))
+    return labels.join(found, name, "left").select(name, F.coalesce("_lost", F.lit(0).cast("long")).alias("orphans"))
+
+
 def match_rate(df: DataFrame, column: str) -> DataFrame:
     """Rows with a value, and all rows."""
     return df.agg(F.count_if(F.col(column).isNotNull()).alias("matched"), F.count("*").alias("total"))

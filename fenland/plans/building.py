@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from fenland.functions import dates, geography
 from fenland.operators import dedup, lookup, numbering, profile
 from fenland.plans.tables import Warehouse
 from fenland.schemas import WAREHOUSE
+from fenland.sources.csv_files import FILE_ORDER
 
 # Day/month/year orders tried for a crime month that is still text; the values of the column rank them.
 MONTH_ORDERS = {"Norfolk": ["mdy", "ymd", "dmy"], "Suffolk": ["ymd", "mdy", "dmy"]}
@@ -43,21 +45,25 @@ def build_warehouse(
     clean: Callable[[str], DataFrame],
     *,
     school_code: str = "estab",
-    postcode_order: tuple[str, ...] = ("postcode", "avg_speed", "max_speed"),
+    postcode_order: Sequence[str] = FILE_ORDER,
     buckets: int = numbering.BUCKETS,
 ) -> Warehouse:
     """The nine tables from the six clean ones (`clean(name)` returns a clean table).
 
     `school_code` says what identifies a school. `estab` alone is used in both
     counties, and dim_school then keeps the first county; `lea_estab` puts the
-    authority code in front and keeps such schools apart. `buckets` spreads the
-    numbering of the facts; a bucket is sorted by one task.
+    authority code in front and keeps such schools apart. Of several spellings of a
+    postcode and several names of an area the first in raw file order stays. `buckets` spreads the
+    numbering of the facts; a bucket is sorted by one task. A clean table is asked for when a table needs it.
     """
     if school_code not in ("estab", "lea_estab"):
         raise ValueError(f"unknown school code: {school_code}")
     counties = literal_tables.county_table(spark)
     districts = literal_tables.district_table(spark)
-    crime = combined_crime(clean("norfolk_clean"), clean("suffolk_clean"))
+
+    @cache
+    def crime() -> DataFrame:
+        return combined_crime(clean("norfolk_clean"), clean("suffolk_clean"))
 
     def with_county_id(df: DataFrame, county: str) -> DataFrame:
         return lookup.attach(df, counties, county, "county_name", fixed_size=True)
@@ -72,8 +78,8 @@ def build_warehouse(
         return rows
 
     def dim_lsoa() -> DataFrame:
-        names = crime.select("lsoa_code", "lsoa_name", "source_county")
-        return with_county_id(dedup.first_rows(names, ["lsoa_code"], ["source_county", "lsoa_name"]), "source_county")
+        names = crime().select("lsoa_code", "lsoa_name", "source_county", *FILE_ORDER)
+        return with_county_id(dedup.first_rows(names, ["lsoa_code"], ["source_county", *FILE_ORDER]), "source_county")
 
     def dim_school() -> DataFrame:
         schools = schools_and_scores().select(
@@ -84,7 +90,7 @@ def build_warehouse(
 
     def fact_population() -> DataFrame:
         # dim_lsoa has exactly the area codes of the crime rows
-        return lookup.keep_known(clean("population_clean"), crime, "lsoa_code")
+        return lookup.keep_known(clean("population_clean"), crime(), "lsoa_code")
 
     def fact_house_price() -> DataFrame:
         sales = lookup.attach(
@@ -108,7 +114,7 @@ def build_warehouse(
 
     def fact_crime() -> DataFrame:
         content = ["crime_date", "lsoa_code", "lsoa_name", "crime_type", "outcome", "reported_by", "police_force", "source_county"]
-        return numbering.number_rows(crime, "crime_pk", numbering.hash_bucket(*content, buckets=buckets), content)
+        return numbering.number_rows(crime().drop(*FILE_ORDER), "crime_pk", numbering.hash_bucket(*content, buckets=buckets), content)
 
     def fact_education() -> DataFrame:
         content = ["county", "academic_year", "estab"]
@@ -139,11 +145,7 @@ def orphan_report(w: Warehouse) -> DataFrame:
         "fact_population": (w.fact_population, w.dim_lsoa, "lsoa_code"),
         "fact_education": (w.fact_education, w.dim_school, "estab"),
     }
-    counts = [
-        lookup.orphan_count(fact, dim, key).select(F.lit(name).alias("fact"), "orphans")
-        for name, (fact, dim, key) in checks.items()
-    ]
-    return lookup.union_by_name(*counts)
+    return lookup.orphan_counts(checks, "fact")
 
 
 def size_report(w: Warehouse) -> DataFrame:

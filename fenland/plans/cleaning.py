@@ -66,23 +66,24 @@ def clean_house_price(raw: DataFrame) -> DataFrame:
 
 
 def read_broadband(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    return csv_files.read_by_name(spark, paths, schemas.SPEED_COLUMNS).drop(*csv_files.FILE_ORDER)
+    return csv_files.read_by_name(spark, paths, schemas.SPEED_COLUMNS)
 
 
 def clean_broadband(raw: DataFrame) -> DataFrame:
-    """Postcodes of the covered areas with both speeds, without duplicate rows."""
+    """Postcodes of the covered areas with both speeds, without duplicate rows; each with its first position."""
     postcode = text.squish(F.upper("postcode"))
-    return (
+    rows = (
         raw.select(
             postcode.alias("postcode"),
             to_number(F.col("avg_speed")).alias("avg_speed"),
             to_number(F.col("max_speed")).alias("max_speed"),
+            *csv_files.FILE_ORDER,
         )
         .withColumn("county", geography.county_of_postcode(F.col("postcode")))
         .where("county IS NOT NULL AND avg_speed IS NOT NULL AND max_speed IS NOT NULL")
         .where(text.has_text(F.col("postcode")))
-        .distinct()
     )
+    return dedup.distinct_first(rows, csv_files.FILE_ORDER)
 
 
 # ---- crime ---------------------------------------------------------------
@@ -91,16 +92,19 @@ def clean_broadband(raw: DataFrame) -> DataFrame:
 def read_crime(spark: SparkSession, folder: str, force: str) -> DataFrame:
     """All monthly files of one force, from any depth below the folder."""
     paths = csv_files.list_files(spark, folder, f"*{force}*.csv", recursive=True)
-    return csv_files.read_by_name(spark, paths, schemas.CRIME_COLUMNS).drop(*csv_files.FILE_ORDER)
+    return csv_files.read_by_name(spark, paths, schemas.CRIME_COLUMNS)
 
 
 def clean_crime(raw: DataFrame) -> DataFrame:
-    """Typed, trimmed, with place and type, without duplicates; events carry no id, so equal rows count once."""
+    """Typed, trimmed, with place and type, without duplicates; each with its first position.
+
+    Events carry no id, so equal rows count once.
+    """
     # the filters test the raw text: each is equal to testing the cleaned value, without computing it twice
     usable = dates.is_month(F.col("month"))
     for name in ("lsoa_code", "lsoa_name", "crime_type"):
         usable = usable & (text.trim_all(F.col(name)) != "")
-    return (
+    rows = (
         raw.where(usable)
         .select(
             dates.month_start(F.col("month")).alias("month"),
@@ -110,10 +114,11 @@ def clean_crime(raw: DataFrame) -> DataFrame:
             text.squish(F.col("lsoa_name")).alias("lsoa_name"),
             text.title_case(text.squish(F.col("crime_type"))).alias("crime_type"),
             text.or_default(F.col("outcome"), "Unknown").alias("outcome"),
+            *csv_files.FILE_ORDER,
         )
         .withColumn("year", F.year("month"))
-        .distinct()
     )
+    return dedup.distinct_first(rows, csv_files.FILE_ORDER)
 
 
 # ---- schools -------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from fenland.plans import building, cleaning
 from fenland.plans.tables import Warehouse
-from fenland.schemas import CRIME_COLUMNS, text_schema
+from fenland.schemas import CRIME_COLUMNS, POSITION, schema
 from fenland.sources import tables
 
 
@@ -35,7 +35,7 @@ def clean_all(spark: SparkSession, raw: RawInput, base: str) -> None:
     for force in ("norfolk", "suffolk"):
         merged = f"{base}/{force}_all"
         cleaning.read_crime(spark, raw.crime, force).write.mode("overwrite").parquet(merged)
-        rows = spark.read.schema(text_schema(*CRIME_COLUMNS.values())).parquet(merged)
+        rows = spark.read.schema(schema(**dict.fromkeys(CRIME_COLUMNS.values(), "string"), **POSITION)).parquet(merged)
         tables.write_clean(cleaning.clean_crime(rows), base, f"{force}_clean")
     tables.write_clean(
         cleaning.clean_education(cleaning.read_education(spark, raw.schools)), base, "education_clean"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import functions as F
 
 from fenland.functions import geography
@@ -11,6 +13,8 @@ from fenland.plans.tables import Warehouse
 from fenland.queries import raw_rows
 from fenland.queries.registry import query
 from fenland.queries.standin import TABLES_SQL, table, warehouse
+from fenland.schemas import POSITION
+from fenland.sources import scratch
 
 CLEANERS = {
     "house_price_clean": lambda s, d: cleaning.clean_house_price(raw_rows.raw_prices(s, d)),
@@ -30,12 +34,23 @@ CLEAN_SQL = {
     "population_clean": raw_rows.CLEAN_POPULATION_SQL,
 }
 
+def _without_position(cleaner):
+    return lambda spark, sf_dir: cleaner(spark, sf_dir).drop(*POSITION)
+
+
 for _name, _cleaner in CLEANERS.items():
-    query(_name, CLEAN_SQL[_name])(_cleaner)
+    _placed = _name in ("broadband_clean", "norfolk_clean", "suffolk_clean")
+    query(_name, f"SELECT * EXCLUDE (place) FROM ({CLEAN_SQL[_name]})" if _placed else CLEAN_SQL[_name])(_without_position(_cleaner))
 
 
 def built(spark, sf_dir) -> Warehouse:
-    return building.build_warehouse(spark, lambda name: CLEANERS[name](spark, sf_dir))
+    """The warehouse over clean tables that are written once, when a table first asks for them, as the job does."""
+
+    @cache
+    def clean(name):
+        return scratch.written(CLEANERS[name](spark, sf_dir))
+
+    return building.build_warehouse(spark, clean)
 
 
 _DISTRICT_ROWS = ", ".join(
@@ -60,7 +75,7 @@ districts(district_id, district_name) AS (VALUES {_DISTRICT_ROWS})
     "built_dim_lsoa",
     BUILT_SQL
     + """SELECT lsoa_code, lsoa_name, county_id FROM crime JOIN counties ON source_county = county_name
-QUALIFY row_number() OVER (PARTITION BY lsoa_code ORDER BY source_county, lsoa_name) = 1""",
+QUALIFY row_number() OVER (PARTITION BY lsoa_code ORDER BY source_county, place) = 1""",
 )
 def built_dim_lsoa(spark, sf_dir):
     return built(spark, sf_dir).dim_lsoa
@@ -94,7 +109,7 @@ SELECT date, year, replace(postcode, ' ', '') AS postcode, CAST(district_id AS I
   n AS last_key FROM house_price_clean JOIN districts ON district = district_name, numbers""",
 )
 def built_fact_house_price(spark, sf_dir):
-    sales = built(spark, sf_dir).fact_house_price
+    sales = scratch.written(built(spark, sf_dir).fact_house_price)
     # keys run from 1 to the row count; which row gets which is free
     last = sales.agg(F.max("transaction_pk")).scalar()
     return sales.withColumn("last_key", last).drop("transaction_pk")
@@ -105,7 +120,7 @@ def built_fact_house_price(spark, sf_dir):
     BUILT_SQL
     + """SELECT replace(postcode, ' ', '') AS postcode, avg_speed, max_speed, county_id
 FROM broadband_clean JOIN counties ON county = county_name
-QUALIFY row_number() OVER (PARTITION BY replace(postcode, ' ', '') ORDER BY broadband_clean.postcode, avg_speed, max_speed) = 1""",
+QUALIFY row_number() OVER (PARTITION BY replace(postcode, ' ', '') ORDER BY place) = 1""",
 )
 def built_fact_broadband(spark, sf_dir):
     return built(spark, sf_dir).fact_broadband
@@ -113,6 +128,7 @@ def built_fact_broadband(spark, sf_dir):
 
 def _with_key_counts(fact, key):
     """Largest key and number of different keys instead of the keys: which row gets which is free."""
+    fact = scratch.written(fact)
     counts = fact.agg(F.max(key).alias("last_key"), F.count_distinct(key).alias("keys"))
     picked = counts.select(F.struct("*")).scalar()
     return fact.withColumn("_k", picked).select("*", "_k.*").drop("_k", key)

@@ -37,7 +37,7 @@ FROM orders""",
 )
 def surrogate_keys(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    bucket = F.pmod(F.col("o_orderkey"), F.lit(numbering.BUCKETS))
+    bucket = F.pmod(F.col("o_orderkey"), F.lit(4096))
     return numbering.number_rows(orders, "transaction_pk", bucket, ["o_orderkey"])
 
 
@@ -97,17 +97,14 @@ UNION ALL SELECT 'fact_education', count(*) FROM fact_education f
 )
 def orphans(spark, sf_dir):
     w = warehouse(spark, sf_dir)
-    pairs = {
-        "fact_house_price": (w.fact_house_price, w.dim_district, "district_id"),
-        "fact_crime": (w.fact_crime, w.dim_lsoa, "lsoa_code"),
-        "fact_population": (w.fact_population, w.dim_lsoa, "lsoa_code"),
-        "fact_education": (w.fact_education, w.dim_school, "estab"),
+    areas = w.dim_lsoa.where("county_id < 4")
+    checks = {
+        "fact_house_price": (w.fact_house_price, w.dim_district.where("county_id < 4"), "district_id"),
+        "fact_crime": (w.fact_crime, areas, "lsoa_code"),
+        "fact_population": (w.fact_population, areas, "lsoa_code"),
+        "fact_education": (w.fact_education, w.dim_school.where("county_id < 4"), "estab"),
     }
-    counts = [
-        lookup.orphan_count(fact, dim.where("county_id < 4"), key).select(F.lit(name).alias("fact"), "orphans")
-        for name, (fact, dim, key) in pairs.items()
-    ]
-    return lookup.union_by_name(*counts)
+    return lookup.orphan_counts(checks, "fact")
 
 
 @query(

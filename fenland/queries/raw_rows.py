@@ -73,21 +73,25 @@ def raw_speeds(spark, sf_dir) -> DataFrame:
         "concat(' ', array('nr', 'ip', 'cb')[c_custkey % 3], c_custkey % 97, '   ', c_custkey % 10, 'aa') AS postcode",
         "IF(c_custkey % 7 = 0, NULL, CAST(c_acctbal AS STRING)) AS avg_speed",
         "CAST(c_acctbal * 2 AS STRING) AS max_speed",
+        "'speeds' AS _file",
+        "0L AS _block",
+        "c_custkey AS _row",
     )
 
 
-CLEAN_SPEEDS_SQL = """SELECT DISTINCT
+# `place` is the position of the first of equal rows
+CLEAN_SPEEDS_SQL = """SELECT
   ['NR', 'IP'][c_custkey % 3 + 1] || CAST(c_custkey % 97 AS VARCHAR) || ' ' || CAST(c_custkey % 10 AS VARCHAR) || 'AA'
     AS postcode,
-  c_acctbal AS avg_speed, c_acctbal * 2 AS max_speed, ['Norfolk', 'Suffolk'][c_custkey % 3 + 1] AS county
-FROM customer WHERE c_custkey % 3 < 2 AND c_custkey % 7 <> 0"""
+  c_acctbal AS avg_speed, c_acctbal * 2 AS max_speed, ['Norfolk', 'Suffolk'][c_custkey % 3 + 1] AS county, min(c_custkey) AS place
+FROM customer WHERE c_custkey % 3 < 2 AND c_custkey % 7 <> 0 GROUP BY ALL"""
 
 
 # ---- crime ---------------------------------------------------------------
 
 
 def raw_crime(spark, sf_dir, force: str) -> DataFrame:
-    """One force's events: bad months, missing places, mixed letter case, missing outcomes."""
+    """One force's events: bad months, missing places, two names of a place, mixed letter case, missing outcomes."""
     side = "s_nationkey < 13" if force == "norfolk" else "s_nationkey >= 13"
     name = force.capitalize()
     return (
@@ -98,10 +102,13 @@ def raw_crime(spark, sf_dir, force: str) -> DataFrame:
             f"' {name}  Constabulary' AS reported_by",
             f"'{name} Constabulary ' AS police_force",
             "IF(l_orderkey % 29 = 0, NULL, concat(' e', l_suppkey, ' ')) AS lsoa_code",
-            f"concat({_spark_array(_CRIME_NAMES)}[s_nationkey % 13], '   001A') AS lsoa_name",
+            f"concat({_spark_array(_CRIME_NAMES)}[s_nationkey % 13], IF(l_orderkey % 3 = 0, ' 001B', '   001A')) AS lsoa_name",
             "CASE l_returnflag WHEN 'A' THEN 'drugs' WHEN 'N' THEN '  violence  and SEXUAL offences' "
             "ELSE 'VEHICLE CRIME' END AS crime_type",
             "IF(l_linestatus = 'O', NULL, 'Under investigation') AS outcome",
+            f"'{force}' AS _file",
+            "0L AS _block",
+            "l_orderkey * 100 + l_linenumber AS _row",
         )
     )
 
@@ -109,14 +116,14 @@ def raw_crime(spark, sf_dir, force: str) -> DataFrame:
 def clean_crime_sql(force: str) -> str:
     side = "s_nationkey < 13" if force == "norfolk" else "s_nationkey >= 13"
     name = force.capitalize()
-    return f"""SELECT DISTINCT CAST(date_trunc('month', l_shipdate) AS DATE) AS month,
+    return f"""SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month,
   '{name} Constabulary' AS reported_by, '{name} Constabulary' AS police_force, 'E' || CAST(l_suppkey AS VARCHAR) AS lsoa_code,
-  [{_sql_list(_CRIME_NAMES)}][s_nationkey % 13 + 1] || ' 001A' AS lsoa_name,
+  [{_sql_list(_CRIME_NAMES)}][s_nationkey % 13 + 1] || CASE WHEN l_orderkey % 3 = 0 THEN ' 001B' ELSE ' 001A' END AS lsoa_name,
   CASE l_returnflag WHEN 'A' THEN 'Drugs' WHEN 'N' THEN 'Violence And Sexual Offences' ELSE 'Vehicle Crime' END AS crime_type,
   CASE WHEN l_linestatus = 'O' THEN 'Unknown' ELSE 'Under investigation' END AS outcome,
-  CAST(year(l_shipdate) AS INT) AS year
+  CAST(year(l_shipdate) AS INT) AS year, min(l_orderkey * 100 + l_linenumber) AS place
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
-WHERE {side} AND l_orderkey % 23 <> 0 AND l_orderkey % 29 <> 0"""
+WHERE {side} AND l_orderkey % 23 <> 0 AND l_orderkey % 29 <> 0 GROUP BY ALL"""
 
 
 # ---- schools -------------------------------------------------------------

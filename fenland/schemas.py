@@ -60,19 +60,22 @@ POPULATION_COLUMNS = {
     "Total": "population",
 }
 
+# Where a row stood in the raw files; kept where a later step takes the first of several rows.
+POSITION = {"_file": "string", "_block": "long", "_row": "long"}
+
 CLEAN = {
     "house_price_clean": schema(
         date="date", postcode="string", town="string", district="string", county="string",
         price="double", year="int",
     ),
-    "broadband_clean": schema(postcode="string", avg_speed="double", max_speed="double", county="string"),
+    "broadband_clean": schema(postcode="string", avg_speed="double", max_speed="double", county="string", **POSITION),
     "norfolk_clean": schema(
         month="date", reported_by="string", police_force="string", lsoa_code="string",
-        lsoa_name="string", crime_type="string", outcome="string", year="int",
+        lsoa_name="string", crime_type="string", outcome="string", year="int", **POSITION,
     ),
     "suffolk_clean": schema(
         month="date", reported_by="string", police_force="string", lsoa_code="string",
-        lsoa_name="string", crime_type="string", outcome="string", year="int",
+        lsoa_name="string", crime_type="string", outcome="string", year="int", **POSITION,
     ),
     "education_clean": schema(
         lea_code="string", estab="string", school_name="string", town="string", postcode="string",

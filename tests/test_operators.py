@@ -148,6 +148,28 @@ def test_numbers_are_dense_unique_and_repeatable(spark):
     assert dict(rows(again.select("id", "pk"))) == got
 
 
+def test_numbering_reads_its_input_once(spark, tmp_path):
+    spark.range(20_000).selectExpr("id", "id * 7 AS v", "cast(id AS string) AS t").write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    numbered = numbering.number_rows(df, "pk", numbering.hash_bucket("id"), ["id"])
+    assert sorted(r.pk for r in numbered.select("pk").collect()) == list(range(1, 20_001))
+    plan = numbered.select("pk", "v")
+    plan.write.format("noop").mode("overwrite").save()
+    query = plan._jdf.queryExecution()
+    query.executedPlan().executeCollect()
+    text = query.executedPlan().toString().split("== Initial Plan ==")[0]
+    assert text.count("FileScan parquet") - text.count("ReusedExchange") <= 1, text
+
+
+def test_repeated_rows_are_numbered_as_one_group(spark):
+    df = spark.createDataFrame([("a", 1)] * 700 + [("b", k) for k in range(30)], "t string, v int")
+    got = rows(numbering.number_rows(df, "pk", numbering.hash_bucket("t", "v"), ["t", "v"], repeated=True))
+    assert sorted(pk for pk, *_ in got) == list(range(1, 731))
+    copies = sorted(pk for pk, t, _ in got if t == "a")
+    assert copies == list(range(copies[0], copies[0] + 700))
+    assert numbering.number_rows(df.limit(0), "pk", numbering.hash_bucket("t"), ["t"]).count() == 0
+
+
 # ---- joins, sets ---------------------------------------------------------
 
 

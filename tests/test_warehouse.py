@@ -50,13 +50,42 @@ def test_dimensions(warehouse):
 
 def test_facts(warehouse):
     speeds = {r.postcode: r.avg_speed for r in warehouse.fact_broadband.collect()}
-    assert speeds["NR11AA"] == 10.0  # two spellings of one postcode, the first in text order stays
+    assert speeds["NR11AA"] == 10.0  # two spellings of one postcode, the first in the file stays
     inside = dict(rows(warehouse.fact_crime.groupBy("in_boundary").count()))
     assert inside == {True: 14, False: 2}
     assert {r.lsoa_code for r in warehouse.fact_population.collect()} == {"E1", "E2", "E3", "E5", "E6", "E7"}
     assert {r.postcode for r in warehouse.fact_house_price.where("price = 200000").collect()} == {"NR29AB"}
 
 
+def test_the_first_row_in_file_order_stays(spark, tmp_path):
+    """Neither the smallest spelling nor the smallest value: the row that stands first, also behind removed duplicates."""
+    header = "postcode,Average download speed (Mbit/s),Maximum download speed (Mbit/s)\n"
+    (tmp_path / "a.csv").write_text(header + "NR11AA,50,60\nNR1 1AA,10,30\nNR11AA,50,60\nIP4  2BB,70,80\n")
+    (tmp_path / "b.csv").write_text(header + "IP42BB,1,2\nNR11AA,1,1\n")
+    paths = [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]
+    speeds = cleaning.clean_broadband(cleaning.read_broadband(spark, paths))
+    assert speeds.count() == 5
+    crime = "Month,Reported by,Falls within,LSOA code,LSOA name,Crime type,Last outcome category\n"
+    (tmp_path / "x-norfolk.csv").write_text(crime + "2024-05,N,N,E1,Zed 001A,Drugs,\n2024-05,N,N,E1,Alpha 001A,Drugs,\n")
+    (tmp_path / "x-suffolk.csv").write_text(crime + "2024-05,S,S,E1,Aaa 001A,Drugs,\n2024-05,S,S,E2,Bee 001A,Drugs,\n")
+    frames = {f"{f}_clean": cleaning.clean_crime(cleaning.read_crime(spark, str(tmp_path), f)) for f in ("norfolk", "suffolk")}
+    w = building.build_warehouse(spark, {"broadband_clean": speeds, **frames}.__getitem__)
+    assert sorted(rows(w.fact_broadband)) == [("IP42BB", 70.0, 80.0, 2), ("NR11AA", 50.0, 60.0, 1)]
+    assert sorted(rows(w.dim_lsoa)) == [("E1", "Zed 001A", 1), ("E2", "Bee 001A", 2)]
+
+
+def test_orphan_counts_of_empty_and_null_keys(spark):
+    from fenland.operators.lookup import orphan_count, orphan_counts
+
+    dim = spark.createDataFrame([(1,), (2,), (2,), (None,)], "k int")
+    other = spark.createDataFrame([("1",)], "s string")
+    fact = spark.createDataFrame([(1,), (3,), (3,), (None,)], "k int")
+    named = fact.select(F.col("k").cast("string").alias("s"))
+    checks = {"a": (fact, dim, "k"), "b": (named, other, "s"), "empty": (fact.limit(0), dim, "k"), "sound": (fact.where("k = 1"), dim, "k")}
+    assert dict(rows(orphan_counts(checks, "fact"))) == {"a": 3, "b": 3, "empty": 0, "sound": 0}
+    assert {n: orphan_count(f, d, k).first()[0] for n, (f, d, k) in checks.items()} == {"a": 3, "b": 3, "empty": 0, "sound": 0}
+
+
 def test_seeded_orphans_are_counted(warehouse):
     from fenland.operators.lookup import orphan_count
 
