@@ -58,13 +58,14 @@ def iso_date(c: Column) -> Column:
 
 def is_month(c: Column) -> Column:
     """True when `month_start` finds a month; cheaper than parsing."""
-    return _dashed(c).rlike(f"^{_YEAR}-{_MONTH}$|^{_YEAR}(0[1-9]|1[0-2])$")
+    return F.when(c.rlike("^[0-9]{4}-(?:0[1-9]|1[0-2])$"), True).otherwise(_dashed(c).rlike(f"^{_YEAR}-{_MONTH}$|^{_YEAR}(0[1-9]|1[0-2])$"))
 
 
 def month_start(c: Column) -> Column:
     """First day of a year-month, `2024-05` or `202405`; null for anything else."""
     text = F.regexp_replace(_dashed(c), "^([0-9]{4})([0-9]{2})$", "$1-$2")
-    return _shaped_date(F.concat(text, F.lit("-01")), "ymd")
+    rare = _once(F.concat(text, F.lit("-01")), lambda t: _shaped_date(t, "ymd"))
+    return F.when(c.rlike("^[0-9]{4}-(?:0[1-9]|1[0-2])$"), F.concat(c, F.lit("-01")).try_cast("date")).otherwise(rare)
 
 
 def mixed_date(c: Column, orders: Sequence[str]) -> Column:

@@ -14,8 +14,8 @@ BLANKS = "".join(
 
 # Most values are clean already. One pass over a value tells, and then the rewriting
 # chain, several times dearer, is left out; results are the same either way.
-_TRIMMED = "^[!-~]([ -~]*[!-~])?$"
-_SQUISHED = "^[!-~]+( [!-~]+)*$"
+_TRIMMED = "^[!-~](?:[ -~]*[!-~])?$"
+_SQUISHED = "^[!-~]++(?: [!-~]++)*+$"
 _ONE_CASE = "^[A-Za-z0-9' ]*$"
 
 
@@ -35,15 +35,24 @@ def strip_blanks(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+", "")
 
 
+def not_blank(c: Column) -> Column:
+    """`trim_all(c) != ""`; a printable ASCII character settles it."""
+    return F.when(c.rlike("[!-~]"), True).otherwise(F.btrim(c, F.lit(BLANKS)) != "")
+
+
 def title_case(c: Column) -> Column:
     """Capitalise each word; a word ends at anything but a letter, digit or apostrophe.
 
     `initcap` starts words at spaces only and leaves `Wells-next-the-sea`, so
     every other separator gets a marked space behind it for the moment.
     """
-    marked = F.regexp_replace(c, r"([^\p{L}\p{N}' ])", "$1\u0001 ")
-    split = F.replace(F.initcap(marked), F.lit("\u0001 "), F.lit(""))
-    return F.when(c.rlike(_ONE_CASE), F.initcap(c)).otherwise(split)
+
+    def cased(c: Column) -> Column:
+        marked = F.regexp_replace(c, r"([^\p{L}\p{N}' ])", "$1\u0001 ")
+        split = F.replace(F.initcap(marked), F.lit("\u0001 "), F.lit(""))
+        return F.when(c.rlike(_ONE_CASE), F.initcap(c)).otherwise(split)
+
+    return F.transform(F.array(c), cased)[0]  # the array works the text out once
 
 
 def drop_last_word(c: Column) -> Column:

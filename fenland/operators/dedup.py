@@ -17,10 +17,12 @@ def distinct_first(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Distinct rows of the columns outside `order`, each with the smallest `order` it occurs at.
 
     A position lives through the removal of duplicates this way, so a later step can still take
-    the row that came first. The minimum is combined map-side like the grouping itself.
+    the row that came first. The minimum is combined map-side like the grouping itself; a minimum over
+    a struct is grouped by sorting, and the hash in front settles almost every comparison of the sort.
     """
     content = [c for c in df.columns if c not in order]
-    return df.groupBy(*content).agg(F.min(F.struct(*order)).alias("_at")).select(*content, "_at.*")
+    grouped = df.groupBy(F.xxhash64(*content).alias("_hash"), *content)
+    return grouped.agg(F.min(F.struct(*order)).alias("_at")).select(*content, "_at.*")
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

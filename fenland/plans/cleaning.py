@@ -103,7 +103,7 @@ def clean_crime(raw: DataFrame) -> DataFrame:
     # the filters test the raw text: each is equal to testing the cleaned value, without computing it twice
     usable = dates.is_month(F.col("month"))
     for name in ("lsoa_code", "lsoa_name", "crime_type"):
-        usable = usable & (text.trim_all(F.col(name)) != "")
+        usable = usable & text.not_blank(F.col(name))
     rows = (
         raw.where(usable)
         .select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cache
 
 from pyspark.sql import functions as F
@@ -46,9 +47,16 @@ for _name, _cleaner in CLEANERS.items():
 def built(spark, sf_dir) -> Warehouse:
     """The warehouse over clean tables that are written once, when a table first asks for them, as the job does."""
 
+    @cache
+    def forces():
+        # two jobs side by side: each scans its own files
+        with ThreadPoolExecutor(2) as pool:
+            names = ("norfolk_clean", "suffolk_clean")
+            return dict(zip(names, pool.map(lambda name: scratch.written(CLEANERS[name](spark, sf_dir)), names), strict=True))
+
     @cache
     def clean(name):
-        return scratch.written(CLEANERS[name](spark, sf_dir))
+        return forces()[name] if name in ("norfolk_clean", "suffolk_clean") else scratch.written(CLEANERS[name](spark, sf_dir))
 
     return building.build_warehouse(spark, clean)
 

@@ -219,6 +219,22 @@ def test_complete_adds_the_gaps(spark):
     assert sorted(rows(reshape.complete(df, "t", "y")), key=str) == [("a", "y1", 1.0), ("a", "y2", 2.0), ("b", "y1", None), ("b", "y2", 3.0)]
 
 
+def test_complete_keeps_repeated_and_null_rows(spark):
+    df = spark.createDataFrame([("a", 1, 1.0)] * 500 + [("a", None, 2.0), (None, 1, 3.0), ("b", 2, None)], "t string, y int, v double")
+    got = rows(reshape.complete(df, "t", "y"))
+    assert sorted(map(repr, got)) == sorted(map(repr, rows(df) + [("a", 2, None), (None, 2, None), (None, None, None), ("b", 1, None), ("b", None, None)]))
+    wide = spark.range(300).selectExpr("id", "id % 7 AS y", "id AS v")
+    assert reshape.complete(wide, "id", "y").count() == 300 * 7
+    assert reshape.complete(df.limit(0), "t", "y").count() == 0
+
+
+def test_reshape_gathers_no_group_in_an_array():
+    import inspect
+
+    text = inspect.getsource(reshape)
+    assert "collect_list" not in text and "collect_set" not in text and ".collect(" not in text
+
+
 def test_cross_tab_has_zero_cells(spark):
     df = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y")], "r string, c string")
     assert sorted(rows(reshape.cross_tab(df, "r", "c", ["x", "y", "z"]))) == [("a", 2, 0, 0), ("b", 0, 1, 0)]
@@ -229,6 +245,11 @@ def test_bounds_rows(spark):
     assert sorted(rows(reshape.with_bounds_rows(df, "k", ["a", "b"])))[:4] == [
         ("N", 10.0, 20.0), ("S", 5.0, None), ("axis_max", 22.0, 22.0), ("axis_min", 0.0, 0.0),
     ]
+    twice = df.union(df).union(df.limit(0))
+    assert sorted(map(repr, rows(reshape.with_bounds_rows(twice, "k", ["a", "b"])))) == sorted(
+        map(repr, 2 * rows(df) + [("axis_max", 22.0, 22.0), ("axis_min", 0.0, 0.0)])
+    )
+    assert reshape.with_bounds_rows(df.limit(0), "k", ["a", "b"]).count() == 0
 
 
 # ---- profile -------------------------------------------------------------
