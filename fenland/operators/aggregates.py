@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fenland.operators.group_join import join_group_table, value_counts
+from fenland.operators.group_join import heavy_keys, join_group_table, value_counts
 from fenland.operators.quantiles import group_quantiles, small_group_quantiles
 
 
@@ -54,7 +54,8 @@ def box_statistics(
     Groups of fewer than `min_rows` rows are left out.
     """
     quartiles = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    boxes = _quantiles(df, keys, value, quartiles, [F.count("*").alias("n")], few_groups, small_groups)
+    heavy = None if few_groups or small_groups else heavy_keys(df, keys)
+    boxes = _quantiles(df, keys, value, quartiles, [F.count("*").alias("n")], few_groups, small_groups, heavy)
     if min_rows:
         boxes = boxes.where(F.col("n") >= min_rows)
     boxes = boxes.where("q1 IS NOT NULL").withColumns(
@@ -67,7 +68,7 @@ def box_statistics(
     else:
         rows = value_counts(df, keys, value)
     return (
-        join_group_table(rows, boxes, keys, ["_v"], few_groups=few)
+        join_group_table(rows, boxes, keys, ["_v"], few_groups=few, heavy=heavy)
         .groupBy(*keys, "q1", "median", "q3", "n")
         .agg(
             F.expr(f"min(CASE WHEN {near} THEN _v END)").alias("lower_whisker"),
@@ -101,7 +102,7 @@ def trim_top(df: DataFrame, value: str, p: float = 0.99) -> DataFrame:
     return df.where((F.col(value) > 0) & (F.col(value) < quantile_of(df, value, p)))
 
 
-def _quantiles(df, keys, value, probs, extra, few_groups, small_groups):
+def _quantiles(df, keys, value, probs, extra, few_groups, small_groups, heavy=None):
     if small_groups:
         return small_group_quantiles(df, keys, value, probs, extra)
-    return group_quantiles(df, keys, value, probs, extra, few_groups=few_groups)
+    return group_quantiles(df, keys, value, probs, extra, few_groups=few_groups, heavy=heavy)

@@ -21,12 +21,12 @@ linearly between the two nearest ranks, `h = (n - 1) p`.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fenland.operators.group_join import join_group_table, value_counts
+from fenland.operators.group_join import heavy_keys, join_group_table, value_counts
 
 # A sketch of accuracy A is off by at most n/A ranks, and the interpolated rank (n - 1) p lies
 # within two ranks of n p. So a bracket edge at p -+ d is safe once d n >= n/A + 2: each
@@ -55,6 +55,7 @@ def group_quantiles(
     extra: Sequence[Column] = (),
     *,
     few_groups: bool = False,
+    heavy: Collection[int] | None = None,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
     """One row per group: the keys, the `extra` aggregates and one column per entry of `probs`.
@@ -62,7 +63,8 @@ def group_quantiles(
     `extra` aggregates run in the first pass and see every row, also rows with a
     null value. `few_groups` states that the number of groups is bounded by a
     fixed domain (counties, postcode districts), so the bracket table may be
-    broadcast; otherwise rows are counted per value first and the join is salted.
+    broadcast; otherwise rows are counted per value first and the join is salted for large
+    groups (`heavy`, where the caller knows them).
     """
     order = sorted(probs, key=probs.get)
     rungs = [2.0**k / accuracy for k in range(1, RUNGS + 1)]
@@ -93,7 +95,7 @@ def group_quantiles(
     elif few_groups:
         rows = join_group_table(rows.withColumn("_k", F.lit(1)), bounds, keys, ["_v"], few_groups=True)
     else:
-        rows = join_group_table(value_counts(rows, keys, "_v"), bounds, keys, ["_v"])
+        rows = join_group_table(value_counts(rows, keys, "_v"), bounds, keys, ["_v"], heavy=heavy_keys(df, keys) if heavy is None else heavy)
 
     cell, close = _cell(len(order))
     counted = (

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fenland.functions.student_t import critical_t, two_sided_p
-from fenland.operators import aggregates, dedup, lookup, numbering, profile, quantiles, rates, regression, reshape
+from fenland.operators import aggregates, dedup, group_join, lookup, numbering, profile, quantiles, rates, regression, reshape
 
 PROBS = {"q1": 0.25, "median": 0.5, "q3": 0.75, "p99": 0.99}
 
@@ -170,6 +170,37 @@ def test_repeated_rows_are_numbered_as_one_group(spark):
     assert numbering.number_rows(df.limit(0), "pk", numbering.hash_bucket("t"), ["t"]).count() == 0
 
 
+# ---- large groups --------------------------------------------------------
+
+
+def test_large_groups_are_found_and_only_they_are_copied(spark):
+    few = spark.range(60_000).selectExpr("IF(id % 3 = 0, 'hot', cast(id AS string)) AS estab", "cast(id AS double) AS score")
+    (hot,) = group_join.heavy_keys(few, ["estab"])
+    assert hot == spark.range(1).select(F.xxhash64(F.lit("hot"))).first()[0]
+    assert group_join.heavy_keys(few.where("estab <> 'hot'"), ["estab"]) == []
+    assert group_join.heavy_keys(few.limit(0), ["estab"]) == []
+    assert len(group_join.heavy_keys(spark.range(1000).selectExpr("id % 7 AS k", "NULL AS n"), ["k", "n"])) == 7
+
+
+def test_one_school_with_a_third_of_the_scores_fills_no_task(spark):
+    scores = spark.range(90_000).selectExpr("IF(id % 3 = 0, 'hot', cast(id % 5000 AS string)) AS estab", "cast(id AS double) AS score").cache()
+    schools = scores.select("estab").distinct().selectExpr("estab", "hash(estab) % 2 AS county_id")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = group_join.join_group_table(scores, schools, ["estab"], ["score"])
+        sizes = sorted(r[1] for r in rows(joined.groupBy(F.spark_partition_id()).count()))
+        assert sum(sizes) == 90_000 and sizes[-1] <= 3 * sizes[len(sizes) // 2]
+        plain = sorted(r[1] for r in rows(scores.join(schools, "estab").groupBy(F.spark_partition_id()).count()))
+        assert plain[-1] > 5 * plain[len(plain) // 2]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        scores.unpersist()
+
+
 # ---- joins, sets ---------------------------------------------------------
 
 
