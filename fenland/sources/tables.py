@@ -2,43 +2,70 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fenland.functions import dates
+from fenland.operators import clustering
 from fenland.plans.tables import Warehouse
 from fenland.schemas import CLEAN, WAREHOUSE
 
-# Partition column of a table, and the columns its files are sorted by, so that
-# a filter on them skips row groups by their minimum and maximum.
+# Partition column of a table, and the columns its files are clustered by: one column sorts them, several
+# share a Z-order, so that a filter on any of them skips row groups by their minimum and maximum.
 PARTITIONS = {"fact_house_price": "year", "fact_crime": "year", "fact_education": "academic_year"}
-SORTED_BY = {
-    "fact_house_price": ["district_id", "postcode"],
-    "fact_crime": ["crime_type", "lsoa_code"],
+CLUSTERED_BY = {
+    "fact_house_price": ["district_id", "postcode", "price"],
+    "fact_crime": ["crime_type", "lsoa_code", "crime_date"],
     "fact_broadband": ["county_id", "postcode"],
     "fact_education": ["estab"],
     "fact_population": ["lsoa_code"],
     "dim_lsoa": ["county_id", "lsoa_code"],
     "dim_school": ["county_id", "estab"],
 }
+# Columns that are looked up by one value: row groups whose Bloom filter lacks it are skipped.
+LOOKED_UP = {
+    "fact_house_price": ["postcode"],
+    "fact_crime": ["lsoa_code"],
+    "fact_broadband": ["postcode"],
+    "fact_education": ["estab"],
+    "fact_population": ["lsoa_code"],
+    "dim_lsoa": ["lsoa_code"],
+    "dim_school": ["estab", "postcode"],
+}
 
 
-def write_table(df: DataFrame, path: str, partition: str | None = None, sort: list[str] | None = None) -> None:
+def write_table(
+    df: DataFrame,
+    path: str,
+    partition: str | None = None,
+    cluster: Sequence[str] = (),
+    looked_up: Sequence[str] = (),
+    *,
+    row_group_rows: int | None = None,
+) -> None:
     """Overwrite a Parquet table.
 
-    The rebalance hint gathers each partition value into well-sized files and
-    lets adaptive execution split a value that holds a large part of the rows.
+    Ranges of (partition value, cluster key) are the files, so a value that holds a large part of the
+    rows is written by many tasks and each file covers a small part of the key. Without a
+    cluster column the rebalance hint sizes the files alike.
     """
-    if partition:
+    first = [partition] if partition else []
+    if len(cluster) > 1:
+        columns = df.columns
+        keyed = df.withColumn("_z", clustering.z_key(df, cluster))
+        df = keyed.repartitionByRange(*first, "_z").sortWithinPartitions(*first, "_z", *cluster).select(*columns)
+    elif cluster:
+        df = df.repartitionByRange(*first, *cluster).sortWithinPartitions(*first, *cluster)
+    elif partition:
         df = df.hint("rebalance", partition)
-    elif sort:
-        df = df.hint("rebalance")
-    if sort:
-        df = df.sortWithinPartitions(*([partition] if partition else []), *sort)
     writer = df.write.mode("overwrite")
+    for column in looked_up:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    if row_group_rows:
+        writer = writer.option("parquet.block.row.count.limit", row_group_rows)
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
@@ -63,7 +90,7 @@ def write_warehouse(tables: Mapping[str, DataFrame], base: str, version: int) ->
     written one and a failed build leaves the old version in place.
     """
     for name in WAREHOUSE:
-        write_table(tables[name], f"{base}/data/{version}/{name}", PARTITIONS.get(name), SORTED_BY.get(name))
+        write_table(tables[name], f"{base}/data/{version}/{name}", PARTITIONS.get(name), CLUSTERED_BY.get(name, ()), LOOKED_UP.get(name, ()))
     spark = next(iter(tables.values())).sparkSession
     mark = spark.range(1).select(F.lit(version).cast("long").alias("version"))
     mark.coalesce(1).write.mode("append").parquet(f"{base}/published")

@@ -109,3 +109,54 @@ def test_files_with_different_columns_share_types(spark, tmp_path):
     got = csv_files.read_inferred(spark, csv_files.list_files(spark, str(tmp_path), "*.csv"))
     rows = {tuple(r) for r in got.select("id", "score", "when", "note").collect()}
     assert rows == {(1, 2.5, dt.date(2024, 1, 1), None), (2, None, dt.date(2024, 2, 2), "new")}
+
+
+def row_groups(path, column: str):
+    """(minimum, maximum) of every row group of a table."""
+    import pyarrow.parquet as pq
+
+    found = []
+    for file in sorted(path.rglob("*.parquet")):
+        meta = pq.ParquetFile(file).metadata
+        place = meta.schema.names.index(column)
+        found += [(s.min, s.max) for k in range(meta.num_row_groups) if (s := meta.row_group(k).column(place).statistics)]
+    return found
+
+
+def test_a_filter_on_any_clustered_column_skips_most_row_groups(spark, tmp_path):
+    rows = spark.range(120_000).selectExpr(
+        "element_at(array('Drugs', 'Robbery', 'Burglary', 'Theft', 'Arson', 'Fraud', 'Fire', 'Other'), cast(id * 7919 % 8 + 1 AS int)) AS crime_type",
+        "concat('E010', lpad(cast(id * 104729 % 5000 AS string), 5, '0')) AS lsoa_code",
+        "date_add(DATE '2020-01-01', cast(id * 15485863 % 1500 AS int)) AS crime_date",
+        "2020 AS year",
+    )
+    columns = {"crime_type": "Drugs", "lsoa_code": "E01001234", "crime_date": dt.date(2021, 6, 1)}
+    tables.write_table(rows, str(tmp_path / "t"), "year", list(columns), ["lsoa_code"], row_group_rows=1500)
+    assert spark.read.parquet(str(tmp_path / "t")).exceptAll(rows).count() == 0
+    for column, value in columns.items():
+        groups = row_groups(tmp_path / "t", column)
+        hit = [g for g in groups if g[0] <= value <= g[1]]
+        assert len(groups) > 60 and len(hit) < len(groups) / 2, (column, len(hit), len(groups))
+    # a plain sort serves its first column alone
+    rows.repartitionByRange(8, *columns).sortWithinPartitions(*columns).write.option("parquet.block.row.count.limit", 1500).parquet(str(tmp_path / "s"))
+    groups = row_groups(tmp_path / "s", "crime_date")
+    assert sum(g[0] <= columns["crime_date"] <= g[1] for g in groups) > len(groups) / 2
+
+
+def test_bloom_filters_of_looked_up_columns(spark, tmp_path):
+    import duckdb
+
+    rows = spark.range(20_000).selectExpr("concat('NR', id * 3) AS postcode", "id % 2 AS county_id")
+    tables.write_table(rows, str(tmp_path / "t"), None, ["county_id", "postcode"], ["postcode"])
+    with duckdb.connect() as con:
+        probe = lambda value: con.execute(f"SELECT bloom_filter_excludes FROM parquet_bloom_probe('{tmp_path}/t/*.parquet', 'postcode', '{value}')").fetchall()
+        absent, present = [r[0] for r in probe("NR100")], [r[0] for r in probe("NR300")]
+    assert absent and all(absent) and not all(present)
+
+
+def test_z_key_of_odd_columns(spark):
+    from fenland.operators import clustering
+
+    df = spark.createDataFrame([(None, None, None), (1.5, "a", dt.date(2024, 1, 1)), (float("nan"), "é-", None)], "n double, s string, d date")
+    assert df.select(clustering.z_key(df, ["n", "s", "d"]).alias("z")).where("z IS NULL").count() == 0
+    assert df.limit(0).select(clustering.z_key(df.limit(0), ["n", "s"]).alias("z")).count() == 0
