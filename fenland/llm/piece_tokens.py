@@ -3,12 +3,13 @@
 For every prefix of a word the table holds the one token the library's merges end it
 with. Going one character on, the tokens that end there come from an automaton over
 the vocabulary; the right one is the token that may stand behind the last token of
-the prefix before it (the library, given just those two, leaves them apart). The
+the prefix before it (the merges leave just those two apart, see `merge_tree`). The
 ids are read from the table backwards.
 
 A word is a stretch that no vocabulary entry crosses: the text is cut wherever two
 neighbouring characters stand side by side in no entry. Words repeat, so each task
-keeps a bounded table of the words it has met.
+keeps a table of the words it has met, bounded by their characters: ids, ids as
+text and decoded text of each, from which those of a document are joined.
 """
 
 from __future__ import annotations
@@ -16,18 +17,39 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from operator import itemgetter
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fenland.llm.merge_tree import SHIFT, MergeTree
+
 SPACE = "▁"  # fixed value: the library's mark for a space
-MOST_WORDS = 300_000  # words remembered in one task
+MOST_CHARS = 6_000_000  # characters of the words remembered in one task
 MOST_PAIRS = 500_000  # neighbours remembered in one task
 LONGEST_REMEMBERED = 64  # characters; longer words are encoded each time
 
 
+class Words(dict):
+    """word -> what `make(word)` gives, remembered up to a number of characters of all words."""
+
+    def __init__(self, make, most_chars: int = MOST_CHARS):
+        super().__init__()
+        self.make, self.most, self.chars = make, most_chars, 0
+
+    def __missing__(self, word: str):
+        found = self.make(word)
+        if len(word) <= LONGEST_REMEMBERED:
+            if self.chars >= self.most:
+                self.clear()
+                self.chars = 0
+            self[word] = found
+            self.chars += len(word) + 8
+        return found
+
+
 class PieceTable:
     """Encoder for one vocabulary: a list of (piece, score, kind) in id order.
 
@@ -40,16 +62,19 @@ class PieceTable:
         self.score = {p: s for p, s, kind in pieces if kind == "normal"}
         self.id_of = {p: i for i, (p, _, kind) in enumerate(pieces) if kind == "normal"}
         self.byte_id = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == "byte"}
+        self.tree = self._grown()
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.id_of.items():
-            if len(piece) == 1 or self.merged(piece) == [piece]:  # others are never a result
+            # others are never a result
+            if i in self.tree.rank if self.tree else len(piece) == 1 or self.merged(piece) == [piece]:
                 self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
         self.known = frozenset(p for p in self.id_of if len(p) == 1)
         joined = sorted({p[k : k + 2] for p in self.id_of for k in range(len(p) - 1)})
         self.cuts = self._cutter(joined)
         self.fits: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words = Words(self._encode_word)
+        self.round_trips = Words(self._round_trip)
 
     @staticmethod
     def load(model_path: str) -> PieceTable:
@@ -77,6 +102,28 @@ class PieceTable:
         some = "".join(map(re.escape, sorted(inner)))
         return re.compile(f"{SPACE}*[{some}]+|{SPACE}+|.", re.DOTALL)
 
+    def _grown(self) -> MergeTree | None:
+        """The entries in the order of their scores; none where an entry has a part of a later rank or scores are shared.
+
+        Only runs of marks may share a score, the last one: nothing but another mark asks which of them is first, and
+        neighbours that meet in marks are tried by merging them.
+        """
+        tree = MergeTree()
+        long = sorted((p for p in self.id_of if len(p) > 1), key=lambda p: (-self.score[p], len(p)))
+        alone = [p for p in long if p.strip(SPACE)]
+        marks = [p for p in long if not p.strip(SPACE)]
+        if len({self.score[p] for p in alone}) < len(alone) or (marks and alone and max(map(self.score.get, marks)) >= self.score[alone[-1]]):
+            return None
+        for p, i in self.id_of.items():
+            if len(p) == 1:
+                tree.symbol(i)
+        for rank, p in enumerate(long):
+            parts = ((self.id_of.get(p[:k]), self.id_of.get(p[k:])) for k in range(1, len(p)))
+            grown = any(a is not None and b is not None and tree.add(self.id_of[p], a, b, rank) for a, b in parts)
+            if (not grown or not p.strip(SPACE)) and grown != (self.merged(p) == [p]):
+                return None
+        return tree
+
     def merged(self, text: str) -> list[str]:
         """The merges as defined, for short strings: best score first, then leftmost."""
         parts = list(text)
@@ -91,10 +138,14 @@ class PieceTable:
         return parts
 
     def _compatible(self, left: int, right: int) -> bool:
-        a, b = self._text(left), self._text(right)
         if len(self.fits) > MOST_PAIRS:
             self.fits.clear()
-        known = self.fits[left << 21 | right] = self.merged(a + b) == [a, b]
+        a, b = self._text(left), self._text(right)
+        if self.tree is None or (a[-1] == b[0] == SPACE):
+            known = self.merged(a + b) == [a, b]
+        else:
+            known = self.tree.apart(left, right)
+        self.fits[left << SHIFT | right] = known
         return known
 
     def _text(self, token: int) -> str:
@@ -111,7 +162,7 @@ class PieceTable:
                 continue
             start = end - long
             if start:
-                fit = fits.get(token[start] << 21 | new)
+                fit = fits.get(token[start] << SHIFT | new)
                 if fit is None:
                     fit = self._compatible(token[start], new)
                 if not fit:
@@ -143,22 +194,36 @@ class PieceTable:
         """Ids as the library gives them, without begin and end ids; an empty text has none."""
         if not text:
             return []
-        known, words = self.words, self.cuts.findall(SPACE + text.replace(" ", SPACE))
         out: list[int] = []
-        for word in words:
-            ids = known.get(word)
-            if ids is None:
-                ids = self._encode_word(word)
-                if len(word) <= LONGEST_REMEMBERED:
-                    if len(known) >= MOST_WORDS:
-                        known.clear()
-                    known[word] = ids
+        for ids in map(self.words.__getitem__, self._cut(text)):
             out += ids
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        """The library's text of the ids: bytes joined, marks turned to spaces, a space before the first piece dropped."""
-        parts, raw, first = [], bytearray(), True
+    def _cut(self, text: str) -> list[str]:
+        return self.cuts.findall(SPACE + text.replace(" ", SPACE))
+
+    def _round_trip(self, word: str) -> tuple[int, str, str]:
+        """Number of ids, the ids as text, and what they decode to inside a text."""
+        ids = self._encode_word(word)
+        # an encoded character's bytes stand together, so words decode one by one; only the text's first mark is dropped
+        return len(ids), " ".join(map(str, ids)), self.decode(ids, inside=True)
+
+    def round_trip(self, text: str) -> tuple[int, str, str]:
+        """Number of ids with the end id, the ids joined by one space, and their decoded text."""
+        if not text:
+            return 1, str(self.end), self.decode([self.end])
+        parts = list(map(self.round_trips.__getitem__, self._cut(text)))
+        decoded = "".join(map(itemgetter(2), parts))
+        joined = " ".join(map(itemgetter(1), parts))
+        # the text's first piece begins with a mark, except where the vocabulary lacks the mark
+        return sum(map(itemgetter(0), parts)) + 1, f"{joined} {self.end}", decoded[1:] if decoded[:1] == " " else decoded
+
+    def decode(self, ids: list[int] | tuple[int, ...], inside: bool = False) -> str:
+        """The library's text of the ids: bytes joined, marks turned to spaces, a space before the first piece dropped.
+
+        `inside`: other ids stand before them, so no space is dropped.
+        """
+        parts, raw, first = [], bytearray(), not inside
         for i in ids:
             piece, _, kind = self.pieces[i]
             if kind == "byte":
@@ -224,13 +289,11 @@ def digest_documents(docs: DataFrame, model_path: str, text_column: str = "text"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = table_of(model_path)
-        names: dict[int, str] = {i: str(i) for i in range(len(table.pieces))}
         for pdf in batches:
             rows = []
             for t in pdf["text"]:
-                ids = [*table.encode(t or ""), table.end]
-                joined = " ".join(map(names.__getitem__, ids))
-                rows.append((len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(table.decode(ids).encode()).hexdigest()))
+                n, joined, decoded = table.round_trip(t or "")
+                rows.append((n, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", pdf["doc_id"].astype("Int64"))
             yield out

@@ -59,6 +59,53 @@ def test_counts_at_every_prefix_equal_the_library(counts):
             assert own.fitting(text, limit) == max(k for k, n in enumerate(want) if n <= limit), (text, limit)
 
 
+def test_the_short_word_pattern_equals_the_long_one(counts):
+    from fenland.llm import token_counts
+
+    every = [chr(c) for c in range(0x250)]
+    rng = random.Random(6)
+    for text in [*("a" + c + "1" + c + c + " " + c for c in every), *("".join(rng.choice(every + [" ", "'", "s", "1"] * 40) for _ in range(60)) for _ in range(3000))]:
+        assert token_counts._FAR.search(text) is None
+        assert token_counts._NEAR.findall(text) == counts[0].pattern.findall(text), text
+
+
+def test_neighbours_told_by_the_tree_equal_merging(pieces, counts):
+    own, byte_table = pieces[0], counts[0]
+    rng = random.Random(8)
+    assert own.tree is not None and byte_table.tree is not None
+    for _ in range(20_000):
+        a, b = rng.choice(list_of(own)), rng.choice(list_of(own))
+        left, right = own._text(a), own._text(b)
+        assert own._compatible(a, b) == (own.merged(left + right) == [left, right])
+        a, b = rng.choice(list_of(byte_table)), rng.choice(list_of(byte_table))
+        left, right = byte_table.tokens[a], byte_table.tokens[b]
+        assert byte_table._compatible(a, b) == (byte_table.merged(left + right) == [left, right])
+
+
+def list_of(table, cache={}):  # noqa: B006
+    return cache.setdefault(id(table), list(table.tree.rank))
+
+
+def test_a_vocabulary_that_cuts_otherwise_is_refused(tmp_path):
+    import json
+
+    file = json.loads(open(BYTES, encoding="utf-8").read())
+    for path, value in ((("pre_tokenizer", "add_prefix_space"), True), (("model", "ignore_merges"), True), (("model", "type"), "Unigram")):
+        other = json.loads(json.dumps(file))
+        other[path[0]][path[1]] = value
+        (tmp_path / "v.json").write_text(json.dumps(other))
+        with pytest.raises(ValueError, match="byte-level"):
+            PrefixCounts.load(str(tmp_path / "v.json"))
+
+
+def test_words_are_forgotten_beyond_the_bound():
+    from fenland.llm.piece_tokens import Words
+
+    words = Words(len, most_chars=100)
+    assert [words[str(k) * 5] for k in range(2000)] == [len(str(k) * 5) for k in range(2000)] and sum(map(len, words)) <= 200
+    assert words["x" * 1000] == 1000 and "x" * 1000 not in words
+
+
 def test_documents_with_odd_rows(spark, odd_docs, odd_rows, pieces, counts):
     want = sorted(
         (
