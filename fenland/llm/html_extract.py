@@ -28,24 +28,72 @@ from pyspark.sql import functions as F
 
 SAMPLE_PAGES = 200  # pages of the table that the model is fitted to
 LAID_OUT_PAGES = 400  # pages laid out from their paragraphs
+LONGEST_SAMPLED = 200_000  # characters; longer pages are left out of the fit, never of the extraction
 WEIGHTS = 8192  # hashed features
 
 # fixed values: tags of the markup language by how they bear on blocks
-HIDDEN = frozenset("script style noscript template svg math iframe object head title select option textarea canvas audio video".split())
-RAW = "script|style|noscript|template|svg|iframe|textarea|title"
+HIDDEN = frozenset("script style noscript template svg iframe head title select option textarea".split())
+RAW = frozenset("script style noscript template svg iframe textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+# a formula, and what a player or drawing shows in its place, belong to the sentence around them
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym audio b bdi bdo big br canvas cite code data del dfn em font i img input ins kbd label mark math object q rp rt ruby s samp small "
+    "span strike strong sub sup time tt u var video wbr "
+    "annotation menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable "
+    "mtd mtext mtr munder munderover semantics".split()
 )
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
+_NAME = re.compile(r"(/?)([a-zA-Z][\w:-]*)(?=[\s/>])")
+# what follows a tag's name: a value is quoted from `=` to the same quote, or runs to the next blank; any other quote is data
+_REST_OF_TAG = re.compile(r"""((?:=\s*+(?:"[^"]*"|'[^']*'|[^\s>]*+)|[^>=]++)*+)>""")
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in RAW}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 _WORD = re.compile("[a-z]+")
 
 
+def markup(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(start, end, tag or none, closing, attributes) of every piece that is not text, in one forward pass.
+
+    Comments, declarations and raw elements with their content have no tag. Where the quotes of a tag leave it
+    without an end, it and all later tags end at the next `>`; a `<` that begins no tag is text.
+    """
+    at, last, quoted = 0, page.rfind(">"), True
+    while True:
+        start = page.find("<", at)
+        if start < 0:
+            return
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = len(page) if end < 0 else end + 3
+            yield start, at, None, False, ""
+            continue
+        if start > last:  # nothing ends a tag any more
+            at = start + 1
+            continue
+        name = _NAME.match(page, start + 1)
+        if name is None:
+            at = start + 1
+            if page[at : at + 1] in ("!", "?", "/"):
+                at = page.find(">", at) + 1
+                yield start, at, None, False, ""
+            continue
+        rest = _REST_OF_TAG.match(page, name.end()) if quoted else None
+        if rest is None:
+            quoted = False
+            at = page.find(">", name.end()) + 1
+            attributes = page[name.end() : at - 1]
+        else:
+            at, attributes = rest.end(), rest[1]
+        tag = name[2].lower()
+        if tag in RAW and not name[1] and not (tag == "svg" and attributes.endswith("/")):
+            end = _ENDS[tag].search(page, at)
+            at = end.end() if end else len(page)
+            yield start, at, None, False, ""
+        else:
+            empty = tag == "svg" and attributes.endswith("/")
+            yield start, at, None if empty else tag, bool(name[1]), attributes
+
+
 @dataclass
 class Block:
     text: str
@@ -84,21 +132,19 @@ def leaf_blocks(page: str) -> list[Block]:
             if top == tag:
                 return
 
-    for m in _TOKEN.finditer(page):
-        take(page[at : m.start()])
-        at = m.end()
-        tag = m[3]
+    for start, end, tag, closing, attributes in markup(page):
+        take(page[at:start])
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
         if tag in INLINE:
             if tag == "a":
-                links = 0 if m[2] else 1
+                links = 0 if closing else 1
             elif tag in ("br", "img", "input") and parts:
                 parts.append(" ")
             continue
         close()
-        if m[2]:
+        if closing:
             if any(t == tag for t, _ in stack):
                 leave(tag)
         elif tag not in VOID:
@@ -106,7 +152,7 @@ def leaf_blocks(page: str) -> list[Block]:
                 stack.pop()
             elif tag == "li" and any(t == "li" for t, _ in stack[-1:]):
                 stack.pop()
-            names = " ".join(_WORD.findall(" ".join(_NAMES.findall(m[4])).lower())) if m[4] and "=" in m[4] else ""
+            names = " ".join(_WORD.findall(" ".join(_NAMES.findall(attributes)).lower())) if "=" in attributes else ""
             stack.append((tag, names))
             hidden += tag in HIDDEN
         links = 0
@@ -332,13 +378,13 @@ def labelled_pages(sample: list[str], laid_out: int = LAID_OUT_PAGES, seed: int
     return out
 
 
-def fit(pages: DataFrame, html_column: str = "html", sample: int = SAMPLE_PAGES) -> Model:
-    """Model from at most `sample` different pages, those with the smallest hashes of their html.
+def fit(pages: DataFrame, html_column: str = "html", sample: int = SAMPLE_PAGES, longest: int = LONGEST_SAMPLED) -> Model:
+    """Model from at most `sample` different pages of fewer than `longest` characters, those with the smallest hashes of their html.
 
     The hashes are chosen first and equal pages combine before the shuffle, so neither the
     number of tasks nor a page that is repeated for a third of the table brings more rows to the driver.
     """
-    rows = pages.select(F.col(html_column).cast("string").alias("html")).where("html IS NOT NULL AND length(html) < 200000")
+    rows = pages.select(F.col(html_column).cast("string").alias("html")).where(F.col("html").isNotNull() & (F.length("html") < longest))
     rows = rows.withColumn("hash", F.xxhash64("html"))
     hashes = [r.hash for r in rows.select("hash").distinct().orderBy("hash").limit(sample).collect()]
     if not hashes:

@@ -107,6 +107,32 @@ def test_raw_tags_end_where_they_end():
     assert read('<p>one <svg aria-label="x/>y"><text>no</text></svg>two<script>no</script></p><title>no</title>') == ["one two"]
 
 
+def test_attribute_values_follow_the_markup_rules():
+    read = lambda page: [b.text for b in html_extract.leaf_blocks(page)]
+    assert read("<p title=it's>one</p><p>two</p><p>don't</p><p>three</p>") == ["one", "two", "don't", "three"]
+    assert read("""<p title="a > b" alt='c > "d'>one</p><p a='x"y' b = "q>r" c=d>two</p>""") == ["one", "two"]
+    assert read("<p title='open>one</p><p>two</p>") == ["one", "two"]  # a quote that nothing closes ends with its tag
+    assert read("a < b <p>1<2</p> <3 & x< y <b>c</b>") == ["a < b", "1<2", "<3 & x< y c"]
+    names = [b.path for b in html_extract.leaf_blocks("<div class=big-menu id='x y' role=\"z\">t</div>")]
+    assert names == [(("div", "big menu x y z"),)]
+
+
+def test_formulas_and_fallback_text_stay_in_their_sentence():
+    read = lambda page: [b.text for b in html_extract.leaf_blocks(page)]
+    page = "<article><p>see <math><mi>x</mi><mo>=</mo><mn>1</mn></math> here</p><object>fallback text</object><p>play <audio>it <a>there</a></audio><video></video></p></article>"
+    assert read(page) == ["see x=1 here", "fallback text", "play it there"]
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    for piece in ("<a ", "<a '", '<a x="', "<", "<!", "</", "<p x='>", '<p "\'>', "<p a=b=", "<svg ", "<!--", "<script>", "<a x='\">"):
+        html_extract.leaf_blocks(piece * (1_000_000 // len(piece)))
+        html_extract.leaf_blocks(piece * (1_000_000 // len(piece)) + ">")
+    assert time.perf_counter() - start < 40
+
+
 def test_main_text_of_unseen_pages(extractor):
     import re
 
