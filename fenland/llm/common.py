@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fenland.sources.scratch import shared_folder
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and read them from there.
 
-    The folder is `spark.checkpoint.dir`. Only where the session has none (tests on
-    one machine) a temporary one is set.
+    The folder is `spark.checkpoint.dir`. Only where a session on one machine has none
+    a temporary one is set; on a cluster that is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 

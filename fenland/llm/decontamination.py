@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fenland.llm.common import fresh
+
 CHARS_PER_EDIT = 25  # the budget: one edit for so many characters of an item
 BLOCK_CHARS = 8_000_000  # items are matched in blocks of about so many characters
 
@@ -167,5 +169,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = C
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
-    """The rows of `docs` that hold no item."""
-    return match_items(docs, benchmark, chars_per_edit).where(F.size("hits") == 0).select(*docs.columns)
+    """The rows of `docs` that hold no item; all columns, whatever their names, stay as they are."""
+    hits = fresh("hits", docs)
+    return match_items(docs, benchmark, chars_per_edit, name=hits).where(F.size(hits) == 0).select(*[f"`{c}`" for c in docs.columns])

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fenland.llm.common import components, cut, roots_of, spanning_links
+from fenland.llm.common import components, cut, fresh, roots_of, spanning_links
 
 WORDS = 5
 TREES = 24
@@ -257,10 +257,11 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Rows without words or without id stay. Of repeated rows (same id and text) one stays.
     """
     marked = cut(near_copies(docs, **options).where("n_links > 0").groupBy("doc_id", "text_key", "kept").count())
-    names = marked.withColumnsRenamed({"doc_id": "_kept_id", "text_key": "_kept_key"})
+    kept_id, kept_key = fresh("kept_id", docs), fresh("kept_key", docs)
+    names = marked.withColumnsRenamed({"doc_id": kept_id, "text_key": kept_key})
     # no key is null, so both joins read the documents through one and the same exchange
     own_id, own_key = F.coalesce("doc_id", F.lit(-(2**63))), F.coalesce(F.unhex(F.md5("text")), F.lit(b""))
-    same = (own_id == F.col("_kept_id")) & (own_key == F.col("_kept_key"))
+    same = (own_id == F.col(kept_id)) & (own_key == F.col(kept_key))
     apart = docs.join(names.where("NOT kept OR count > 1"), same, "left_anti")
     once = docs.join(names.where("kept AND count > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"])
     return apart.unionByName(once)

@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fenland.llm.common import fresh
+
 # fixed values: the patterns, the group whose length counts, the least length
 KINDS = {
     "assign": (r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -180,16 +182,16 @@ def _joined(spans: Column) -> Column:
     )
 
 
-def find_secrets(docs: DataFrame, text_column: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, text_column: str = "text", base_name: str = "base_spans", all_name: str = "all_spans") -> DataFrame:
     """The rows with `base_spans` and `all_spans`: array<struct<start, rank, end>> by start, then rank.
 
     rank is the place of the kind among assign, access, hex, entropy. Null and empty
-    texts have empty arrays. Columns of the input with these two names are replaced.
+    texts have empty arrays. Columns of the input with the two names are replaced, so `fresh` ones keep them.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
     ordered = lambda spans: F.array_sort(spans)  # noqa: E731  structs compare by start, then rank
-    found = docs.withColumn("base_spans", ordered(F.concat(*[_base(text, kind) for kind in KINDS])))
-    return found.withColumn("all_spans", ordered(F.concat("base_spans", _scanned(text, F.col("base_spans")))))
+    found = docs.withColumn(base_name, ordered(F.concat(*[_base(text, kind) for kind in KINDS])))
+    return found.withColumn(all_name, ordered(F.concat(base_name, _scanned(text, F.col(base_name)))))
 
 
 def secret_digests(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
@@ -207,10 +209,16 @@ def secret_digests(docs: DataFrame, text_column: str = "text", id_column: str =
 
 
 def redact(docs: DataFrame, text_column: str = "text", mark: str = "[secret]") -> DataFrame:
-    """The rows with every span of the text, merged where spans overlap, replaced by a mark."""
+    """The rows with every span of the text, merged where spans overlap, replaced by a mark.
+
+    Null texts stay null; all other columns, whatever their names, stay as they are.
+    """
     text = F.col(text_column)
-    covered = F.aggregate(
-        F.col("all_spans"),
+    # names that no column of the rows has
+    base, spans = fresh("base", docs), fresh("spans", docs)
+    covered = fresh("covered", docs)
+    walked = F.aggregate(
+        F.col(spans),
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
         lambda s, m: F.struct(
             F.greatest(s["at"], m["end"]).alias("at"),
@@ -222,7 +230,7 @@ def redact(docs: DataFrame, text_column: str = "text", mark: str = "[secret]") -
             .alias("out"),
         ),
     )
-    left = F.concat(F.col("_covered.out"), F.substring(text, F.col("_covered.at").cast("int") + 1, F.length(text)))
-    found = find_secrets(docs, text_column)
-    cleaned = found.withColumn("_covered", F.when(F.size("all_spans") > 0, covered))
-    return cleaned.withColumn(text_column, F.when(F.size("all_spans") > 0, left).otherwise(text)).select(*docs.columns)
+    left = F.concat(F.col(covered)["out"], F.substring(text, F.col(covered)["at"].cast("int") + 1, F.length(text)))
+    found = find_secrets(docs, text_column, base, spans)
+    cleaned = found.withColumn(covered, F.when(F.size(spans) > 0, walked))
+    return cleaned.withColumn(text_column, F.when(F.size(spans) > 0, left).otherwise(text)).select(*[f"`{c}`" for c in docs.columns])

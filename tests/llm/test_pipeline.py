@@ -5,6 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fenland.llm import decontamination, queries
@@ -78,6 +79,20 @@ def test_pipeline_stages(spark, tmp_path):
         assert list(r.ids) == [*library.encode(texts[r.doc_id]), 2] and r.decoded == library.decode(list(r.ids))
 
 
+def test_stages_keep_the_values_of_clashing_columns(spark, odd_docs, odd_folder):
+    """Columns named like the operators' own keep type and value; the text alone may change, and n_chars with it."""
+    own = ["hits", "base_spans", "all_spans", "_hits", "_base", "_spans", "_covered", "_kept_id", "_kept_key", "kept", "count", "score"]
+    clash = odd_docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(f"{c} of "), F.coalesce(F.md5("text"), F.lit("none"))).alias(c) for c in own])
+    before = sorted(repr(tuple(r)) for r in clash.select("doc_id", "lang", "source", *own).collect())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clash, odd_folder)
+        assert out.schema.simpleString() == clash.schema.simpleString(), name
+        after = [repr(tuple(r)) for r in out.select("doc_id", "lang", "source", *own).collect()]
+        assert set(after) <= set(before) and all(after.count(r) <= before.count(r) for r in after), name
+        if name == "secret scans":
+            assert sorted(after) == before
+
+
 def test_stages_with_odd_rows(spark, odd_docs, odd_folder):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, odd_docs, odd_folder)
