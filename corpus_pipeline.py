@@ -6,7 +6,6 @@ Parquet and read again as the next one's docs. All but the last keep the columns
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fenland.llm import decontamination, jaccard_join, piece_tokens, quality, secrets
 from fenland.llm.common import read
+from fenland.sources.scratch import shared_folder
 
 TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -59,8 +59,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the last stage over `documents`; the stages' tables lie under the shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
