@@ -79,31 +79,44 @@ def _located(kind: str, pattern: str, group: int, least: int) -> str:
       WHERE length(value) >= {least}"""
 
 
-_HEX = "regexp_full_match(value, '[0-9a-f]+|[0-9A-F]+')"
-
-# the windows of a candidate are measured one by one here, without running counts
+# the limit of a stretch's class, null without letters
+_LIMIT = f"""CASE
+    WHEN regexp_matches(value, '[0-9]') AND regexp_full_match(value, '[0-9a-f]+|[0-9A-F]+') AND regexp_matches(value, '[A-Za-z]') THEN {secrets.LIMITS["hex"]}
+    WHEN regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') THEN {secrets.LIMITS["mixed"]}
+    WHEN regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') THEN {secrets.LIMITS["lower"]}
+    WHEN regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') THEN {secrets.LIMITS["upper"]}
+    WHEN regexp_matches(value, '[A-Za-z]') THEN {secrets.LIMITS["letters"]} END"""
+
+# what the base spans leave of a run is cut into pieces; a piece's windows are measured one by one here, without running counts
 OP3_SQL = f"""
 WITH texts AS MATERIALIZED (SELECT row_number() OVER () AS key, doc_id, coalesce(text, '') AS t FROM documents),
 base AS MATERIALIZED (
   SELECT key, rank, kind, s, s + long AS e FROM (
     {" UNION ALL ".join(_located(kind, *rule) for kind, rule in secrets.KINDS.items())})),
-candidates AS (
-  SELECT key, s, value, long FROM ({_located("entropy", secrets.CANDIDATE, 0, 0)}) c
-  WHERE regexp_matches(value, '[0-9]')
-    AND ((({_HEX}) AND regexp_matches(value, '[A-Fa-f]')) OR (regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')))
-    AND NOT regexp_matches(value, {_quoted(secrets.ALLOWED)})
-    AND NOT EXISTS (SELECT 1 FROM base WHERE base.key = c.key AND base.s < c.s + c.long AND c.s < base.e)),
+runs AS MATERIALIZED (
+  SELECT key, s AS run, s + long AS stop, value AS whole FROM ({_located("entropy", secrets.CANDIDATE, 0, 0)}) c
+  WHERE NOT regexp_matches(value, {_quoted("(?i)" + secrets.IDENTIFIER)})),
+cuts AS (
+  SELECT runs.*, base.s AS until, base.e AS next, base.rank AS rank FROM runs JOIN base ON base.key = runs.key AND base.s < stop AND run < base.e
+  UNION ALL
+  SELECT runs.*, stop, stop, 99 FROM runs),
+pieces AS (
+  SELECT key, run, s, substr(whole, s - run + 1, until - s) AS value
+  FROM (SELECT *, greatest(run, coalesce(max(next) OVER (PARTITION BY key, run ORDER BY until, rank, next ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), run)) AS s FROM cuts)
+  WHERE until - s >= {secrets.WINDOW}),
 windows AS (
   SELECT key, s, value, w, substr(value, w + 1, {secrets.WINDOW}) AS part
-  FROM (SELECT *, unnest(range(0, long - {secrets.WINDOW} + 1)) AS w FROM candidates)),
+  FROM (SELECT *, unnest(range(0, length(value) - {secrets.WINDOW} + 1)) AS w FROM pieces)),
 measured AS (
   SELECT key, s, w, any_value(value) AS value, -sum(n / {secrets.WINDOW}.0 * log2(n / {secrets.WINDOW}.0)) AS bits
   FROM (SELECT key, s, w, value, c, count(*) AS n FROM (SELECT *, unnest(string_split(part, '')) AS c FROM windows) GROUP BY ALL)
   GROUP BY key, s, w),
+hot AS (
+  SELECT key, s, any_value(value) AS value, min(w) AS first, max(w) AS last
+  FROM measured WHERE bits >= ({_LIMIT}) - 1e-9 / {secrets.WINDOW} GROUP BY key, s),
 scanned AS (
-  SELECT key, {secrets.ORDER["entropy"]} AS rank, 'entropy' AS kind, s + min(w) AS s, s + max(w) + {secrets.WINDOW} AS e
-  FROM measured WHERE bits >= (CASE WHEN {_HEX} THEN {secrets.LIMITS["hex"]} ELSE {secrets.LIMITS["mixed"]} END) - 1e-9 / {secrets.WINDOW}
-  GROUP BY key, measured.s),
+  SELECT key, {secrets.ORDER["entropy"]} AS rank, 'entropy' AS kind, s + first AS s, s + last + {secrets.WINDOW} AS e
+  FROM hot WHERE NOT regexp_matches(substr(value, first + 1, last + {secrets.WINDOW} - first), {_quoted(secrets.ALLOWED)})),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM scanned),
 per_text AS (
   SELECT key, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,

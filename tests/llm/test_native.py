@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
 import zlib
 
+import duckdb
 from pyspark.sql import functions as F
 
 from fenland.llm import secrets, sharding
+from fenland.llm.sql_twins import OP3_SQL
 
 BASE = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII), 2, 6),
@@ -111,6 +115,62 @@ def test_entropy_scan_reads_every_class_and_piece(spark):
     assert {r.doc_id: r.spans for r in got} == {r[0]: r[2] for r in rows}
 
 
+LETTERS = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "lower": "abcdefghijklmnopqrstuvwxyz0123456789", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "mixed": secrets.ALPHABET, "letters": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "few": "ab1"}
+
+
+def random_token_texts(n: int) -> list[str]:
+    rng = random.Random(12)
+    fixed = ["token = ", "AKIA", "example", "xxxx", " ", "550e8400-e29b-41d4-a716-446655440000", "password=", "secret: ", "=", "sample-", "0123456789", "é"]
+    texts = []
+    for _ in range(n):
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            alphabet = LETTERS[rng.choice(list(LETTERS))]
+            parts += [rng.choice([*fixed, "", "", " "]), "".join(rng.choice(alphabet) for _ in range(rng.choice([3, 19, 20, 24, 33, 60])))]
+        texts.append("".join(parts))
+    return texts
+
+
+def plain_scan(text: str) -> list[tuple[int, int]]:
+    """Every window of every piece measured on its own, by the rules in the head of the module."""
+    base = sorted((m.start(), k, m.end()) for k, (_, pattern, group, least) in enumerate(BASE) for m in pattern.finditer(text) if len(m[group]) >= least)
+    out = []
+    for run in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        if re.search("(?i)" + secrets.IDENTIFIER, run[0]):
+            continue
+        at, pieces = run.start(), []
+        for s, _, e in base:
+            if s < run.end() and run.start() < e:
+                pieces.append((at, s))
+                at = max(at, e)
+        for s, e in [*pieces, (at, run.end())]:
+            value = text[s:e] if e - s >= 20 else ""
+            digit, lower, upper = (re.search(p, value) for p in ("[0-9]", "[a-z]", "[A-Z]"))
+            one_case = re.fullmatch("[0-9a-f]+|[0-9A-F]+", value)
+            kind = "hex" if digit and one_case and (lower or upper) else "mixed" if digit and lower and upper else "lower" if digit and lower else "upper" if digit and upper else "letters" if lower or upper else None
+            if kind is None:
+                continue
+            bits = lambda part: -sum(part.count(c) / 20 * math.log2(part.count(c) / 20) for c in set(part))
+            hot = [w for w in range(len(value) - 19) if bits(value[w : w + 20]) >= secrets.LIMITS[kind] - 1e-9]
+            if hot and not re.search(secrets.ALLOWED, value[hot[0] : hot[-1] + 20]):
+                out.append((s + hot[0], s + hot[-1] + 20))
+    return out
+
+
+def test_entropy_spans_equal_a_plain_scan_and_the_sql(spark):
+    texts = random_token_texts(400)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = secrets.secret_digests(rows)
+    found = {r.doc_id: [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("entropy")] for r in got.collect()}
+    want = {k: plain_scan(t) for k, t in enumerate(texts)}
+    assert found == want and sum(map(len, want.values())) > 150
+    with duckdb.connect() as con:
+        documents = rows.toPandas()  # noqa: F841  read by the SQL
+        cursor = con.execute(OP3_SQL)
+        names = [d[0] for d in cursor.description]
+        assert sorted(map(repr, cursor.fetchall())) == sorted(repr(tuple(r)) for r in got.select(*names).collect())
+
+
 def test_redaction(spark, odd_docs):
     rows = spark.createDataFrame([(1, TEXTS[0], "k"), (2, "clean", "k"), (3, None, "k")], "doc_id long, text string, all_spans_ string")
     assert {r.doc_id: r.text for r in secrets.redact(rows).collect()} == {1: 'x [secret]" y', 2: "clean", 3: None}
