@@ -16,38 +16,71 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from operator import itemgetter
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fenland.llm.merge_tree import SHIFT, MergeTree
+from fenland.llm.prefix_batch import PrefixBatch, backwards, padded
 
 SPACE = "▁"  # fixed value: the library's mark for a space
 MOST_CHARS = 6_000_000  # characters of the words remembered in one task
 MOST_PAIRS = 500_000  # neighbours remembered in one task
 LONGEST_REMEMBERED = 64  # characters; longer words are encoded each time
+BATCH_WORDS = 4096  # words in one table
+FAR = "\u0250"  # letters from here on are rare
 
 
 class Words(dict):
-    """word -> what `make(word)` gives, remembered up to a number of characters of all words."""
+    """word -> what `make(words)` gives for it, remembered up to a number of characters of all words.
 
-    def __init__(self, make, most_chars: int = MOST_CHARS):
+    Two generations: when the young one is full it becomes the old one, and words met again move back, so
+    frequent words stay and rare ones go.
+    """
+
+    def __init__(self, make: Callable[[list[str]], list], most_chars: int = MOST_CHARS):
         super().__init__()
-        self.make, self.most, self.chars = make, most_chars, 0
+        self.make, self.most, self.chars, self.old = make, most_chars, 0, {}
 
     def __missing__(self, word: str):
-        found = self.make(word)
+        found = self.old.get(word)
+        if found is None:
+            (found,) = self.make([word])
+        self._keep(word, found)
+        return found
+
+    def _keep(self, word: str, found) -> None:
         if len(word) <= LONGEST_REMEMBERED:
-            if self.chars >= self.most:
-                self.clear()
-                self.chars = 0
             self[word] = found
             self.chars += len(word) + 8
-        return found
+
+    def meet(self, texts: list[list[str]]) -> None:
+        """Take in the words of several texts at once; room is made before, never while they are looked up."""
+        if self.chars >= self.most:
+            self.old, self.chars = dict(self), 0
+            self.clear()
+        new = set().union(*texts).difference(self)
+        fresh = [w for w in new if len(w) <= LONGEST_REMEMBERED and w not in self.old]
+        for word, found in zip(fresh, self.make(fresh) if fresh else [], strict=True):
+            self._keep(word, found)
+
+
+def in_groups(texts: Iterable[str], chars: int = 500_000) -> Iterator[list[str]]:
+    """The texts in groups of about so many characters."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 class PieceTable:
@@ -70,11 +103,20 @@ class PieceTable:
                 self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
         self.known = frozenset(p for p in self.id_of if len(p) == 1)
+        self.names = [str(i) for i in range(len(pieces))]
         joined = sorted({p[k : k + 2] for p in self.id_of for k in range(len(p) - 1)})
         self.cuts = self._cutter(joined)
         self.fits: dict[int, bool] = {}
-        self.words = Words(self._encode_word)
-        self.round_trips = Words(self._round_trip)
+        self.words = Words(self._encode_words)
+        self.round_trips = Words(self._round_trips)
+        # words of common letters are encoded together; others, and long ones, one by one
+        self.symbol = {c: k for k, c in enumerate(sorted(c for c in self.known if c < FAR or c == SPACE))}
+        common = [(list(map(self.symbol.get, p)), i) for p, i in self.id_of.items() if self.symbol.keys() >= set(p) and self.automaton.exists(p)]
+        self.batch = PrefixBatch(common, len(self.symbol), self._compatible)
+        self.letters = frozenset(self.symbol)
+        self.code_symbols = np.zeros(max(map(ord, self.symbol), default=0) + 1, np.int32)
+        for c, k in self.symbol.items():
+            self.code_symbols[ord(c)] = k
 
     @staticmethod
     def load(model_path: str) -> PieceTable:
@@ -179,6 +221,20 @@ class PieceTable:
         out.reverse()
         return tuple(out)
 
+    def _encode_words(self, words: list[str]) -> list[tuple[int, ...] | list[int]]:
+        out: list = [None] * len(words)
+        together = [k for k, w in enumerate(words) if len(w) <= LONGEST_REMEMBERED and self.letters.issuperset(w)] if len(words) > 16 else []
+        together.sort(key=lambda k: len(words[k]))  # words of like sizes share a table
+        for a in range(0, len(together), BATCH_WORDS):
+            part = together[a : a + BATCH_WORDS]
+            own = [words[k] for k in part]
+            sizes = np.fromiter(map(len, own), np.int64, len(own))
+            flat = self.code_symbols[np.frombuffer("".join(own).encode("utf-32-le"), np.uint32)]
+            codes = padded(flat, sizes, len(self.symbol))
+            for k, ids in zip(part, backwards(*self.batch.fill(codes, sizes), sizes), strict=True):
+                out[k] = ids
+        return [self._encode_word(w) if ids is None else ids for w, ids in zip(words, out, strict=True)]
+
     def _endings(self, word: str):
         """As the automaton gives them, and characters without entry as ids beyond the vocabulary."""
         at, entries = 0, len(self.pieces)
@@ -194,25 +250,36 @@ class PieceTable:
         """Ids as the library gives them, without begin and end ids; an empty text has none."""
         if not text:
             return []
-        out: list[int] = []
-        for ids in map(self.words.__getitem__, self._cut(text)):
+        words, out = self._cut(text), []
+        self.words.meet([words])
+        for ids in map(self.words.__getitem__, words):
             out += ids
         return out
 
     def _cut(self, text: str) -> list[str]:
         return self.cuts.findall(SPACE + text.replace(" ", SPACE))
 
-    def _round_trip(self, word: str) -> tuple[int, str, str]:
+    def _round_trips(self, words: list[str]) -> list[tuple[int, str, str]]:
         """Number of ids, the ids as text, and what they decode to inside a text."""
-        ids = self._encode_word(word)
-        # an encoded character's bytes stand together, so words decode one by one; only the text's first mark is dropped
-        return len(ids), " ".join(map(str, ids)), self.decode(ids, inside=True)
-
-    def round_trip(self, text: str) -> tuple[int, str, str]:
-        """Number of ids with the end id, the ids joined by one space, and their decoded text."""
-        if not text:
+        # an encoded character's bytes stand together, so words decode one by one, those of known characters to themselves;
+        # only the text's first mark is dropped
+        names, known = self.names, self.known
+        return [
+            (len(ids), " ".join([names[i] for i in ids]), w.replace(SPACE, " ") if known.issuperset(w) else self.decode(ids, inside=True))
+            for w, ids in zip(words, self._encode_words(words), strict=True)
+        ]
+
+    def round_trip(self, texts: Iterable[str]) -> Iterator[tuple[int, str, str]]:
+        """Of each text the number of ids with the end id, the ids joined by one space, and their decoded text."""
+        for group in in_groups(texts):
+            cuts = [self._cut(text) if text else [] for text in group]
+            self.round_trips.meet(cuts)
+            yield from map(self._joined, cuts)
+
+    def _joined(self, words: list[str]) -> tuple[int, str, str]:
+        if not words:
             return 1, str(self.end), self.decode([self.end])
-        parts = list(map(self.round_trips.__getitem__, self._cut(text)))
+        parts = list(map(self.round_trips.__getitem__, words))
         decoded = "".join(map(itemgetter(2), parts))
         joined = " ".join(map(itemgetter(1), parts))
         # the text's first piece begins with a mark, except where the vocabulary lacks the mark
@@ -291,8 +358,7 @@ def digest_documents(docs: DataFrame, model_path: str, text_column: str = "text"
         table = table_of(model_path)
         for pdf in batches:
             rows = []
-            for t in pdf["text"]:
-                n, joined, decoded = table.round_trip(t or "")
+            for n, joined, decoded in table.round_trip(t or "" for t in pdf["text"]):
                 rows.append((n, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", pdf["doc_id"].astype("Int64"))

@@ -13,17 +13,19 @@ from __future__ import annotations
 import bisect
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fenland.llm.merge_tree import SHIFT, MergeTree
-from fenland.llm.piece_tokens import LONGEST_REMEMBERED, Words
+from fenland.llm.piece_tokens import BATCH_WORDS, LONGEST_REMEMBERED, Words, in_groups
+from fenland.llm.prefix_batch import PrefixBatch, padded
 
 # fixed value: the pattern that cuts text into words before the merges
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -55,8 +57,10 @@ class PrefixCounts:
                 self.automaton.add_word(token.decode("latin-1"), (k, len(token)))
         self.automaton.make_automaton()
         self.fits: dict[int, bool] = {}
-        self.words = Words(self._word_counts, MOST_CHARS // 2)
-        self.totals = Words(lambda word: self._total(word), MOST_CHARS)
+        self.words = Words(lambda words: list(map(self._word_counts, words)), MOST_CHARS // 2)
+        self.totals = Words(self._totals_of, MOST_CHARS)
+        result = [(list(t), k) for k, t in enumerate(tokens) if self.automaton.exists(t.decode("latin-1"))]
+        self.batch = PrefixBatch(result, 256, self._compatible)
         self.specials = specials
         self.pattern = regex.compile(PATTERN)
         self.special = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
@@ -146,8 +150,24 @@ class PrefixCounts:
             known = [known[k] for k in ends]
         return bytes(known) if len(word) <= LONGEST_REMEMBERED and max(known) < 256 else known
 
-    def _total(self, word: str) -> int:
-        return self._byte_counts(word.encode())[-1]
+    def _totals_of(self, words: list[str]) -> list[int]:
+        raws = [w.encode() for w in words]
+        out = [0] * len(raws)
+        together = [k for k, raw in enumerate(raws) if 0 < len(raw) <= LONGEST_REMEMBERED] if len(raws) > 16 else []
+        together.sort(key=lambda k: len(raws[k]))  # words of like sizes share a table
+        for a in range(0, len(together), BATCH_WORDS):
+            part = together[a : a + BATCH_WORDS]
+            own = [raws[k] for k in part]
+            sizes = np.fromiter(map(len, own), np.int64, len(own))
+            codes = padded(np.frombuffer(b"".join(own), np.uint8), sizes, 256)
+            _, length = self.batch.fill(codes, sizes)
+            count = np.zeros(length.shape, np.int64)
+            rows = np.arange(len(part))
+            for end in range(1, length.shape[1]):
+                count[:, end] = count[rows, end - length[:, end]] + 1
+            for k, n in zip(part, count[rows, sizes].tolist(), strict=True):
+                out[k] = n
+        return [n or self._byte_counts(raw)[-1] for n, raw in zip(out, raws, strict=True)]
 
     def cut(self, text: str) -> list[str]:
         """Words of a text without special strings."""
@@ -155,7 +175,7 @@ class PrefixCounts:
 
     def _pieces(self, text: str) -> list[tuple[str, bool]]:
         """Stretches between special strings, and the special strings themselves."""
-        if self.special is None or not any(s in text for s in self.specials):
+        if not self._special_in(text):
             return [(text, False)]
         out, at = [], 0
         for m in self.special.finditer(text):
@@ -210,18 +230,24 @@ class PrefixCounts:
 
     def count_and_fit(self, text: str, limit: int) -> tuple[int, int]:
         """Tokens of a text, and code points of its longest prefix of at most `limit` tokens; the text is cut once."""
-        if self.special is None or not any(s in text for s in self.specials):
-            plain = self.cut(text)
-            total = sum(map(self.totals.__getitem__, plain))
-            if total <= limit:
-                return total, len(text)
-            words = [(w, False) for w in plain]
-        else:
-            words = self._words(text)
-            total = sum(self._totals(words))
-            if total <= limit:
-                return total, len(text)
-        return total, self._fit(words, limit)
+        ((total, fit),) = self.count_and_fit_all([text], limit)
+        return total, fit
+
+    def count_and_fit_all(self, texts: Iterable[str], limit: int) -> Iterator[tuple[int, int]]:
+        """The same for many texts, whose new words are counted together."""
+        for group in in_groups(texts):
+            plain = [None if self._special_in(text) else self.cut(text) for text in group]
+            self.totals.meet([words for words in plain if words is not None])
+            for text, own in zip(group, plain, strict=True):
+                words = self._words(text) if own is None else own
+                total = sum(self._totals(words)) if own is None else sum(map(self.totals.__getitem__, own))
+                if total <= limit:
+                    yield total, len(text)
+                else:
+                    yield total, self._fit(words if own is None else [(w, False) for w in own], limit)
+
+    def _special_in(self, text: str) -> bool:
+        return self.special is not None and any(s in text for s in self.specials)
 
     def _fit(self, words: list[tuple[str, bool]], limit: int) -> int:
         base = [0]
@@ -263,7 +289,7 @@ def count_documents(docs: DataFrame, path: str, limit: int = 512, text_column: s
         table = table_of(path)
         for pdf in batches:
             texts = [t or "" for t in pdf["text"]]
-            counts, fits = zip(*(table.count_and_fit(t, limit) for t in texts), strict=True) if texts else ((), ())
+            counts, fits = zip(*table.count_and_fit_all(texts, limit), strict=True) if texts else ((), ())
             yield pd.DataFrame(
                 {
                     "doc_id": pdf["doc_id"].astype("Int64"),

@@ -101,11 +101,23 @@ def test_a_vocabulary_that_cuts_otherwise_is_refused(tmp_path):
 def test_words_are_forgotten_beyond_the_bound():
     from fenland.llm.piece_tokens import Words
 
-    words = Words(len, most_chars=100)
-    assert [words[str(k) * 5] for k in range(2000)] == [len(str(k) * 5) for k in range(2000)] and sum(map(len, words)) <= 200
+    words = Words(lambda new: list(map(len, new)), most_chars=100)
+    for k in range(2000):
+        words.meet([["often", str(k) * 5]])
+        assert words["often"] == 5 and words[str(k) * 5] == len(str(k) * 5)
+    assert sum(map(len, words)) <= 200 and len(words.old) <= 20
     assert words["x" * 1000] == 1000 and "x" * 1000 not in words
 
 
+def test_words_encoded_together_equal_words_encoded_alone(pieces, counts):
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABTéßñü0123.,-"
+    words = list({"▁" * rng.randint(0, 3) + "".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(6000)} - {""})
+    assert [tuple(x) for x in pieces[0]._encode_words(words)] == [pieces[0]._encode_word(w) for w in words]
+    plain = [w.replace("▁", " ") + rng.choice(["", "日", "\x00"]) for w in words]
+    assert counts[0]._totals_of(plain) == [counts[0]._byte_counts(w.encode())[-1] for w in plain]
+
+
 def test_documents_with_odd_rows(spark, odd_docs, odd_rows, pieces, counts):
     want = sorted(
         (
