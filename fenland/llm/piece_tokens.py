@@ -107,7 +107,7 @@ class PieceTable:
         joined = sorted({p[k : k + 2] for p in self.id_of for k in range(len(p) - 1)})
         self.cuts = self._cutter(joined)
         self.fits: dict[int, bool] = {}
-        self.words = Words(self._encode_words)
+        self.encoded = Words(self._encoded)
         self.round_trips = Words(self._round_trips)
         # words of common letters are encoded together; others, and long ones, one by one
         self.symbol = {c: k for k, c in enumerate(sorted(c for c in self.known if c < FAR or c == SPACE))}
@@ -250,24 +250,40 @@ class PieceTable:
         """Ids as the library gives them, without begin and end ids; an empty text has none."""
         if not text:
             return []
-        words, out = self._cut(text), []
-        self.words.meet([words])
-        for ids in map(self.words.__getitem__, words):
-            out += ids
-        return out
+        ((ids, _),) = self.encode_all([text])
+        return ids[:-1].tolist()
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[tuple[np.ndarray, str]]:
+        """Of each text its ids with the end id, and their decoded text."""
+        end = np.int32(self.end).tobytes()
+        for group in in_groups(texts):
+            cuts = [self._cut(text) if text else [] for text in group]
+            self.encoded.meet(cuts)
+            for words in cuts:
+                parts = list(map(self.encoded.__getitem__, words))
+                raw = b"".join(map(itemgetter(0), parts)) + end
+                yield np.frombuffer(raw, np.int32), self._without_first("".join(map(itemgetter(1), parts)))
+
+    def _encoded(self, words: list[str]) -> list[tuple[bytes, str]]:
+        """The ids as 32-bit numbers, and what they decode to inside a text."""
+        return [(np.array(ids, np.int32).tobytes(), self._decoded(w, ids)) for w, ids in zip(words, self._encode_words(words), strict=True)]
+
+    def _decoded(self, word: str, ids: list[int] | tuple[int, ...]) -> str:
+        # an encoded character's bytes stand together, so words decode one by one, those of known characters to themselves
+        return word.replace(SPACE, " ") if self.known.issuperset(word) else self.decode(ids, inside=True)
+
+    @staticmethod
+    def _without_first(decoded: str) -> str:
+        """Only the mark of a text's first piece is dropped."""
+        return decoded[1:] if decoded[:1] == " " else decoded
 
     def _cut(self, text: str) -> list[str]:
         return self.cuts.findall(SPACE + text.replace(" ", SPACE))
 
     def _round_trips(self, words: list[str]) -> list[tuple[int, str, str]]:
         """Number of ids, the ids as text, and what they decode to inside a text."""
-        # an encoded character's bytes stand together, so words decode one by one, those of known characters to themselves;
-        # only the text's first mark is dropped
-        names, known = self.names, self.known
-        return [
-            (len(ids), " ".join([names[i] for i in ids]), w.replace(SPACE, " ") if known.issuperset(w) else self.decode(ids, inside=True))
-            for w, ids in zip(words, self._encode_words(words), strict=True)
-        ]
+        names = self.names
+        return [(len(ids), " ".join([names[i] for i in ids]), self._decoded(w, ids)) for w, ids in zip(words, self._encode_words(words), strict=True)]
 
     def round_trip(self, texts: Iterable[str]) -> Iterator[tuple[int, str, str]]:
         """Of each text the number of ids with the end id, the ids joined by one space, and their decoded text."""
@@ -280,10 +296,8 @@ class PieceTable:
         if not words:
             return 1, str(self.end), self.decode([self.end])
         parts = list(map(self.round_trips.__getitem__, words))
-        decoded = "".join(map(itemgetter(2), parts))
         joined = " ".join(map(itemgetter(1), parts))
-        # the text's first piece begins with a mark, except where the vocabulary lacks the mark
-        return sum(map(itemgetter(0), parts)) + 1, f"{joined} {self.end}", decoded[1:] if decoded[:1] == " " else decoded
+        return sum(map(itemgetter(0), parts)) + 1, f"{joined} {self.end}", self._without_first("".join(map(itemgetter(2), parts)))
 
     def decode(self, ids: list[int] | tuple[int, ...], inside: bool = False) -> str:
         """The library's text of the ids: bytes joined, marks turned to spaces, a space before the first piece dropped.
@@ -344,8 +358,8 @@ def encode_documents(docs: DataFrame, model_path: str, text_column: str = "text"
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = table_of(model_path)
         for pdf in batches:
-            ids = [[*table.encode(t or ""), table.end] for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": ids, "decoded": [table.decode(x) for x in ids]})
+            found = list(table.encode_all(t or "" for t in pdf["text"]))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": pd.Series([x for x, _ in found], dtype=object, index=pdf.index), "decoded": [x for _, x in found]})
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     return rows.mapInPandas(run, "doc_id long, ids array<int>, decoded string")
