@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fenland.operators.group_join import heavy_keys, join_group_table, value_counts
-from fenland.operators.quantiles import group_quantiles, small_group_quantiles
+from fenland.operators.group_join import join_group_table, large_groups
+from fenland.operators.quantiles import box_counts, first_pass, group_quantiles, small_group_quantiles, wanted_ranks
 
 
 def mean_and_count(df: DataFrame, keys: Sequence[str], value: str, mean: str, count: str) -> DataFrame:
@@ -51,29 +51,50 @@ def box_statistics(
 ) -> DataFrame:
     """Quartiles, whiskers (most extreme values within 1.5 box lengths), outlier count, row count.
 
-    Groups of fewer than `min_rows` rows are left out.
+    Groups of fewer than `min_rows` rows are left out. The rows are read twice, once for the
+    brackets and once for quartiles, fences and whiskers together.
     """
-    quartiles = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    heavy = None if few_groups or small_groups else heavy_keys(df, keys)
-    boxes = _quantiles(df, keys, value, quartiles, [F.count("*").alias("n")], few_groups, small_groups, heavy)
+    quartiles = [("q1", 0.25), ("median", 0.5), ("q3", 0.75)]
+    if small_groups:
+        return _small_boxes(df, keys, value, dict(quartiles), min_rows)
+    first = first_pass(df, keys, value, [p for _, p in quartiles], [F.count(F.lit(1)).alias("n")])
+    counted = box_counts(df, keys, value, first, few_groups=few_groups)
+    boxes = wanted_ranks(counted.select(*keys, "_cell", "_v", "_k"), keys, quartiles).join(first.select(*keys, "n"), list(keys))
+    boxes = _with_fences(boxes, min_rows)
+    heavy = None if few_groups else large_groups(first, keys, "_rows")
+    near = "_v >= low_fence AND _v <= high_fence"
+    inside = f"_region = 2 OR (_region IN (1, 3) AND {near})"
+    return (
+        join_group_table(counted.where("_region IS NOT NULL"), boxes, keys, ["_cell", "_v"], few_groups=few_groups, heavy=heavy)
+        .groupBy(*keys, "q1", "median", "q3", "n")
+        .agg(
+            F.expr(f"min(CASE WHEN {inside} THEN _lo END)").alias("lower_whisker"),
+            F.expr(f"max(CASE WHEN {inside} THEN _hi END)").alias("upper_whisker"),
+            F.expr(f"coalesce(sum(CASE WHEN NOT ({inside}) THEN _k END), 0L)").alias("outliers"),
+        )
+        .select(*keys, "lower_whisker", "q1", "median", "q3", "upper_whisker", "outliers", "n")
+    )
+
+
+def _with_fences(boxes: DataFrame, min_rows: int) -> DataFrame:
     if min_rows:
         boxes = boxes.where(F.col("n") >= min_rows)
-    boxes = boxes.where("q1 IS NOT NULL").withColumns(
+    return boxes.where("q1 IS NOT NULL").withColumns(
         {"low_fence": F.expr("q1 - 1.5 * (q3 - q1)"), "high_fence": F.expr("q3 + 1.5 * (q3 - q1)")}
     )
-    near = "_v >= low_fence AND _v <= high_fence"
-    few = few_groups or small_groups
-    if few:
-        rows = df.select(*keys, F.col(value).alias("_v"), F.lit(1).cast("long").alias("_k"))
-    else:
-        rows = value_counts(df, keys, value)
+
+
+def _small_boxes(df: DataFrame, keys: Sequence[str], value: str, quartiles: dict[str, float], min_rows: int) -> DataFrame:
+    """The same with the built-in aggregate, for groups of provably few rows."""
+    boxes = _with_fences(small_group_quantiles(df, keys, value, quartiles, [F.count("*").alias("n")]), min_rows)
+    near = f"`{value}` >= low_fence AND `{value}` <= high_fence"
     return (
-        join_group_table(rows, boxes, keys, ["_v"], few_groups=few, heavy=heavy)
+        join_group_table(df.select(*keys, value), boxes, keys, [value], few_groups=True)
         .groupBy(*keys, "q1", "median", "q3", "n")
         .agg(
-            F.expr(f"min(CASE WHEN {near} THEN _v END)").alias("lower_whisker"),
-            F.expr(f"max(CASE WHEN {near} THEN _v END)").alias("upper_whisker"),
-            F.expr(f"coalesce(sum(CASE WHEN NOT ({near}) THEN _k END), 0L)").alias("outliers"),
+            F.expr(f"min(CASE WHEN {near} THEN `{value}` END)").alias("lower_whisker"),
+            F.expr(f"max(CASE WHEN {near} THEN `{value}` END)").alias("upper_whisker"),
+            F.expr(f"count_if(NOT ({near}))").alias("outliers"),
         )
         .select(*keys, "lower_whisker", "q1", "median", "q3", "upper_whisker", "outliers", "n")
     )
@@ -89,20 +110,17 @@ def box_outliers(
     return joined.where(beyond).select(*keys, value)
 
 
-def quantile_of(df: DataFrame, value: str, p: float) -> Column:
-    """Exact quantile of a whole column as a scalar sub-query; usable in a pushed-down filter."""
-    return group_quantiles(df, [], value, {"_cut": p}).select("_cut").scalar()
-
-
 def trim_top(df: DataFrame, value: str, p: float = 0.99) -> DataFrame:
     """Rows with a positive value below the p-quantile.
 
     The quantile is taken over all rows, also those that are not positive.
     """
-    return df.where((F.col(value) > 0) & (F.col(value) < quantile_of(df, value, p)))
+    cut = group_quantiles(df, [], value, {"_cut": p}).first()
+    # one number: as a literal it reaches the scan of every later reader
+    return df.where((F.col(value) > 0) & (F.col(value) < F.lit(cut["_cut"] if cut else None).cast("double")))
 
 
-def _quantiles(df, keys, value, probs, extra, few_groups, small_groups, heavy=None):
+def _quantiles(df, keys, value, probs, extra, few_groups, small_groups):
     if small_groups:
         return small_group_quantiles(df, keys, value, probs, extra)
-    return group_quantiles(df, keys, value, probs, extra, few_groups=few_groups, heavy=heavy)
+    return group_quantiles(df, keys, value, probs, extra, few_groups=few_groups)

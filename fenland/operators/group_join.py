@@ -30,6 +30,12 @@ def heavy_keys(df: DataFrame, keys: Sequence[str]) -> list[int]:
     return sorted(item["item"] for item in row.top or [] if item["count"] * SHARE > row.n)
 
 
+def large_groups(table: DataFrame, keys: Sequence[str], count: str) -> list[int]:
+    """The same hashes where a table with one row per group already has the groups' row counts."""
+    total = table.agg(F.coalesce(F.sum(count), F.lit(0)).alias("n")).first().n
+    return sorted(row["_h"] for row in table.where(F.col(count) * SHARE > total).select(_hash(keys).alias("_h")).collect())  # SHARE rows at most
+
+
 def join_group_table(
     df: DataFrame,
     table: DataFrame,

@@ -201,6 +201,55 @@ def test_one_school_with_a_third_of_the_scores_fills_no_task(spark):
         scores.unpersist()
 
 
+def plain_box(values):
+    import statistics
+
+    values = sorted(v for v in values if v is not None)
+    if not values:
+        return None
+    at = lambda p: values[int((len(values) - 1) * p)] + (values[min(int((len(values) - 1) * p) + 1, len(values) - 1)] - values[int((len(values) - 1) * p)]) * ((len(values) - 1) * p % 1)
+    q1, q3 = at(0.25), at(0.75)
+    near = [v for v in values if q1 - 1.5 * (q3 - q1) <= v <= q3 + 1.5 * (q3 - q1)]
+    return (min(near), q1, statistics.median(values), q3, max(near), len(values) - len(near))
+
+
+def box_frame(spark):
+    """A third of the rows crowd into one narrow cell, others lie far out, in ties, in one value, in nulls."""
+    return spark.range(30_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'crowd' WHEN id % 3 = 1 THEN 'ties' ELSE concat('g', id % 40) END AS g",
+        "CASE WHEN id % 3 = 0 THEN CASE WHEN id % 7 = 0 THEN id * 1000D ELSE 5D + (id * 7919 % 9973) * 1e-7 END "
+        "WHEN id % 3 = 1 THEN CAST(id % 5 AS DOUBLE) WHEN id % 40 = 2 THEN NULL WHEN id % 40 = 5 THEN 4D ELSE (id * 104729 % 10007) - 5000D END AS v",
+    )
+
+
+def test_boxes_of_crowded_cells_and_odd_groups(spark):
+    df = box_frame(spark).cache()
+    values = {}
+    for g, v in rows(df):
+        values.setdefault(g, []).append(v)
+    want = {g: plain_box(v) for g, v in values.items() if plain_box(v)}
+    for few in (False, True):
+        got = {r[0]: r[1:7] for r in rows(aggregates.box_statistics(df, ["g"], "v", few_groups=few))}
+        assert set(got) == set(want)
+        for g, w in want.items():
+            assert got[g] == pytest.approx(w, rel=1e-12), g
+    df.unpersist()
+
+
+def test_boxes_read_their_rows_twice(spark, tmp_path):
+    box_frame(spark).write.parquet(str(tmp_path / "rows"))
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        read.add(1)
+        return v
+
+    df = spark.read.parquet(str(tmp_path / "rows")).select("g", counted.asNondeterministic()("v").alias("v"))
+    assert aggregates.box_statistics(df, ["g"], "v").count() > 10
+    assert read.value <= 2 * 30_000
+
+
 # ---- joins, sets ---------------------------------------------------------
 
 
