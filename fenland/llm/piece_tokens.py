@@ -112,7 +112,7 @@ class PieceTable:
         # words of common letters are encoded together; others, and long ones, one by one
         self.symbol = {c: k for k, c in enumerate(sorted(c for c in self.known if c < FAR or c == SPACE))}
         common = [(list(map(self.symbol.get, p)), i) for p, i in self.id_of.items() if self.symbol.keys() >= set(p) and self.automaton.exists(p)]
-        self.batch = PrefixBatch(common, len(self.symbol), self._compatible)
+        self.batch = PrefixBatch(common, len(self.symbol), self._apart)
         self.letters = frozenset(self.symbol)
         self.code_symbols = np.zeros(max(map(ord, self.symbol), default=0) + 1, np.int32)
         for c, k in self.symbol.items():
@@ -182,13 +182,14 @@ class PieceTable:
     def _compatible(self, left: int, right: int) -> bool:
         if len(self.fits) > MOST_PAIRS:
             self.fits.clear()
+        known = self.fits[left << SHIFT | right] = self._apart(left, right)
+        return known
+
+    def _apart(self, left: int, right: int) -> bool:
         a, b = self._text(left), self._text(right)
         if self.tree is None or (a[-1] == b[0] == SPACE):
-            known = self.merged(a + b) == [a, b]
-        else:
-            known = self.tree.apart(left, right)
-        self.fits[left << SHIFT | right] = known
-        return known
+            return self.merged(a + b) == [a, b]
+        return self.tree.apart(left, right)
 
     def _text(self, token: int) -> str:
         """Ids beyond the vocabulary stand for characters that no entry holds."""

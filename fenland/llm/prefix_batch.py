@@ -65,22 +65,35 @@ class PrefixBatch:
 
     def renew(self) -> None:
         self.keys, self.known = np.full(1, -1, np.int64), np.zeros(1, bool)
+        self.late: dict[int, bool] = {}  # pairs met since the arrays were sorted last
 
     def _fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         wanted = left << SHIFT | right
-        place = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        met = self.keys[place] == wanted
-        if not met.all():
-            new = np.unique(wanted[~met])
-            if len(self.keys) + len(new) > MOST_PAIRS:
-                self.renew()
-                new = np.unique(wanted)
-            found = np.fromiter((self.fits(key >> SHIFT, key & ((1 << SHIFT) - 1)) for key in new.tolist()), bool, len(new))
-            keys, known = np.concatenate((self.keys, new)), np.concatenate((self.known, found))
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.known = keys[order], known[order]
-            place = np.searchsorted(self.keys, wanted)
-        return self.known[place]
+        place = np.searchsorted(self.keys, wanted)
+        place[place == len(self.keys)] = 0
+        good = self.known[place]
+        strange = np.flatnonzero(self.keys[place] != wanted)
+        if strange.size:
+            new, back = np.unique(wanted[strange], return_inverse=True)
+            good[strange] = np.fromiter(map(self._met, new.tolist()), bool, len(new))[back]
+            if len(self.late) > 4096 + len(self.keys) // 4:
+                self._sort()
+        return good
+
+    def _met(self, key: int) -> bool:
+        found = self.late.get(key)
+        if found is None:
+            found = self.late[key] = self.fits(key >> SHIFT, key & ((1 << SHIFT) - 1))
+        return found
+
+    def _sort(self) -> None:
+        late, self.late = self.late, {}
+        if len(self.keys) + len(late) > MOST_PAIRS:
+            self.renew()
+        keys = np.concatenate((self.keys, np.fromiter(late.keys(), np.int64, len(late))))
+        known = np.concatenate((self.known, np.fromiter(late.values(), bool, len(late))))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.known = keys[order], known[order]
 
     def fill(self, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(last token, its length) at every prefix: arrays (word, end) for words as rows of symbols.
