@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from fenland.llm.common import fresh
 
-CHARS_PER_EDIT = 25  # the budget: one edit for so many characters of an item
+CHARS_PER_EDIT = 12  # the budget: one edit for so many characters of an item
 BLOCK_CHARS = 8_000_000  # items are matched in blocks of about so many characters
 
 
