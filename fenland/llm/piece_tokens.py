@@ -64,8 +64,7 @@ class Words(dict):
         if self.chars >= self.most:
             self.old, self.chars = dict(self), 0
             self.clear()
-        new = set().union(*texts).difference(self)
-        fresh = [w for w in new if len(w) <= LONGEST_REMEMBERED and w not in self.old]
+        fresh = [w for w in set().union(*texts) if w not in self and w not in self.old and len(w) <= LONGEST_REMEMBERED]
         for word, found in zip(fresh, self.make(fresh) if fresh else [], strict=True):
             self._keep(word, found)
 

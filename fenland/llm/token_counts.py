@@ -244,19 +244,19 @@ class PrefixCounts:
                 if total <= limit:
                     yield total, len(text)
                 else:
-                    yield total, self._fit(words if own is None else [(w, False) for w in own], limit)
+                    if own is not None:
+                        # a word has a token at least, so the first limit + 1 reach the limit; one more stands behind
+                        ends = accumulate(map(self.totals.__getitem__, own[: limit + 2]))
+                        words = [(w, False) for w in own[: next(k for k, n in enumerate(ends) if n > limit) + 3]]
+                    yield total, self._fit(words, limit)
 
     def _special_in(self, text: str) -> bool:
         return self.special is not None and any(s in text for s in self.specials)
 
     def _fit(self, words: list[tuple[str, bool]], limit: int) -> int:
-        base = [0]
-        for n in map(lambda w: 1 if w[1] else self.totals[w[0]], words):
-            base.append(base[-1] + n)
-            if base[-1] > limit and len(base) > 2 and base[-2] > limit:
-                break
+        base = list(accumulate(self._totals(words), initial=0))
         k = bisect.bisect_right(base, limit) - 1  # words before k fit, word k does not
-        start = sum(len(w) for w, _ in words[:k])
+        start = sum([len(w) for w, _ in words[:k]])
         best = start
         for word in (k, k + 1):  # blanks before the next word may close up
             if word < len(words):
