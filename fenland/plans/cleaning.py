@@ -199,9 +199,15 @@ def read_education_year(spark: SparkSession, path: str, academic_year: str) -> D
         warnings.warn(f"no file for {academic_year}: {path}, year left out", stacklevel=2)
         return None
     header = csv_files.header_of(spark, path)
-    found = {name: csv_files.first_present(header, known) for name, known in SCHOOL_COLUMN_NAMES.items()}
-    profile.require_columns(header, {name: found[name] for name in ("estab", "att8_score")}, path)
     scan = csv_files.reader(spark, header=True).schema(schemas.text_schema(*header)).csv(path)
+    return education_year_rows(scan, academic_year, path)
+
+
+def education_year_rows(scan: DataFrame, academic_year: str, where: str) -> DataFrame:
+    """Rows with a score under the known names, whatever names the scan's columns have among those of any year."""
+    header = scan.columns
+    found = {name: csv_files.first_present(header, known) for name, known in SCHOOL_COLUMN_NAMES.items()}
+    profile.require_columns(header, {name: found[name] for name in ("estab", "att8_score")}, where)
     columns = [F.col(f"`{raw}`").alias(name) if raw else F.lit(None).cast("string").alias(name) for name, raw in found.items()]
     return (
         scan.select(*columns)
@@ -217,6 +223,11 @@ def load_education_years(spark: SparkSession, files: Mapping[str, str]) -> DataF
     years = [df for df in years if df is not None]
     if not years:
         raise ValueError("no school file found")
+    return merge_education_years(years)
+
+
+def merge_education_years(years: Sequence[DataFrame]) -> DataFrame:
+    """All years' rows with their county, those of other counties left out."""
     rows = lookup.union_by_name(*years)
     rows = rows.withColumn("county_name", geography.county_of_authority(F.col("la_name")))
     return rows.where("county_name IS NOT NULL").select(*schemas.EDUCATION_ALL_YEARS.names)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+from fenland.operators import profile
 from fenland.plans import building, cleaning
 from fenland.plans.tables import Warehouse
 from fenland.schemas import CRIME_COLUMNS, POSITION, schema
@@ -24,25 +25,29 @@ class RawInput:
     population: str
 
 
-def clean_all(spark: SparkSession, raw: RawInput, base: str) -> None:
-    """Write the six clean tables and both forces' merged raw crime rows below `base`."""
-    tables.write_clean(
-        cleaning.clean_house_price(cleaning.read_house_price(spark, raw.prices)), base, "house_price_clean"
-    )
-    tables.write_clean(
-        cleaning.clean_broadband(cleaning.read_broadband(spark, raw.broadband)), base, "broadband_clean"
-    )
+def clean_all(spark: SparkSession, raw: RawInput, base: str) -> dict[str, tuple[int, int]]:
+    """Write the six clean tables and both forces' merged raw crime rows below `base`.
+
+    The answer has the rows read and the rows kept of each table, counted by the jobs that write them.
+    """
+    counts: dict[str, tuple[int, int]] = {}
+
+    def write(name: str, rows: DataFrame, clean: Callable[[DataFrame], DataFrame]) -> None:
+        read, before = profile.counted(rows, f"{name} read")
+        kept, after = profile.counted(clean(read), f"{name} kept")
+        tables.write_clean(kept, base, name)
+        counts[name] = (before.get["rows"], after.get["rows"])
+
+    write("house_price_clean", cleaning.read_house_price(spark, raw.prices), cleaning.clean_house_price)
+    write("broadband_clean", cleaning.read_broadband(spark, raw.broadband), cleaning.clean_broadband)
     for force in ("norfolk", "suffolk"):
         merged = f"{base}/{force}_all"
         cleaning.read_crime(spark, raw.crime, force).write.mode("overwrite").parquet(merged)
         rows = spark.read.schema(schema(**dict.fromkeys(CRIME_COLUMNS.values(), "string"), **POSITION)).parquet(merged)
-        tables.write_clean(cleaning.clean_crime(rows), base, f"{force}_clean")
-    tables.write_clean(
-        cleaning.clean_education(cleaning.read_education(spark, raw.schools)), base, "education_clean"
-    )
-    tables.write_clean(
-        cleaning.clean_population(cleaning.read_population(spark, raw.population)), base, "population_clean"
-    )
+        write(f"{force}_clean", rows, cleaning.clean_crime)
+    write("education_clean", cleaning.read_education(spark, raw.schools), cleaning.clean_education)
+    write("population_clean", cleaning.read_population(spark, raw.population), cleaning.clean_population)
+    return counts
 
 
 def build_and_publish(spark: SparkSession, clean_base: str, base: str, version: int, **options) -> Warehouse:

@@ -213,6 +213,40 @@ def boundary_counts(spark, sf_dir):
     return building.boundary_counts(building.combined_crime(*sides))
 
 
+@query(
+    "education_years",
+    """SELECT CAST(user_id AS VARCHAR) AS estab, c_name AS school_name, CASE event_type WHEN 'click' THEN c_mktsegment END AS town,
+  ['NORFOLK', 'West Suffolk', 'Ipswich'][c_nationkey % 4 + 1] AS la_name,
+  CASE WHEN event_type <> 'view' THEN 'NR' || CAST(c_custkey % 30 + 1 AS VARCHAR) END AS postcode, value AS att8_score,
+  CASE event_type WHEN 'click' THEN '2021-2022' WHEN 'view' THEN '2022-2023' ELSE '2023-2024' END AS academic_year,
+  CASE WHEN c_nationkey % 4 = 0 THEN 'Norfolk' ELSE 'Suffolk' END AS county_name
+FROM events JOIN customer ON user_id = c_custkey
+WHERE event_type IN ('click', 'view', 'purchase') AND event_id % 11 <> 0 AND c_nationkey % 4 < 3""",
+)
+def education_years(spark, sf_dir):
+    """Three years' rows under three sets of column names, some without a town or a postcode, some scores suppressed."""
+    rows = table(spark, sf_dir, "events").join(table(spark, sf_dir, "customer"), F.expr("user_id = c_custkey"))
+    rows = rows.withColumns(
+        {
+            "code": F.col("user_id").cast("string"),
+            "la": F.expr("array('NORFOLK', 'West Suffolk', 'Ipswich', 'Essex')[c_nationkey % 4]"),
+            "score": F.expr("IF(event_id % 11 = 0, 'SUPP', CAST(value AS STRING))"),
+            "code_of_post": F.expr("concat('NR', c_custkey % 30 + 1)"),
+        }
+    )
+    # column of the rows -> header name, per year
+    headers = {
+        "2021-2022": ("click", {"code": "URN", "c_name": "SCHNAME", "c_mktsegment": "TOWN", "la": "NEW_LA_NAME", "score": "ATT8SCR", "code_of_post": "PCODE"}),
+        "2022-2023": ("view", {"code": "ESTAB", "c_name": "school_name", "la": "LEA_NAME", "score": "AVG_ATT8"}),
+        "2023-2024": ("purchase", {"code": "LAESTAB", "c_name": "SCH_NAME", "la": "LA_NAME", "score": "att8_score", "code_of_post": "POSTCODE"}),
+    }
+    years = []
+    for year, (kind, names) in headers.items():
+        scan = rows.where(F.col("event_type") == kind).select(*[F.col(c).alias(header) for c, header in names.items()])
+        years.append(cleaning.education_year_rows(scan, year, year))
+    return cleaning.merge_education_years(years)
+
+
 @query(
     "authority_years",
     """SELECT strftime(ts, '%Y-%m') AS academic_year, CASE WHEN c_nationkey % 4 = 0 THEN 'Norfolk' ELSE 'Suffolk' END AS county_name,

@@ -19,6 +19,16 @@ def test_clean_tables_have_their_schemas(spark, clean_base):
         assert spark.read.parquet(f"{clean_base}/{name}").schema.simpleString() == schema.simpleString(), name
 
 
+def test_the_job_tells_how_many_rows_it_read_and_kept(spark, raw_folder, tmp_path):
+    from fenland.plans.jobs import clean_all
+    from raw_files import raw_input
+
+    counts = clean_all(spark, raw_input(raw_folder), str(tmp_path))
+    assert counts["house_price_clean"] == (13, 9) and counts["broadband_clean"] == (10, 7)
+    assert counts["norfolk_clean"] == (13, 10) and counts["suffolk_clean"] == (6, 6)
+    assert {name: n for name, (_, n) in counts.items()} == {name: clean(spark, str(tmp_path), name).count() for name in counts}
+
+
 def test_house_prices(spark, clean_base):
     rows = clean(spark, clean_base, "house_price_clean").collect()
     # two sales that differ in their id only are one; the 2019 file, the other county and unusable rows are out
