@@ -29,7 +29,8 @@ from fenland.llm.merge_tree import SHIFT, MergeTree
 from fenland.llm.prefix_batch import PrefixBatch, backwards, padded
 
 SPACE = "▁"  # fixed value: the library's mark for a space
-MOST_CHARS = 6_000_000  # characters of the words remembered in one task
+MOST_CHARS = 2_000_000  # characters of the words in one generation of those remembered in a task
+ROWS_OUT = 1000  # documents in one frame of results
 MOST_PAIRS = 500_000  # neighbours remembered in one task
 LONGEST_REMEMBERED = 64  # characters; longer words are encoded each time
 BATCH_WORDS = 4096  # words in one table
@@ -358,8 +359,11 @@ def encode_documents(docs: DataFrame, model_path: str, text_column: str = "text"
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = table_of(model_path)
         for pdf in batches:
-            found = list(table.encode_all(t or "" for t in pdf["text"]))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": pd.Series([x for x, _ in found], dtype=object, index=pdf.index), "decoded": [x for _, x in found]})
+            for a in range(0, len(pdf), ROWS_OUT):
+                part = pdf.iloc[a : a + ROWS_OUT]
+                found = list(table.encode_all(t or "" for t in part["text"]))
+                ids = pd.Series([x for x, _ in found], dtype=object, index=part.index)
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "ids": ids, "decoded": [x for _, x in found]})
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     return rows.mapInPandas(run, "doc_id long, ids array<int>, decoded string")

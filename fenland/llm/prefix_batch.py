@@ -38,9 +38,9 @@ class PrefixBatch:
         self.entry, self.size = np.array(self.entry, np.int64), np.array(self.size, np.int64)
         # moves of every state, the last symbol stands for the end of a word; `ending`: the longest entry that ends
         # in a state, `shorter`: the next one
-        self.moves = np.zeros((n, symbols + 1), np.int32)
+        self.moves = np.zeros((n, symbols + 1), np.uint16 if n < 2**16 else np.int32)
         self.ending, self.shorter = np.zeros(n, np.int32), np.zeros(n, np.int32)
-        fail, level = np.zeros(n, np.int32), []
+        fail, level = np.zeros(n, np.int64), []
         for c, child in children[0].items():
             self.moves[0, c] = child
             level.append(child)
@@ -102,7 +102,7 @@ class PrefixBatch:
         """
         count, longest = codes.shape
         token, length = np.zeros((count, longest + 1), np.int64), np.zeros((count, longest + 1), np.int64)
-        state = np.zeros(count, np.int32)
+        state = np.zeros(count, self.moves.dtype)
         for end in range(1, longest + 1):
             state = self.moves[state, codes[:, end - 1]]
             rows = np.flatnonzero(sizes >= end)

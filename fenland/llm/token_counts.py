@@ -34,7 +34,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _LETTERS, _NUMBERS, _BLANKS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", r"\t\n\x0b\x0c\r \x85\xa0"
 _NEAR = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_BLANKS}{_LETTERS}{_NUMBERS}]+|[{_BLANKS}]+(?![^{_BLANKS}])|[{_BLANKS}]+")
 _FAR = re.compile("[\u0250-\U0010ffff]")
-MOST_CHARS = 8_000_000  # characters of the words remembered in one task
+MOST_CHARS = 4_000_000  # characters of the words in one generation of those remembered in a task
 MOST_PAIRS = 2_000_000  # neighbours remembered in one task
 
 
