@@ -17,12 +17,13 @@ number and length are bounded), the others meet their counts in a join by token.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +39,10 @@ HOT_BYTES = 64  # longer tokens are never broadcast
 ROUNDS = 2
 BATCH = 16_384  # tokens of one gradient step
 CHUNK_TOKENS = 8 * BATCH  # tokens numbered at a time
+RUN_BYTES = 1 << 23  # text split at a time
+FEW = 8  # gradients of a row that are added one by one
 RATE = 0.3
-MOST_WORDS = 600_000  # tokens remembered in one task
+MOST_WORDS = 600_000  # counts held in one task
 END = b""
 START = 3  # tokens before a text
 CHUNK = 4096  # weights in one row while updates are added up
@@ -52,31 +55,55 @@ def tokens(text: str | None) -> list[bytes]:
     return words
 
 
-class Words(dict):
-    """Token to number; the arrays hold what the model needs of each number."""
+def _spelled(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """`tokens` of many texts, RUN_BYTES or one text at a time: the different tokens, which of them each token is, tokens per text.
 
-    def __init__(self, own: dict[bytes, int], hot: dict[bytes, float]):
-        super().__init__()
-        self.own, self.hot = own, hot
-        self.renew()
-
-    def renew(self) -> None:
-        self.clear()
-        self.met = []  # (bucket, hash, known) of the numbers that are not in the arrays yet
-        # number 0: before the text
-        self.bucket, self.code, self.known = np.zeros(1, np.int64), np.zeros(1, np.uint32), np.zeros(1)
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self) + 1
-        self.met.append((bucket_of(word, self.own), xxhash.xxh32_intdigest(word) | 1, self.hot.get(word, np.nan)))
-        return number
+    The end token is the last of the different ones.
+    """
+    if not len(texts):
+        return
+    run = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // RUN_BYTES
+    starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+    for start, end in zip(starts, [*starts[1:], len(texts)], strict=True):
+        # both kernels know ASCII only, like those of bytes
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts[start:end], "")))
+        words, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        empty = (pc.binary_length(words).to_numpy() == 0).nonzero()[0]  # from blanks at the ends
+        if len(empty):
+            sizes -= np.bincount(np.repeat(np.arange(len(sizes)), sizes)[empty], minlength=len(sizes))
+            words = words.filter(pc.not_equal(words, ""))
+        sizes += 1
+        coded = words.dictionary_encode()
+        different = pa.concat_arrays([coded.dictionary.cast(pa.binary()), pa.array([END], pa.binary())])
+        which = np.full(sizes.sum(), len(different) - 1)
+        is_word = np.ones(len(which), bool)
+        is_word[np.cumsum(sizes) - 1] = False
+        which[is_word] = coded.indices.to_numpy()
+        yield different, which, sizes
+
+
+class Words:
+    """What the model needs of tokens: bucket, hash, log10(count + 0.5) of the broadcast ones (NaN: not one of them)."""
 
-    def settle(self) -> None:
-        """Take the new numbers into the arrays."""
-        if self.met:
-            new = zip(*self.met, strict=True)
-            self.bucket, self.code, self.known = (np.r_[old, np.array(x, old.dtype)] for old, x in zip((self.bucket, self.code, self.known), new, strict=True))
-            self.met = []
+    def __init__(self, own: dict[bytes, int], hot: dict[bytes, float]):
+        self.own, self.hot = own, pa.array([*hot], pa.binary())
+        self.known = np.array([*hot.values(), np.nan])  # the last for those that are not found
+        self.shared: dict[bytes, int] = {}  # last two bytes to bucket
+
+    def are_hot(self, words: pa.Array) -> np.ndarray:
+        return pc.is_in(words, self.hot).to_numpy(zero_copy_only=False)
+
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        spelled, shared = words.to_pylist(), self.shared
+        ends = pc.binary_slice(words, -2).dictionary_encode()
+        for end in ends.dictionary.to_pylist():
+            if end not in shared:
+                shared[end] = bucket_of(end, {})
+        bucket = np.array([shared[end] for end in ends.dictionary.to_pylist()], np.int64)[ends.indices.to_numpy()]
+        place = pc.index_in(words, pa.array([*self.own], pa.binary())).fill_null(-1).to_numpy()
+        bucket = np.where(place < 0, bucket, np.array([*self.own.values()], np.int64)[place])
+        code = np.fromiter(map(xxhash.xxh32_intdigest, spelled), np.uint32, len(spelled)) | np.uint32(1)
+        return bucket, code, self.known[pc.index_in(words, self.hot).fill_null(-1).to_numpy()]
 
 
 def bucket_of(word: bytes, own: dict[bytes, int]) -> int:
@@ -119,10 +146,12 @@ def _sub_rows(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits = logits - logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    return logits
+    turned = np.ascontiguousarray(logits.T)  # CLASSES or SUBS long rows instead of many short ones
+    turned -= turned.max(axis=0)
+    np.exp(turned, out=turned)
+    parts = turned[:8] + turned[8:] if len(turned) == 16 else turned
+    turned /= ((parts[0] + parts[1]) + (parts[2] + parts[3])) + ((parts[4] + parts[5]) + (parts[6] + parts[7]))
+    return np.ascontiguousarray(turned.T)
 
 
 def _chances(weights: tuple[np.ndarray, np.ndarray], rows: list[np.ndarray], buckets: np.ndarray):
@@ -139,14 +168,45 @@ def _chances(weights: tuple[np.ndarray, np.ndarray], rows: list[np.ndarray], buc
     return classes, subs, below, _softmax(upper), _softmax(lower)
 
 
-def _move(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, gaps: np.ndarray) -> None:
-    """One step of the rows' weights against their summed gradients, each weight at its own rate (Adagrad)."""
+def _sums(rows: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the gradients of each row, and the rows.
+
+    Most rows occur a few times in a batch: their first gradients are taken at once, then their
+    second ones, and so on. Only the stretches of frequent rows are left to `reduceat`.
+    """
     order = np.argsort(rows.astype(np.uint16), kind="stable")  # ROWS is at most 2 ** 16: a radix sort
-    sorted_rows = rows[order]
+    sorted_rows = rows.take(order)
     starts = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
-    sums, used = np.add.reduceat(gaps[order], starts, axis=0), sorted_rows[starts]
-    squares[used] += sums * sums
-    weights[used] -= np.float32(RATE) * sums / np.sqrt(squares[used] + np.float32(1))
+    times = np.diff(starts, append=len(rows))
+    few = np.flatnonzero(times <= FEW)
+    few = few.take(np.argsort((FEW - times.take(few)).astype(np.uint8), kind="stable"))  # those with most gradients first
+    at = starts.take(few)
+    more = len(few) - np.cumsum(np.bincount(times.take(few), minlength=FEW + 1))  # rows with more than k gradients
+    sums = gaps.take(order.take(at), axis=0)
+    rest = gaps.take(order.take(at[: more[1]] + 1), axis=0)
+    for k in range(2, FEW):
+        rest[: more[k]] += gaps.take(order.take(at[: more[k]] + k), axis=0)
+    sums[: more[1]] += rest
+    used = sorted_rows.take(at)
+    if len(few) < len(times):
+        often = times > FEW
+        bounds = np.r_[0, np.cumsum(times[often])[:-1]]
+        frequent = np.add.reduceat(gaps.take(order[np.repeat(often, times)], axis=0), bounds, axis=0)
+        sums, used = np.concatenate([sums, frequent]), np.concatenate([used, sorted_rows[starts[often]]])
+    return sums, used
+
+
+def _move(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, gaps: np.ndarray) -> None:
+    """One step of the rows' weights against their summed gradients, each weight at its own rate (Adagrad)."""
+    sums, used = _sums(rows, gaps)
+    square = squares.take(used, axis=0)
+    square += sums * sums
+    squares[used] = square
+    square += np.float32(1)
+    np.sqrt(square, out=square)
+    sums *= np.float32(RATE)
+    sums /= square
+    weights[used] = weights.take(used, axis=0) - sums
 
 
 def _step(weights: tuple[np.ndarray, np.ndarray], squares: tuple[np.ndarray, np.ndarray], rows: list[np.ndarray], buckets: np.ndarray) -> None:
@@ -162,54 +222,57 @@ def _step(weights: tuple[np.ndarray, np.ndarray], squares: tuple[np.ndarray, np.
         _move(weights[1], squares[1], r, lower)
 
 
-_BEFORE = np.zeros(START, np.int64)
-
-
-def _numbered(texts: Iterator, words: Words, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
-    """Token numbers of several texts in a row, each led by START zeros; places of the tokens; tokens per text."""
+def _placed(texts: pa.Array, words: Words, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Several texts in a row, each led by START places of hash 0: buckets, hashes and known parts of the tokens (`Words.of`);
+    places of the tokens; tokens per text."""
     parts, sizes, held = [], [], 0
-    for text in texts:
-        own = tokens(text)
-        parts.append(_BEFORE)
-        parts.append(np.fromiter(map(words.__getitem__, own), np.int64, len(own)))
-        sizes.append(len(own))
-        held += len(own)
-        if held >= most:
-            words.settle()
-            yield _joined(parts, sizes)
-            parts, sizes, held = [], [], 0
-    if sizes:
-        words.settle()
+    for different, which, counts in _spelled(texts):
+        columns = [x[which] for x in words.of(different)]
+        ends = np.cumsum(counts)
+        text = token = 0
+        while (last := int(np.searchsorted(ends, token + most - held))) < len(ends):
+            end = int(ends[last])
+            yield _joined([*parts, [x[token:end] for x in columns]], [*sizes, counts[text : last + 1]])
+            parts, sizes, held, text, token = [], [], 0, last + 1, end
+        parts.append([x[token:] for x in columns])
+        sizes.append(counts[text:])
+        held += len(which) - token
+    if held:
         yield _joined(parts, sizes)
 
 
-def _joined(parts: list, sizes: list[int]):
-    numbers = np.concatenate(parts)
-    starts = np.cumsum([START] + [n + START for n in sizes[:-1]])
-    at = np.concatenate([np.arange(a, a + n) for a, n in zip(starts, sizes, strict=True)])
-    return numbers, at, sizes
+def _joined(parts: list[list[np.ndarray]], sizes: list[np.ndarray]):
+    columns, counts = [np.concatenate(x) for x in zip(*parts, strict=True)], np.concatenate(sizes)
+    total = len(columns[0])
+    at = np.arange(total) + START * (np.repeat(np.arange(len(counts)), counts) + 1)
+    spread = []
+    for x in columns:
+        spread.append(np.zeros(total + START * len(counts), x.dtype))
+        spread[-1][at] = x
+    return *spread, at, counts
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
     """word (binary), n over all rows of `texts`; each task adds up what it holds before the shuffle."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter = Counter()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
 
-        def flush() -> pd.DataFrame:
-            out = pd.DataFrame({"word": list(held), "n": list(held.values())})
-            held.clear()
-            return out
+        def added() -> pa.Table:
+            sums = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            return sums.select(["word", "n_sum"]).rename_columns(["word", "n"])
 
-        for pdf in batches:
-            for text in pdf["text"]:
-                held.update(tokens(text))
-                if len(held) > MOST_WORDS:
-                    yield flush()
+        for batch in batches:
+            for different, which, _ in _spelled(batch["text"]):
+                held.append(pa.table({"word": different, "n": np.bincount(which, minlength=len(different))}))
+                if sum(map(len, held)) > MOST_WORDS:
+                    held = [added()]
+                    if len(held[0]) > MOST_WORDS // 2:
+                        yield from held.pop().to_batches()
         if held:
-            yield flush()
+            yield from added().to_batches()
 
-    parts = texts.select("text").mapInPandas(run, "word binary, n long")
+    parts = texts.select("text").mapInArrow(run, "word binary, n long")
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -235,29 +298,28 @@ def _round(texts: DataFrame, model: Model) -> np.ndarray:
     """Mean update of the weights over all tasks, weighted by their tokens."""
     shared = texts.sparkSession.sparkContext.broadcast(model)  # bounded by HOT, HOT_BYTES and ROWS
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = shared.value.weights
         weights, squares, seen = start.copy(), np.zeros_like(start), 0
         own, own_squares = parts_of(weights), parts_of(squares)
         words = Words(shared.value.own, {})
-        for pdf in batches:
-            if len(words) > MOST_WORDS:
-                words.renew()
-            for numbers, at, _ in _numbered(pdf["text"], words, CHUNK_TOKENS):
-                buckets, codes = words.bucket[numbers], words.code[numbers]
+        for batch in batches:
+            for buckets, codes, _, at, _ in _placed(batch["text"], words, CHUNK_TOKENS):
                 for k in range(0, len(at), BATCH):
                     part = at[k : k + BATCH]
                     _step(own, own_squares, _features(codes, part), buckets[part])
                 seen += len(at)
         if seen:
-            change = ((weights - start) * np.float32(seen)).reshape(-1, CHUNK)
-            yield pd.DataFrame({"chunk": range(len(change)), "change": list(change), "seen": seen})
+            change = (weights - start) * np.float32(seen)
+            chunks = len(change) // CHUNK
+            rows = pa.ListArray.from_arrays(np.arange(0, len(change) + 1, CHUNK, dtype=np.int32), pa.array(change))
+            yield pa.RecordBatch.from_pydict({"chunk": np.arange(chunks, dtype=np.int32), "change": rows, "seen": np.full(chunks, seen, np.int64)})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.sum(np.array(pdf["change"].tolist(), np.float64), axis=0) / pdf["seen"].sum()
         return pd.DataFrame({"chunk": pdf["chunk"][:1], "change": [total.astype(np.float32)]})
 
-    parts = texts.select("text").mapInPandas(run, "chunk int, change array<float>, seen long")
+    parts = texts.select("text").mapInArrow(run, "chunk int, change array<float>, seen long")
     out = np.zeros((model.weights.size // CHUNK, CHUNK), np.float32)
     for r in parts.groupBy("chunk").applyInPandas(add, "chunk int, change array<float>").collect():  # the weights once
         out[r.chunk] = r.change
@@ -305,35 +367,33 @@ def score_texts(docs: DataFrame, model: Model, counts: DataFrame, id_column: str
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def key_of(doc_id, text) -> int:
+    def keys_of(batch: pa.RecordBatch) -> np.ndarray:
         """Rows alike in id and text share a key, and their results."""
-        return xxhash.xxh3_64_intdigest(f"{doc_id}\n{text or ''}".encode()) - 2**63
-
-    def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hot = shared.value.hot
-        for pdf in batches:
-            keys, words, times, first = [], [], [], []
-            for doc_id, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True):
-                held = Counter([w for w in tokens(text) if w not in hot])
-                if held:
-                    keys += [key_of(doc_id, text)] * len(held)
-                    words += held
-                    times += held.values()
-                    first += [1, *[0] * (len(held) - 1)]
-                if len(keys) > 200_000:
-                    yield pd.DataFrame({"key": keys, "word": words, "times": times, "first": first})
-                    keys, words, times, first = [], [], [], []
-            yield pd.DataFrame({"key": keys, "word": words, "times": times, "first": first})
-
-    def context(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        each = zip(batch["doc_id"].to_pylist(), pc.fill_null(batch["text"], "").cast(pa.binary()), strict=True)
+        digests = [xxhash.xxh3_64_intdigest(b"%s\n%s" % (str(doc_id).encode(), text.as_buffer().to_pybytes())) for doc_id, text in each]
+        return np.array(digests, np.uint64).view(np.int64)
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(shared.value.own, shared.value.hot)
+        for batch in batches:
+            keys, done = keys_of(batch), 0
+            for different, which, sizes in _spelled(batch["text"]):
+                seldom = ~words.are_hot(different)[which]
+                text = np.repeat(np.arange(len(sizes)), sizes)[seldom]
+                pairs, times = np.unique(text * len(different) + which[seldom], return_counts=True)
+                text, word = np.divmod(pairs, len(different))
+                first = np.diff(text, prepend=-1) != 0
+                yield pa.RecordBatch.from_pydict({"key": keys[done + text], "word": different.take(pa.array(word)), "times": times.astype(np.int64), "first": first.astype(np.int32)})
+                done += len(sizes)
+
+    def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         words, weights = Words(own.own, own.hot), own.parts()
-        for pdf in batches:
-            if len(words) > MOST_WORDS:
-                words.renew()
+        for batch in batches:
+            if not len(batch):
+                continue
             out = []
-            for numbers, at, sizes in _numbered(pdf["text"], words, CHUNK_TOKENS):
-                buckets, codes = words.bucket[numbers], words.code[numbers]
+            for buckets, codes, logs, at, sizes in _placed(batch["text"], words, CHUNK_TOKENS):
                 chance = np.empty(len(at))
                 for k in range(0, len(at), BATCH):
                     part = at[k : k + BATCH]
@@ -341,23 +401,21 @@ def score_texts(docs: DataFrame, model: Model, counts: DataFrame, id_column: str
                     n = np.arange(len(part))
                     chance[k : k + BATCH] = np.log10(upper[n, classes].astype(np.float64)) + np.log10(lower[n, subs].astype(np.float64))
                 chance -= own.inside[buckets[at]]
-                known = words.known[numbers[at]]
+                known = logs[at]
                 hot = ~np.isnan(known)
-                starts = np.cumsum([0, *sizes[:-1]])
-                sums = [np.add.reduceat(x, starts) for x in (chance, np.where(hot, known, 0.0), hot.astype(np.int64))]
-                out.append(pd.DataFrame({"n_tokens": sizes, "chance": sums[0], "known": sums[1], "hot": sums[2]}))
-            ids = pdf["doc_id"].astype("Int64").reset_index(drop=True)
-            keys = [key_of(i, t) for i, t in zip(ids, pdf["text"], strict=True)]
-            yield pd.concat([pd.DataFrame({"doc_id": ids, "key": keys}), pd.concat(out, ignore_index=True)], axis=1)
-
-    seldom = rows.mapInPandas(rare, "key long, word binary, times long, first int")
+                starts = np.r_[0, np.cumsum(sizes)[:-1]]
+                out.append((sizes, *[np.add.reduceat(x, starts) for x in (chance, np.where(hot, known, 0.0), hot.astype(np.int64))]))
+            columns = map(np.concatenate, zip(*out, strict=True))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "key": keys_of(batch), **dict(zip(("n_tokens", "chance", "known", "hot"), columns, strict=True))})
+
+    seldom = rows.mapInArrow(rare, "key long, word binary, times long, first int")
     met = seldom.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     by_row = met.groupBy("key").agg(
         F.sum(F.col("times") * F.log10(F.col("n") + 0.5)).alias("more"),
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"),
         F.sum("first").alias("rows"),
     )
-    seen = rows.mapInPandas(context, "doc_id long, key long, n_tokens long, chance double, known double, hot long").join(by_row, "key", "left")
+    seen = rows.mapInArrow(context, "doc_id long, key long, n_tokens long, chance double, known double, hot long").join(by_row, "key", "left")
     logs = F.col("known") + F.coalesce(F.col("more") / F.col("rows"), F.lit(0.0))
     each = float(np.log10(model.total + 0.5 * (model.distinct + 1)))
     return seen.select(

@@ -9,7 +9,9 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
 from fenland.llm import html_extract, lm_score, quality
 
@@ -175,6 +177,48 @@ def test_tokens_know_ascii_only():
     assert lm_score.tokens("A\x0bB\xa0C\x1cD É\n") == ["a".encode(), "b\xa0c\x1cd".encode(), "É".encode(), b""]
 
 
+def test_many_texts_are_split_as_one(monkeypatch):
+    monkeypatch.setattr(lm_score, "RUN_BYTES", 40)
+    texts = ["A\x0bB\xa0C\x1cD É\n", None, "", " \n\t ", "b b  B a", "x" * 90, " lead and trail ", "Ünïcödé 日本語 \x00 İ"]
+    seen = [[different[k].as_py() for k in which] for different, which, _ in lm_score._spelled(pa.array(texts))]
+    sizes = [n for _, _, counts in lm_score._spelled(pa.array(texts)) for n in counts]
+    want = [lm_score.tokens(t) for t in texts]
+    assert len(seen) > 2 and sum(seen, []) == sum(want, []) and sizes == [len(w) for w in want]
+    assert not [*lm_score._spelled(pa.array([], pa.string()))]
+
+
+def test_words_of_the_model():
+    own, hot = {lm_score.END: 0, b"the": 1, b"of": 2}, {lm_score.END: 3.0, b"the": 2.0, b"seldom": 1.0}
+    words = [b"the", b"of", b"", b"seldom", b"x", "é".encode(), b"other", b"seldom"]
+    model = lm_score.Words(own, hot)
+    bucket, code, known = model.of(pa.array(words, pa.binary()))
+    assert bucket.tolist() == [lm_score.bucket_of(w, own) for w in words]
+    assert code.tolist() == [xxhash.xxh32_intdigest(w) | 1 for w in words]
+    assert np.array_equal(known, [hot.get(w, np.nan) for w in words], equal_nan=True)
+    assert model.are_hot(pa.array(words, pa.binary())).tolist() == [w in hot for w in words]
+
+
+def test_places_follow_the_texts(monkeypatch):
+    """Texts are cut into chunks by tokens, however they are split."""
+    texts = [" ".join(["w"] * n) for n in (3, 0, 7, 2, 2, 9, 1)]
+    for size in (1, 20, 1000):
+        monkeypatch.setattr(lm_score, "RUN_BYTES", size)
+        chunks = [*lm_score._placed(pa.array(texts), lm_score.Words({lm_score.END: 0}, {}), 8)]
+        assert [c[4].tolist() for c in chunks] == [[4, 1, 8], [3, 3, 10], [2]]
+        for _, codes, _, at, sizes in chunks:
+            assert len(codes) == sum(sizes) + lm_score.START * len(sizes) and (codes[at] > 0).all() and (np.delete(codes, at) == 0).all()
+
+
+def test_gradients_of_a_row_are_added_once_however_often_it_occurs():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, lm_score.FEW, lm_score.FEW + 1, 3000):
+        rows = np.minimum(rng.zipf(1.3, n), lm_score.ROWS - 1).astype(np.uint32)
+        gaps = rng.integers(-50, 50, (n, lm_score.SUBS)).astype(np.float32)
+        sums, used = lm_score._sums(rows, gaps)
+        assert len(set(used.tolist())) == len(used) == len(set(rows.tolist()))
+        assert all((total == gaps[rows == row].sum(axis=0)).all() for row, total in zip(used, sums, strict=True))
+
+
 def test_base_score_and_model(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "HOT", 200)  # so that most tokens take the join
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id")
