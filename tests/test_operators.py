@@ -273,6 +273,16 @@ def test_union_by_name_fills_missing_columns(spark):
     assert sorted(rows(lookup.union_by_name(a, b)), key=str) == [(1, "x"), (None, "y")]
 
 
+def test_common_values_reduces_both_sides_before_they_meet(spark):
+    a = spark.range(1000).selectExpr("IF(id < 900, 1, id % 5) AS y").union(spark.sql("SELECT NULL"))
+    b = spark.range(1000).selectExpr("IF(id < 900, 1, id % 3) AS y").union(spark.sql("SELECT NULL"))
+    common = lookup.common_values(a, b, "y")
+    assert sorted(rows(common), key=str) == [(0,), (1,), (2,), (None,)]
+    plan = common._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join LeftSemi") :]
+    assert below.count("Aggregate [") == 2, plan
+
+
 def test_common_values_match_rate_and_preview(spark):
     a = spark.createDataFrame([(1,), (2,), (2,)], "y int")
     b = spark.createDataFrame([(2,), (3,)], "y int")
