@@ -6,7 +6,7 @@ import pytest
 
 from fenland.fixed_values import POSTCODE_TOWNS
 from fenland.plans import building, cleaning
-from fenland.schemas import CLEAN, EDUCATION_ALL_YEARS
+from fenland.schemas import CLEAN, EDUCATION_ALL_YEARS, PRICE_RAW
 from fenland.sources import csv_files, tables
 
 
@@ -29,6 +29,22 @@ def test_the_job_tells_how_many_rows_it_read_and_kept(spark, raw_folder, tmp_pat
     assert {name: n for name, (_, n) in counts.items()} == {name: clean(spark, str(tmp_path), name).count() for name in counts}
 
 
+def test_house_prices_are_filtered_before_the_text_work(spark):
+    raw = spark.createDataFrame([(None,) * len(PRICE_RAW.names)], PRICE_RAW)
+    plan = cleaning.clean_house_price(raw)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and not any("initcap" in line for line in filters), plan
+
+
+@pytest.mark.parametrize("postcode", ["NR1 1AA", " nr1 1aa\u00a0", "", " \u2003", "\u00e9", None])
+@pytest.mark.parametrize("district", ["NORWICH", "", " ", None])
+def test_house_prices_without_postcode_or_district(spark, postcode, district):
+    row = dict.fromkeys(PRICE_RAW.names) | {"date": "2020-01-31", "price": "5", "county": "norfolk", "postcode": postcode, "district": district}
+    got = cleaning.clean_house_price(spark.createDataFrame([tuple(row[c] for c in PRICE_RAW.names)], PRICE_RAW)).collect()
+    kept = postcode is not None and postcode.strip() != "" and district is not None
+    assert [r.district for r in got] == ([district.title()] if kept else [])
+
+
 def test_house_prices(spark, clean_base):
     rows = clean(spark, clean_base, "house_price_clean").collect()
     # two sales that differ in their id only are one; the 2019 file, the other county and unusable rows are out
