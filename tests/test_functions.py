@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,6 +22,20 @@ def test_trim_takes_every_unicode_blank(spark):
     assert values(spark, text.strip_blanks, " N R 1 ") == ["NR1"]
 
 
+def test_blanks_of_printable_and_other_text(spark):
+    """Printable ASCII takes a path of its own (spaces are its only blanks) and gives what all other text gives."""
+    source = random.Random(9)
+    texts = ["".join(source.choice(letters) for _ in range(source.randint(0, 9))) for letters in ("aB~  ", "aB \t\u2003é") for _ in range(400)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    plain, c = F.col("t").rlike(text._PRINTABLE), F.col("t")
+    for k, is_plain, trimmed, squished in df.select("k", plain, text.trim_all(c), text.squish(c)).collect():
+        t = texts[k]
+        assert is_plain == all(" " <= x <= "~" for x in t), repr(t)
+        assert trimmed == t.strip(text.BLANKS), repr(t)
+        assert squished == re.sub(f"[{text.BLANKS}]+", " ", t).strip(" "), repr(t)
+    assert not spark.createDataFrame([("a\n",)], "t string").select(plain).first()[0]
+
+
 def test_title_case_starts_words_at_hyphens_not_apostrophes(spark):
     got = values(spark, text.title_case, "WELLS-NEXT-THE-SEA", "KING'S LYNN AND WEST NORFOLK", "st ives (east)", None)
     assert got == ["Wells-Next-The-Sea", "King's Lynn And West Norfolk", "St Ives (East)", None]
